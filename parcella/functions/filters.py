@@ -148,10 +148,8 @@ class SaleFilter:
         values = {}
         for key, name in cls._KEYS.items():
             if key in given:
-                values[name] = given[key] if key == "dept" else _number(given[key])
-        for name in ("year_min", "year_max"):
-            if name in values:
-                values[name] = int(values[name] or 0)
+                # A key without a value reads as zero.
+                values[name] = given[key] if key == "dept" else _number(given[key] or "0")
         specs = []
         for part in filter(None, given.get("bs", "").split(";")):
             kind, *bounds = (part.split(":") + [""] * 5)[:5]
