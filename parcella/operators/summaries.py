@@ -10,20 +10,19 @@ Here an exact quantile is found in two bounded steps instead:
 2. read only the values of those buckets again, count the distinct ones, and
    pick the wanted rank among them.
 
-Both steps combine map-side; ties collapse into counts.
+Both steps combine map-side; ties collapse into counts. The whole summary is
+one SQL statement, so it is analysed once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Buckets per factor e of magnitude: about 0.003 % relative width, and at most
-# about 1.2 million buckets for values up to 1e15.
-BUCKETS_PER_E = 1 << 15
+# Buckets per factor e of magnitude: about 0.012 % relative width, and at most
+# about 280,000 buckets for values up to 1e15.
+BUCKETS_PER_E = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -66,12 +65,15 @@ def nearest_rank(column: str, p: float) -> Measure:
     return Measure("nearest", column, p)
 
 
-def _bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BUCKETS_PER_E)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _within(rank: str, first: Column, size: Column) -> Column:
-    return (F.col(rank) >= first) & (F.col(rank) < first + size)
+def _list(*parts: str | list[str]) -> str:
+    names: list[str] = []
+    for part in parts:
+        names += part if isinstance(part, list) else [part]
+    return ", ".join(names)
 
 
 def summarise(
@@ -87,164 +89,152 @@ def summarise(
     ``broadcast_targets=False`` for keys that grow with the data, and Spark
     joins by shuffle unless it sees at run time that the side is small.
     """
-    series: dict[tuple[str, str | None], int] = {}
-    for m in measures.values():
-        series.setdefault(("count" if m.kind == "count" else "value", m.column), len(series))
-
-    def series_of(m: Measure) -> int:
-        return series[("count" if m.kind == "count" else "value", m.column)]
-
-    def value_of(kind: str, column: str | None) -> Column:
-        if kind == "value":
-            return F.col(column).cast("double")
-        return F.lit(0.0) if column is None else F.when(F.col(column), F.lit(0.0))
-
-    points = F.array(
-        *[
-            F.struct(F.lit(i).alias("series"), value_of(*key).alias("value"))
-            for key, i in series.items()
-        ]
-    )
-    long = (
-        df.select(*keys, F.inline(points))
-        .where(F.col("value").isNotNull())
-        .withColumn("bucket", _bucket(F.col("value")))
+    # A series is what is counted or ranked; measures of one column share it.
+    series: dict[tuple[bool, str | None], int] = {}
+    slots = []
+    for name, m in measures.items():
+        key = (m.kind == "count", m.column)
+        slots.append((name, m, series.setdefault(key, len(series))))
+
+    def value(is_count: bool, column: str | None) -> str:
+        if not is_count:
+            return f"CAST({_quoted(column)} AS DOUBLE)"
+        return "0D" if column is None else f"CASE WHEN {_quoted(column)} THEN 0D END"
+
+    points = _list(
+        [f"named_struct('s', {i}, 'v', {value(*key)})" for key, i in series.items()]
     )
-    group = [*keys, "series"]
     kinds = {m.kind for m in measures.values()}
     extras = {
-        "total": ("mean", F.sum),
-        "low": ("min", F.min),
-        "high": ("max", F.max),
+        name: how
+        for name, kind, how in (
+            ("_total", "mean", "sum"),
+            ("_least", "min", "min"),
+            ("_most", "max", "max"),
+        )
+        if kind in kinds
     }
-    extras = {name: how for name, (kind, how) in extras.items() if kind in kinds}
-    histogram = long.groupBy(*group, "bucket").agg(
-        F.count("*").alias("n"), *[how("value").alias(name) for name, how in extras.items()]
-    )
-
-    slots = {name: i for i, name in enumerate(measures)}
-    simple = {n: m for n, m in measures.items() if m.p is None}
-    ranked = {n: m for n, m in measures.items() if m.p is not None}
-    parts: list[DataFrame] = []
-
+    ks = [_quoted(k) for k in keys]
+    group = _list(ks, "_series")
+    ctes = [
+        f"""points AS (
+  SELECT {_list(ks, f"inline(array({points})) AS (_series, _value)")} FROM {{df}}
+)""",
+        f"""long AS (
+  SELECT {group}, _value,
+         floor(signum(_value) * log1p(abs(_value)) * {BUCKETS_PER_E}) AS _bucket
+  FROM points WHERE _value IS NOT NULL
+)""",
+        f"""histogram AS (
+  SELECT {_list(group, "_bucket", "count(*) AS _n",
+                [f"{how}(_value) AS {name}" for name, how in extras.items()])}
+  FROM long GROUP BY {group}, _bucket
+)""",
+    ]
+    # Reading the extra totals in both branches below keeps their input
+    # identical, so that Spark shuffles the histogram once and reuses it.
+    complete = " AND ".join([f"{name} IS NOT NULL" for name in extras] or ["TRUE"])
+    cells = []
+
+    outcome = {
+        "count": "CAST(_n AS DOUBLE)",
+        "mean": "_total / _n",
+        "min": "_least",
+        "max": "_most",
+    }
+    simple = [
+        f"named_struct('s', {slot}, 'r', CASE WHEN _series = {i} THEN {outcome[m.kind]} END)"
+        for slot, (_, m, i) in enumerate(slots)
+        if m.p is None
+    ]
     if simple:
-        per_series = histogram.groupBy(*group).agg(
-            F.sum("n").alias("n"), *[how(name).alias(name) for name, how in extras.items()]
-        )
-        outcome = {
-            "count": lambda: F.col("n").cast("double"),
-            "mean": lambda: F.col("total") / F.col("n"),
-            "min": lambda: F.col("low"),
-            "max": lambda: F.col("high"),
-        }
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(slots[n]).alias("slot"),
-                    F.when(F.col("series") == series_of(m), outcome[m.kind]()).alias("result"),
-                )
-                for n, m in simple.items()
-            ]
-        )
-        parts.append(
-            per_series.select(*keys, F.inline(cells)).where(F.col("result").isNotNull())
+        totals = ["sum(_n) AS _n", *[f"{how}({name}) AS {name}" for name, how in extras.items()]]
+        ctes.append(f"""per_series AS (
+  SELECT {_list(group, totals)} FROM histogram WHERE {complete} GROUP BY {group}
+)""")
+        simple_cells = f"inline(array({_list(simple)})) AS (_slot, _result)"
+        cells.append(f"SELECT {_list(ks, simple_cells)} FROM per_series")
+
+    wanted = [
+        f"named_struct('s', {slot}, 'o', {i}, 'p', {float(m.p)}D, 'n', {m.kind == 'nearest'})"
+        for slot, (_, m, i) in enumerate(slots)
+        if m.p is not None
+    ]
+    if wanted:
+        ctes += _picked(ks, group, wanted, complete, broadcast_targets)
+        cells.append(
+            f"SELECT {_list(ks, '_slot', '_low + (_high - _low) * _share AS _result')} FROM picked"
         )
 
-    if ranked:
-        for name in extras:
-            # Keeps both readers of the histogram identical, so that Spark
-            # computes its shuffle once and reuses it.
-            histogram = histogram.where(F.col(name).isNotNull())
-        parts.append(
-            _ranked_cells(long, histogram, keys, ranked, slots, series_of, broadcast_targets)
-        )
-
-    cells = reduce(DataFrame.unionByName, parts)
-    columns = []
-    for name, m in measures.items():
-        cell = F.max(F.when(F.col("slot") == slots[name], F.col("result")))
+    outputs = []
+    for slot, (name, m, _) in enumerate(slots):
+        cell = f"max(CASE WHEN _slot = {slot} THEN _result END)"
         if m.kind == "count":
-            cell = F.coalesce(cell, F.lit(0.0)).cast("bigint")
-        columns.append(cell.alias(name))
-    return cells.groupBy(*keys).agg(*columns)
-
-
-def _ranked_cells(long, histogram, keys, ranked, slots, series_of, broadcast_targets) -> DataFrame:
-    """(keys, slot, result) rows of the rank-based measures."""
-    per_series = Window.partitionBy(*keys, "series")
-    running = per_series.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(slots[n]).alias("slot"),
-                F.lit(series_of(m)).alias("of_series"),
-                F.lit(float(m.p)).alias("p"),
-                F.lit(m.kind == "nearest").alias("nearest"),
-            )
-            for n, m in ranked.items()
-        ]
-    )
-    position = F.when(
-        F.col("nearest"), F.least(F.floor(F.col("all") * F.col("p")), F.col("all") - 1)
-    ).otherwise((F.col("all") - 1) * F.col("p"))
-    targets = (
-        histogram.select(
-            *keys,
-            "series",
-            "bucket",
-            "n",
-            (F.sum("n").over(running) - F.col("n")).alias("before"),
-            F.sum("n").over(per_series).alias("all"),
-        )
-        .select("*", F.inline(wanted))
-        .where(F.col("series") == F.col("of_series"))
-        .withColumn("position", position)
-        .withColumn("rank_low", F.floor("position"))
-        .withColumn("rank_high", F.ceil("position"))
-        .where(
-            _within("rank_low", F.col("before"), F.col("n"))
-            | _within("rank_high", F.col("before"), F.col("n"))
-        )
-        .select(
-            *[F.col(k).alias(f"target_{k}") for k in keys],
-            F.col("series").alias("target_series"),
-            F.col("bucket").alias("target_bucket"),
-            "slot",
-            "before",
-            "position",
-            "rank_low",
-            "rank_high",
-        )
+            cell = f"CAST(coalesce({cell}, 0D) AS BIGINT)"
+        outputs.append(f"{cell} AS {_quoted(name)}")
+    ctes.append("cells AS (\n  " + "\n  UNION ALL ".join(cells) + "\n)")
+    by_key = f"GROUP BY {_list(ks)}" if ks else ""
+    statement = (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT {_list(ks, outputs)} FROM cells {by_key}"
     )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"target_{k}")) for k in keys]
-        + [
-            F.col("series") == F.col("target_series"),
-            F.col("bucket") == F.col("target_bucket"),
-        ],
-    )
-    if broadcast_targets:
-        targets = F.broadcast(targets)
-    place = [*keys, "slot", "bucket"]
-    values = (
-        long.join(targets, same)
-        .groupBy(*place, "before", "position", "rank_low", "rank_high", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = Window.partitionBy(*place).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.col("before") + F.col("upto") - F.col("n")
-    picked = (
-        values.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("low", F.when(_within("rank_low", first, F.col("n")), F.col("value")))
-        .withColumn("high", F.when(_within("rank_high", first, F.col("n")), F.col("value")))
-        .where(F.col("low").isNotNull() | F.col("high").isNotNull())
-        .groupBy(*keys, "slot")
-        .agg(
-            F.max("low").alias("low"),
-            F.max("high").alias("high"),
-            F.max(F.col("position") - F.col("rank_low")).alias("share"),
-        )
+    return df.sparkSession.sql(statement, df=df)
+
+
+def _picked(
+    ks: list[str], group: str, wanted: list[str], complete: str, broadcast_targets: bool
+) -> list[str]:
+    """Statement parts that end in ``picked``: the values at the wanted ranks."""
+    aliased = [f"{k} AS _key{i}" for i, k in enumerate(ks)]
+    same = " AND ".join(
+        [f"l.{k} <=> t._key{i}" for i, k in enumerate(ks)]
+        + ["l._series = t._of_series", "l._bucket = t._of_bucket"]
     )
-    result = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    return picked.select(*keys, "slot", result.alias("result"))
+    hint = "/*+ BROADCAST(t) */" if broadcast_targets else ""
+    cell = _list(ks, "_slot")
+    rank = "_bucket, _before, _position, _rank_low, _rank_high"
+    return [
+        f"""ranked AS (
+  SELECT {group}, _bucket, _n,
+         sum(_n) OVER (PARTITION BY {group} ORDER BY _bucket
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _n AS _before,
+         sum(_n) OVER (PARTITION BY {group}) AS _all
+  FROM histogram WHERE {complete}
+)""",
+        f"""wanted AS (
+  SELECT {group}, _bucket, _n, _before, _all,
+         inline(array({_list(wanted)})) AS (_slot, _of, _p, _nearest)
+  FROM ranked
+)""",
+        f"""positions AS (
+  SELECT *, CASE WHEN _nearest THEN least(floor(_all * _p), _all - 1)
+                 ELSE (_all - 1) * _p END AS _position
+  FROM wanted WHERE _series = _of
+)""",
+        f"""targets AS (
+  SELECT {_list(aliased, "_series AS _of_series", "_bucket AS _of_bucket", "_slot", "_before")},
+         _position, floor(_position) AS _rank_low, ceil(_position) AS _rank_high
+  FROM positions
+  WHERE floor(_position) >= _before AND floor(_position) < _before + _n
+     OR ceil(_position) >= _before AND ceil(_position) < _before + _n
+)""",
+        f"""found AS (
+  SELECT {hint} {cell}, {rank}, _value, count(*) AS _n
+  FROM long l JOIN targets t ON {same}
+  GROUP BY {cell}, {rank}, _value
+)""",
+        # A cell has one bucket or two adjacent ones, so counting on from the
+        # first one gives every value its rank.
+        f"""placed AS (
+  SELECT *, min(_before) OVER (PARTITION BY {cell}) - _n
+            + sum(_n) OVER (PARTITION BY {cell} ORDER BY _value
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _first
+  FROM found
+)""",
+        f"""picked AS (
+  SELECT {cell},
+         max(_value) FILTER (WHERE _rank_low >= _first AND _rank_low < _first + _n) AS _low,
+         max(_value) FILTER (WHERE _rank_high >= _first AND _rank_high < _first + _n) AS _high,
+         max(_position - _rank_low) AS _share
+  FROM placed GROUP BY {cell}
+)""",
+    ]
