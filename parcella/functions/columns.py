@@ -19,6 +19,16 @@ def any_of(column: str, when: Column | None = None) -> Column:
     return F.min(value if when is None else F.when(when, value))
 
 
+def any_is(column: str, value: str) -> Column:
+    """Whether :func:`any_of` would give ``value``.
+
+    Two booleans per sale instead of a string keep the aggregation hash-based.
+    """
+    present = F.coalesce(F.max(F.col(column) == value), F.lit(False))
+    smaller = F.coalesce(F.max(F.col(column) < value), F.lit(False))
+    return present & ~smaller
+
+
 def count_where(condition: Column) -> Column:
     """Rows satisfying ``condition``; NULL when it is NULL on every row."""
     return F.sum(condition.cast("int"))

@@ -119,11 +119,13 @@ def derive_sales(rows: DataFrame) -> DataFrame:
         (-F.col("surface_reelle_bati")).alias("minus_area"),
         F.col("nombre_pieces_principales").alias("rooms"),
     )
+    facts = {name: raw for name, raw in _FACTS.items() if name != "transaction_type"}
     grouped = (
         without_bulk(rows)
         .groupBy("id_mutation")
         .agg(
-            *[C.any_of(raw).alias(name) for name, raw in _FACTS.items()],
+            *[C.any_of(raw).alias(name) for name, raw in facts.items()],
+            C.any_is(_FACTS["transaction_type"], S.PLAIN_SALE).alias("plain"),
             F.count("*").alias("n_rows"),
             F.max("code_commune").alias("last_commune"),
             *_row_counts(),
@@ -137,9 +139,10 @@ def derive_sales(rows: DataFrame) -> DataFrame:
             (F.col("n_rows") <= S.MAX_ROWS_PER_SALE)
             & (F.col("price_eur") >= S.MIN_PRICE)
             & (F.col("commune_code") == F.col("last_commune"))
-            & (F.col("transaction_type") == S.PLAIN_SALE)
+            & F.col("plain")
             & (F.size("found") > 0)
         )
+        .withColumn("transaction_type", F.lit(S.PLAIN_SALE))
         .withColumn("n_communes", F.lit(1).cast("bigint"))
         .withColumn("found", F.sort_array("found"))
     )

@@ -11,6 +11,7 @@ from parcella.operators import summaries as Q
 from parcella.operators.bulk import without_bulk
 from parcella.operators.policy import sample_order
 from parcella.operators.quality import only_ids
+from parcella.sources.tables import materialise
 
 
 def _rounded_summary(df: DataFrame, keys: list[str], counts: dict, rounded: dict) -> DataFrame:
@@ -39,21 +40,26 @@ def two_house_sales(rows: DataFrame, min_rooms: int = 5) -> DataFrame:
             F.sum(F.when(house, F.col("surface_reelle_bati"))).alias("total_bati"),
             C.any_of("year").alias("year"),
             C.any_of("valeur_fonciere").alias("price"),
-            C.any_of("nature_mutation").alias("nature"),
+            C.any_is("nature_mutation", S.PLAIN_SALE).alias("plain"),
             C.any_of("nom_commune").alias("commune"),
             C.any_of("code_departement").alias("dept"),
         )
         .where(
             (F.col("n_maisons") == 2)
             & (F.col("min_pieces") >= min_rooms)
-            & (F.col("nature") == S.PLAIN_SALE)
+            & F.col("plain")
             & F.col("price").isNotNull()
         )
+        .drop("plain")
+        .withColumn("nature", F.lit(S.PLAIN_SALE))
     )
 
 
 def two_house_by_year(qualifying: DataFrame) -> DataFrame:
-    """Price of the qualifying sales by year: the flagship question."""
+    """Price of the qualifying sales by year: the flagship question.
+
+    Reads its input more than once; pass a stored table (see ``materialise``).
+    """
     return _rounded_summary(
         qualifying,
         ["year"],
@@ -214,7 +220,7 @@ def raw_area_percentiles(rows: DataFrame, sales: DataFrame) -> DataFrame:
         )
     )
     return _rounded_summary(
-        houses.join(target, "id_mutation"),
+        materialise(houses.join(target, "id_mutation").drop("id_mutation"), "raw-areas"),
         ["n_maisons"],
         {"n_building_rows": Q.count()},
         {f"{n}_bati": Q.quantile("surface_reelle_bati", p) for n, p in _DECILES.items()},
@@ -338,9 +344,10 @@ def raw_house_symptom(rows: DataFrame) -> DataFrame:
             F.sum(F.when(house, F.col("surface_reelle_bati"))).alias("built"),
         )
         .where(F.col("n_maisons_raw").between(1, 5))
+        .drop("id_mutation")
     )
     return _rounded_summary(
-        per_sale,
+        materialise(per_sale, "raw-houses"),
         ["n_maisons_raw"],
         {"n_sales": Q.count()},
         {"med_price": Q.median("price"), "med_built_area": Q.median("built")},

@@ -9,6 +9,7 @@ from parcella import schema as S
 from parcella.functions import columns as C
 from parcella.operators import summaries as Q
 from parcella.operators.quality import only_ids
+from parcella.sources.tables import materialise
 
 
 def _facts() -> list[Column]:
@@ -99,7 +100,7 @@ def policy_before_after(rows: DataFrame) -> DataFrame:
         .agg(
             C.any_of("year").alias("year"),
             C.any_of("valeur_fonciere").alias("price"),
-            C.any_of("nature_mutation").alias("nature"),
+            C.any_is("nature_mutation", S.PLAIN_SALE).alias("plain"),
             F.count("*").alias("n_rows"),
             F.count_if(house).alias("n_houses"),
             C.any_of("nombre_pieces_principales", house).alias("min_rooms"),
@@ -107,7 +108,7 @@ def policy_before_after(rows: DataFrame) -> DataFrame:
         .where(
             (F.col("n_houses") == 2)
             & (F.col("min_rooms") >= 5)
-            & (F.col("nature") == S.PLAIN_SALE)
+            & F.col("plain")
         )
         .withColumn("kept", _loose())
         .withColumn("kept_price", F.when(F.col("kept"), F.col("price")))
@@ -120,7 +121,7 @@ def policy_before_after(rows: DataFrame) -> DataFrame:
     }
     return (
         Q.summarise(
-            sales,
+            materialise(sales.select("year", "price", "kept", "kept_price"), "two-house-policy"),
             ["year"],
             {"before_filter": Q.count(), "after_filter": Q.count("kept"), **rounded},
         )
@@ -181,7 +182,7 @@ def single_house_ppm2(rows: DataFrame) -> DataFrame:
         .agg(
             C.any_of("year").alias("year"),
             C.any_of("valeur_fonciere").alias("price"),
-            C.any_of("nature_mutation").alias("nature"),
+            C.any_is("nature_mutation", S.PLAIN_SALE).alias("plain"),
             F.count("*").alias("n_rows"),
             F.count_if(house).alias("n_houses"),
             C.any_of("surface_reelle_bati", house).alias("area"),
@@ -189,7 +190,7 @@ def single_house_ppm2(rows: DataFrame) -> DataFrame:
         .where(
             (F.col("n_houses") == 1)
             & (F.col("area") > S.MIN_BUILT_AREA)
-            & (F.col("nature") == S.PLAIN_SALE)
+            & F.col("plain")
             & F.col("price").between(low, high)
             & (F.col("n_rows") <= S.MAX_ROWS_PER_SALE)
         )
@@ -197,7 +198,11 @@ def single_house_ppm2(rows: DataFrame) -> DataFrame:
     )
     rounded = {"median_eur_per_m2": Q.median("ppm2"), "avg_eur_per_m2": Q.mean("ppm2")}
     return (
-        Q.summarise(sales, ["year"], {"n_sales": Q.count(), **rounded})
+        Q.summarise(
+            materialise(sales.select("year", "ppm2"), "single-house"),
+            ["year"],
+            {"n_sales": Q.count(), **rounded},
+        )
         .withColumns({name: F.round(name) for name in rounded})
         .orderBy("year")
     )

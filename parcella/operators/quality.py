@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcella import schema as S
 from parcella.functions import columns as C
 from parcella.operators import summaries as Q
+from parcella.sources.tables import materialise
 
 PARCEL_LABEL = "(null — terrain/parcel)"
 
@@ -156,10 +157,11 @@ def price_percentiles(rows: DataFrame) -> DataFrame:
         rows.where(F.col("valeur_fonciere").isNotNull())
         .groupBy("id_mutation")
         .agg(C.any_of("valeur_fonciere").alias("price"))
+        .select("price")
     )
     wanted = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "p999": 0.999}
     return Q.summarise(
-        prices,
+        materialise(prices, "prices"),
         [],
         {
             "sales": Q.count(),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcella import schema as S
 from parcella.operators.market import price_summary
+from parcella.sources.tables import materialise
 
 ANY = "any"
 ALL = "all"
@@ -155,7 +156,9 @@ def matching_pairs(sales: DataFrame, searches: DataFrame, small: bool) -> DataFr
 def saved_search_report(sales: DataFrame, searches: DataFrame) -> DataFrame:
     """Number of sales and medians for every saved search."""
     small = is_small(searches)
-    pairs = matching_pairs(sales, searches, small)
+    pairs = materialise(
+        matching_pairs(sales, searches, small).drop("id_mutation"), "saved-searches"
+    )
     found = price_summary(pairs, ["search_id"], "median_per_m2", bounded_keys=small)
     return (
         searches.select("search_id")

@@ -11,7 +11,9 @@ Here an exact quantile is found in two bounded steps instead:
    pick the wanted rank among them.
 
 Both steps combine map-side; ties collapse into counts. The whole summary is
-one SQL statement, so it is analysed once.
+one SQL statement, so it is analysed once. It reads its input three times, each
+time only the columns needed: meant for stored tables. Store an expensive input
+first (``parcella.sources.tables.materialise``).
 """
 
 from __future__ import annotations
@@ -76,6 +78,14 @@ def _list(*parts: str | list[str]) -> str:
     return ", ".join(names)
 
 
+def _plain(m: Measure) -> str:
+    """A measure that needs no ranking, as an ordinary aggregate."""
+    if m.kind == "count":
+        return "count(*)" if m.column is None else f"count_if({_quoted(m.column)})"
+    function = {"mean": "avg", "min": "min", "max": "max"}[m.kind]
+    return f"{function}(CAST({_quoted(m.column)} AS DOUBLE))"
+
+
 def summarise(
     df: DataFrame,
     keys: list[str],
@@ -89,123 +99,80 @@ def summarise(
     ``broadcast_targets=False`` for keys that grow with the data, and Spark
     joins by shuffle unless it sees at run time that the side is small.
     """
-    # A series is what is counted or ranked; measures of one column share it.
-    series: dict[tuple[bool, str | None], int] = {}
-    slots = []
-    for name, m in measures.items():
-        key = (m.kind == "count", m.column)
-        slots.append((name, m, series.setdefault(key, len(series))))
-
-    def value(is_count: bool, column: str | None) -> str:
-        if not is_count:
-            return f"CAST({_quoted(column)} AS DOUBLE)"
-        return "0D" if column is None else f"CASE WHEN {_quoted(column)} THEN 0D END"
-
-    points = _list(
-        [f"named_struct('s', {i}, 'v', {value(*key)})" for key, i in series.items()]
-    )
-    kinds = {m.kind for m in measures.values()}
-    extras = {
-        name: how
-        for name, kind, how in (
-            ("_total", "mean", "sum"),
-            ("_least", "min", "min"),
-            ("_most", "max", "max"),
-        )
-        if kind in kinds
-    }
     ks = [_quoted(k) for k in keys]
-    group = _list(ks, "_series")
-    ctes = [
-        f"""points AS (
-  SELECT {_list(ks, f"inline(array({points})) AS (_series, _value)")} FROM {{df}}
-)""",
-        f"""long AS (
-  SELECT {group}, _value,
-         floor(signum(_value) * log1p(abs(_value)) * {BUCKETS_PER_E}) AS _bucket
-  FROM points WHERE _value IS NOT NULL
-)""",
-        f"""histogram AS (
-  SELECT {_list(group, "_bucket", "count(*) AS _n",
-                [f"{how}(_value) AS {name}" for name, how in extras.items()])}
-  FROM long GROUP BY {group}, _bucket
-)""",
-    ]
-    # Reading the extra totals in both branches below keeps their input
-    # identical, so that Spark shuffles the histogram once and reuses it.
-    complete = " AND ".join([f"{name} IS NOT NULL" for name in extras] or ["TRUE"])
-    cells = []
-
-    outcome = {
-        "count": "CAST(_n AS DOUBLE)",
-        "mean": "_total / _n",
-        "min": "_least",
-        "max": "_most",
-    }
-    simple = [
-        f"named_struct('s', {slot}, 'r', CASE WHEN _series = {i} THEN {outcome[m.kind]} END)"
-        for slot, (_, m, i) in enumerate(slots)
-        if m.p is None
-    ]
-    if simple:
-        totals = ["sum(_n) AS _n", *[f"{how}({name}) AS {name}" for name, how in extras.items()]]
-        ctes.append(f"""per_series AS (
-  SELECT {_list(group, totals)} FROM histogram WHERE {complete} GROUP BY {group}
-)""")
-        simple_cells = f"inline(array({_list(simple)})) AS (_slot, _result)"
-        cells.append(f"SELECT {_list(ks, simple_cells)} FROM per_series")
-
-    wanted = [
-        f"named_struct('s', {slot}, 'o', {i}, 'p', {float(m.p)}D, 'n', {m.kind == 'nearest'})"
-        for slot, (_, m, i) in enumerate(slots)
-        if m.p is not None
-    ]
-    if wanted:
-        ctes += _picked(ks, group, wanted, complete, broadcast_targets)
-        cells.append(
-            f"SELECT {_list(ks, '_slot', '_low + (_high - _low) * _share AS _result')} FROM picked"
-        )
-
-    outputs = []
-    for slot, (name, m, _) in enumerate(slots):
-        cell = f"max(CASE WHEN _slot = {slot} THEN _result END)"
-        if m.kind == "count":
-            cell = f"CAST(coalesce({cell}, 0D) AS BIGINT)"
-        outputs.append(f"{cell} AS {_quoted(name)}")
-    ctes.append("cells AS (\n  " + "\n  UNION ALL ".join(cells) + "\n)")
     by_key = f"GROUP BY {_list(ks)}" if ks else ""
+    ranked = {name: m for name, m in measures.items() if m.p is not None}
+    # Quantiles of one column share its ranking.
+    series = {c: i for i, c in enumerate(dict.fromkeys(m.column for m in ranked.values()))}
+
+    plain = [
+        f"{_plain(m) if m.p is None else 'CAST(NULL AS DOUBLE)'} AS {_quoted(name)}"
+        for name, m in measures.items()
+    ]
+    parts = [f"SELECT {_list(ks, plain)} FROM {{df}} {by_key}"]
+    ctes = []
+    if ranked:
+        ctes = _picked(ks, series, ranked, broadcast_targets)
+        value = "_low + (_high - _low) * _share"
+        slots = {name: i for i, name in enumerate(ranked)}
+        picked = [
+            f"CASE WHEN _slot = {slots[name]} THEN {value} END" if name in slots else "NULL"
+            for name in measures
+        ]
+        parts.append(f"SELECT {_list(ks, picked)} FROM picked")
+    ctes.append("parts AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)")
+    outputs = [f"max({_quoted(name)}) AS {_quoted(name)}" for name in measures]
     statement = (
-        "WITH " + ",\n".join(ctes) + f"\nSELECT {_list(ks, outputs)} FROM cells {by_key}"
+        "WITH " + ",\n".join(ctes) + f"\nSELECT {_list(ks, outputs)} FROM parts {by_key}"
     )
     return df.sparkSession.sql(statement, df=df)
 
 
 def _picked(
-    ks: list[str], group: str, wanted: list[str], complete: str, broadcast_targets: bool
+    ks: list[str], series: dict[str, int], ranked: dict[str, Measure], broadcast_targets: bool
 ) -> list[str]:
     """Statement parts that end in ``picked``: the values at the wanted ranks."""
+    group = _list(ks, "_series")
+    cell = _list(ks, "_slot")
+    rank = "_bucket, _before, _position, _rank_low, _rank_high"
+    values = _list([f"CAST({_quoted(c)} AS DOUBLE) AS _v{i}" for c, i in series.items()])
+    names = _list([f"_v{i} AS `{i}`" for i in series.values()])
+    wanted = _list(
+        [
+            f"named_struct('s', {slot}, 'o', '{series[m.column]}', 'p', {float(m.p)}D, "
+            f"'n', {m.kind == 'nearest'})"
+            for slot, m in enumerate(ranked.values())
+        ]
+    )
     aliased = [f"{k} AS _key{i}" for i, k in enumerate(ks)]
     same = " AND ".join(
         [f"l.{k} <=> t._key{i}" for i, k in enumerate(ks)]
         + ["l._series = t._of_series", "l._bucket = t._of_bucket"]
     )
     hint = "/*+ BROADCAST(t) */" if broadcast_targets else ""
-    cell = _list(ks, "_slot")
-    rank = "_bucket, _before, _position, _rank_low, _rank_high"
     return [
+        # One row per value and series; rows without a value drop out.
+        f"""long AS (
+  SELECT {group}, _value,
+         floor(signum(_value) * log1p(abs(_value)) * {BUCKETS_PER_E}) AS _bucket
+  FROM (SELECT {_list(ks, values)} FROM {{df}}) UNPIVOT (_value FOR _series IN ({names}))
+)""",
+        f"""histogram AS (
+  SELECT {group}, _bucket, count(*) AS _n FROM long GROUP BY {group}, _bucket
+)""",
         f"""ranked AS (
   SELECT {group}, _bucket, _n,
          sum(_n) OVER (PARTITION BY {group} ORDER BY _bucket
                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _n AS _before,
          sum(_n) OVER (PARTITION BY {group}) AS _all
-  FROM histogram WHERE {complete}
+  FROM histogram
 )""",
         f"""wanted AS (
   SELECT {group}, _bucket, _n, _before, _all,
-         inline(array({_list(wanted)})) AS (_slot, _of, _p, _nearest)
+         inline(array({wanted})) AS (_slot, _of, _p, _nearest)
   FROM ranked
 )""",
-        f"""positions AS (
+        """positions AS (
   SELECT *, CASE WHEN _nearest THEN least(floor(_all * _p), _all - 1)
                  ELSE (_all - 1) * _p END AS _position
   FROM wanted WHERE _series = _of

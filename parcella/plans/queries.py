@@ -117,6 +117,11 @@ def unnested(select: str, source: str) -> str:
     )
 
 
+def qualifying(t: Store) -> DataFrame:
+    """The two-house sales as a stored table."""
+    return io.materialise(houses.two_house_sales(t.raw), "qualifying")
+
+
 def long_trend(t: Store, granularity="year", split="none", bbox=None) -> DataFrame:
     return market.trend(t.sales, YEARS, bbox, granularity, split)
 
@@ -182,9 +187,7 @@ SOURCES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "materialise": (
-        lambda t: io.materialise(houses.two_house_sales(t.raw), "qualifying").select(
-            "id_mutation", "price"
-        ),
+        lambda t: qualifying(t).select("id_mutation", "price"),
         on_raw(
             "SELECT id_mutation, MIN(valeur_fonciere) AS price FROM raw_rows GROUP BY id_mutation "
             "HAVING COUNT(*) FILTER (WHERE type_local = 'Maison') = 2 "
@@ -305,7 +308,7 @@ FILTERS: dict[str, tuple[Query, str | None]] = {
     "saved_search_report": (
         lambda t: searches.saved_search_report(t.sales, t.searches()),
         on_sales(
-            f""", saved AS ({SEARCHES_SQL.format(customer="customer")}),
+            f""", saved AS ({SEARCHES_SQL.format(supplier="supplier")}),
 decoded AS (
   SELECT search_id,
          CAST(regexp_extract(query, '(^|&)ymin=([0-9]+)', 2) AS INT) AS ymin,
@@ -669,7 +672,7 @@ STUDIES: dict[str, tuple[Query, str | None]] = {
         on_raw(QUALIFYING + "SELECT * FROM q"),
     ),
     "two_house_by_year": (
-        lambda t: houses.two_house_by_year(houses.two_house_sales(t.raw)),
+        lambda t: houses.two_house_by_year(qualifying(t)),
         on_raw(
             QUALIFYING + "SELECT year, COUNT(*) AS n_sales, ROUND(AVG(price)) AS avg_price_eur, "
             "ROUND(MEDIAN(price)) AS median_price_eur, ROUND(MIN(price)) AS min_price_eur, "
@@ -677,15 +680,15 @@ STUDIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "two_house_top10": (
-        lambda t: houses.two_house_extremes(houses.two_house_sales(t.raw), dearest=True),
+        lambda t: houses.two_house_extremes(qualifying(t), dearest=True),
         on_raw(QUALIFYING + EXTREME + "ORDER BY q.price DESC, id_mutation LIMIT 10"),
     ),
     "two_house_bottom10": (
-        lambda t: houses.two_house_extremes(houses.two_house_sales(t.raw), dearest=False),
+        lambda t: houses.two_house_extremes(qualifying(t), dearest=False),
         on_raw(QUALIFYING + EXTREME + "ORDER BY q.price, id_mutation LIMIT 10"),
     ),
     "two_house_trimmed": (
-        lambda t: houses.two_house_trimmed(houses.two_house_sales(t.raw)),
+        lambda t: houses.two_house_trimmed(qualifying(t)),
         on_raw(
             QUALIFYING + "SELECT year, COUNT(*) AS n_sales, ROUND(AVG(price)) AS avg_price_eur, "
             "ROUND(MEDIAN(price)) AS median_price_eur FROM q "

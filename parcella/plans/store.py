@@ -85,27 +85,27 @@ class Store:
         return path
 
     def searches(self) -> DataFrame:
-        """One saved search per customer, written as a shareable address."""
-        customer = self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
-        return self.spark.sql(SEARCHES_SQL, customer=customer)
+        """One saved search per supplier, written as a shareable address."""
+        supplier = self.spark.read.parquet(f"{self.sf_dir}/supplier.parquet")
+        return self.spark.sql(SEARCHES_SQL, supplier=supplier)
 
 
-# One text for Spark and the oracle: an address per customer that exercises
+# One text for Spark and the oracle: an address per supplier that exercises
 # open bounds, all departments, repeated and unknown building specs.
 SEARCHES_SQL = """
-SELECT c_custkey AS search_id,
-       'ymin=' || CAST(1995 + c_custkey % 5 AS STRING)
-       || '&ymax=' || CAST(1997 + c_custkey % 6 AS STRING)
-       || CASE WHEN c_custkey % 10 = 0 THEN ''
-               ELSE '&dept=' || lpad(CAST(c_nationkey + 1 AS STRING), 2, '0') END
-       || CASE WHEN c_custkey % 3 = 0 THEN '&pmin=50000&pmax=300000' ELSE '' END
-       || CASE WHEN c_custkey % 4 = 0 THEN '&amin=100' ELSE '' END
-       || CASE WHEN c_custkey % 7 = 0 THEN '&lamax=2000' ELSE '' END
-       || CASE WHEN c_custkey % 5 = 0 THEN '&bs=Maison%3A%3A%3A4%3A%3BMaison%3A%3A%3A4%3A'
-               WHEN c_custkey % 5 = 1 THEN '&bs=chateau%3A60%3A90%3A%3A'
-               WHEN c_custkey % 5 = 2 THEN '&bs=Appartement%3A%3A%3A%3A6%3BMaison%3A50%3A%3A%3A'
+SELECT s_suppkey AS search_id,
+       'ymin=' || CAST(1995 + s_suppkey % 5 AS STRING)
+       || '&ymax=' || CAST(1997 + s_suppkey % 6 AS STRING)
+       || CASE WHEN s_suppkey % 10 = 0 THEN ''
+               ELSE '&dept=' || lpad(CAST(s_nationkey + 1 AS STRING), 2, '0') END
+       || CASE WHEN s_suppkey % 3 = 0 THEN '&pmin=50000&pmax=300000' ELSE '' END
+       || CASE WHEN s_suppkey % 4 = 0 THEN '&amin=100' ELSE '' END
+       || CASE WHEN s_suppkey % 7 = 0 THEN '&lamax=2000' ELSE '' END
+       || CASE WHEN s_suppkey % 5 = 0 THEN '&bs=Maison%3A%3A%3A4%3A%3BMaison%3A%3A%3A4%3A'
+               WHEN s_suppkey % 5 = 1 THEN '&bs=chateau%3A60%3A90%3A%3A'
+               WHEN s_suppkey % 5 = 2 THEN '&bs=Appartement%3A%3A%3A%3A6%3BMaison%3A50%3A%3A%3A'
                ELSE '' END AS query
-FROM {customer}
+FROM {supplier}
 """
 
 _STORES: dict[tuple[str, str], Store] = {}
