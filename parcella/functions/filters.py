@@ -173,3 +173,38 @@ class SaleFilter:
                 for s in self.building_specs
             )
         return urlencode(given)
+
+
+@dataclass(frozen=True)
+class DashboardState:
+    """All that a shareable address holds: filter, chart options, map view."""
+
+    filter: SaleFilter = SaleFilter()
+    granularity: str = "month"
+    split: str = "none"
+    center: tuple[float, float] | None = None
+    zoom: float | None = None
+
+    @classmethod
+    def from_query(cls, text: str) -> DashboardState:
+        given = dict(parse_qsl(text.lstrip("?"), keep_blank_values=True))
+        options = {}
+        if given.get("gran") in ("year", "month", "week"):
+            options["granularity"] = given["gran"]
+        if given.get("split") in ("none", "type", "n_houses"):
+            options["split"] = given["split"]
+        if {"mlat", "mlng", "mz"} <= given.keys():
+            options["center"] = (float(given["mlat"] or 0), float(given["mlng"] or 0))
+            options["zoom"] = float(given["mz"] or 0)
+        return cls(SaleFilter.from_query(text), **options)
+
+    def to_query(self) -> str:
+        given = {}
+        if self.granularity != "month":
+            given["gran"] = self.granularity
+        if self.split != "none":
+            given["split"] = self.split
+        if self.center is not None and self.zoom is not None:
+            given["mlat"], given["mlng"] = (f"{x:.5f}" for x in self.center)
+            given["mz"] = f"{self.zoom:g}"
+        return "&".join(filter(None, [self.filter.to_query(), urlencode(given)]))

@@ -133,8 +133,8 @@ def derive_sales(rows: DataFrame) -> DataFrame:
             preferred_point().alias("point"),
             F.collect_set(F.when(C.is_building(), building)).alias("found"),
         )
-        # The cheap part of the policy, before any work on the buildings. One
-        # commune means that the smallest and the largest code are the same.
+        # The residential policy on the aggregates, before any work on the
+        # buildings. One commune means equal smallest and largest codes.
         .where(
             (F.col("n_rows") <= S.MAX_ROWS_PER_SALE)
             & (F.col("price_eur") >= S.MIN_PRICE)
@@ -171,7 +171,7 @@ def derive_sales(rows: DataFrame) -> DataFrame:
         }
     )
     counts = F.col("n_maisons"), F.col("n_appartements")
-    return measured.where(residential_policy()).withColumns(
+    return measured.withColumns(
         {
             "primary_type": C.primary_type(*counts),
             "composition": C.composition(*counts),

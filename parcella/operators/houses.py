@@ -232,10 +232,12 @@ def department_two_house_share(
     min_sales: int = 500,
     urban: list[str] = S.URBAN_DEPARTMENTS,
     limit: int = 15,
+    min_area: bool = True,
 ) -> DataFrame:
+    """Departments with the largest share of two-house sales."""
     one, two = F.col("n_1house"), F.col("n_2house")
     return (
-        _houses_only(sales, 1, 2)
+        _houses_only(sales, 1, 2, min_area)
         .groupBy("department_code")
         .agg(
             F.count_if(F.col("n_maisons") == 1).alias("n_1house"),
@@ -253,9 +255,10 @@ def department_two_house_share(
 
 
 def department_ppm2_gap(
-    sales: DataFrame, departments: list[str] = S.GAP_DEPARTMENTS
+    sales: DataFrame, departments: list[str] = S.GAP_DEPARTMENTS, min_area: bool = True
 ) -> DataFrame:
-    kept = _houses_only(sales, 1, 2).where(
+    """Price per m² of one- and two-house sales inside single departments."""
+    kept = _houses_only(sales, 1, 2, min_area).where(
         F.col("department_code").isin(departments) & _plausible()
     )
     return _rounded_summary(

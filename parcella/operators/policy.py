@@ -82,14 +82,20 @@ def _row_types_of(rows: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
-def borderline_types(rows: DataFrame) -> DataFrame:
+def _labelled(types: DataFrame, label: str | None) -> DataFrame:
+    if label is None:
+        return types
+    return types.withColumn("type_local", F.coalesce("type_local", F.lit(label)))
+
+
+def borderline_types(rows: DataFrame, null_label: str | None = None) -> DataFrame:
     """Row types of sales just above the bulk threshold."""
-    return _row_types_of(rows, 11, 15)
+    return _labelled(_row_types_of(rows, 11, 15), null_label)
 
 
-def kept_types(rows: DataFrame) -> DataFrame:
+def kept_types(rows: DataFrame, null_label: str | None = None) -> DataFrame:
     """Row types of sales just below the bulk threshold."""
-    return _row_types_of(rows, 6, 10)
+    return _labelled(_row_types_of(rows, 6, 10), null_label)
 
 
 def policy_before_after(rows: DataFrame) -> DataFrame:

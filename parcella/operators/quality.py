@@ -207,9 +207,14 @@ def geocoding_quality(rows: DataFrame) -> DataFrame:
     )
 
 
-def rooms_histogram(rows: DataFrame, limit: int = 20) -> DataFrame:
+def rooms_histogram(
+    rows: DataFrame, limit: int = 20, between: tuple[int, int] | None = None
+) -> DataFrame:
+    """House rows by number of rooms."""
+    rooms = F.col("nombre_pieces_principales")
+    wanted = rooms.isNotNull() if between is None else rooms.between(*between)
     return (
-        rows.where(C.is_house() & F.col("nombre_pieces_principales").isNotNull())
+        rows.where(C.is_house() & wanted)
         .groupBy(F.col("nombre_pieces_principales").alias("rooms"))
         .agg(F.count("*").alias("rows"))
         .orderBy("rooms")
@@ -231,7 +236,11 @@ def _column_values(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def categorical_rundown(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Value, rows, share and English label of low-cardinality columns."""
+    """Value, rows, share and English label of low-cardinality columns.
+
+    The window that relates a value to its column runs over the counted values
+    of one column, of which there are few (see :func:`low_cardinality_columns`).
+    """
     of_column = Window.partitionBy("column")
     return (
         _column_values(rows, columns)

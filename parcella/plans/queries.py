@@ -593,6 +593,35 @@ REPORTS: dict[str, tuple[Query, str | None]] = {
             "FROM raw_rows"
         ),
     ),
+    "rows_per_sale_hist_20": (
+        lambda t: quality.rows_per_sale_histogram(t.raw, 20),
+        on_raw(
+            "SELECT rows_per_sale, COUNT(*) AS n_sales FROM (SELECT COUNT(*) AS rows_per_sale "
+            "FROM raw_rows GROUP BY id_mutation) GROUP BY 1 ORDER BY 1 LIMIT 20"
+        ),
+    ),
+    "biggest_sales_10": (
+        lambda t: quality.biggest_sales(t.raw, 10).drop("nature"),
+        on_raw(
+            "SELECT id_mutation, MIN(valeur_fonciere) AS price, MIN(nom_commune) AS commune, "
+            "MIN(date_mutation) AS date FROM raw_rows "
+            "GROUP BY id_mutation ORDER BY price DESC NULLS LAST, id_mutation LIMIT 10"
+        ),
+    ),
+    "rooms_hist_1_12": (
+        lambda t: quality.rooms_histogram(t.raw, between=(1, 12)),
+        on_raw(
+            "SELECT nombre_pieces_principales AS rooms, COUNT(*) AS rows FROM raw_rows "
+            "WHERE type_local = 'Maison' AND nombre_pieces_principales BETWEEN 1 AND 12 GROUP BY 1"
+        ),
+    ),
+    "dedup_impact_1_4": (
+        lambda t: houses.dedup_impact(t.sales, 4),
+        on_sales(
+            "SELECT n_maison_rows AS raw_rows, n_maisons AS deduped, COUNT(*) AS n_sales "
+            "FROM sales WHERE n_maison_rows BETWEEN 1 AND 4 GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20"
+        ),
+    ),
     "id_collisions": (
         lambda t: quality.id_collisions(t.raw),
         varying("year", "ids_in_several_years"),
@@ -712,6 +741,14 @@ STUDIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "borderline_types": (lambda t: policy.borderline_types(t.raw), row_types_sql(11, 15)),
+    "borderline_types_labelled": (
+        lambda t: policy.borderline_types(t.raw, "(terrain/parcel)"),
+        on_raw(
+            FLAGGED
+            + "SELECT COALESCE(type_local, '(terrain/parcel)') AS type_local, COUNT(*) AS rows "
+            + "FROM raw_rows JOIN f USING (id_mutation) WHERE n_rows BETWEEN 11 AND 15 GROUP BY 1"
+        ),
+    ),
     "kept_types": (lambda t: policy.kept_types(t.raw), row_types_sql(6, 10)),
     "policy_before_after": (
         lambda t: policy.policy_before_after(t.raw),
@@ -799,6 +836,20 @@ STUDIES: dict[str, tuple[Query, str | None]] = {
             ORDER BY pct_2house DESC, department_code LIMIT 15"""
         ),
     ),
+    "dept_two_house_share_all": (
+        lambda t: houses.department_two_house_share(
+            t.sales, MIN_DEPARTMENT_SALES, min_area=False
+        ).drop("urban_rural_proxy"),
+        on_sales(
+            f""", d AS (SELECT department_code,
+              COUNT(*) FILTER (WHERE n_maisons = 1) AS n_1house,
+              COUNT(*) FILTER (WHERE n_maisons = 2) AS n_2house
+            FROM sales WHERE n_maisons IN (1, 2) AND n_appartements = 0 GROUP BY department_code)
+            SELECT *, ROUND(100.0::DOUBLE * n_2house / (n_1house + n_2house), 1) AS pct_2house
+            FROM d WHERE n_1house + n_2house > {MIN_DEPARTMENT_SALES}
+            ORDER BY pct_2house DESC, department_code LIMIT 15"""
+        ),
+    ),
     "dept_ppm2_gap": (
         lambda t: houses.department_ppm2_gap(t.sales, GAP_DEPARTMENTS),
         on_sales(
