@@ -84,12 +84,16 @@ def two_house_trimmed(qualifying: DataFrame) -> DataFrame:
     ).orderBy("year")
 
 
-def two_house_extremes(qualifying: DataFrame, dearest: bool, limit: int = 10) -> DataFrame:
-    """The dearest or cheapest qualifying sales."""
-    order = F.desc("price") if dearest else F.asc("price")
+def two_house_extremes(rows: DataFrame, dearest: bool, limit: int = 10) -> DataFrame:
+    """The dearest or cheapest qualifying sales of the raw rows.
+
+    Ranked on numbers alone; the details are then read for the winners.
+    """
+    order = [F.desc("price") if dearest else F.asc("price"), F.col("id_mutation")]
+    top = two_house_sales(rows).select("id_mutation", "price").orderBy(*order).limit(limit)
     return (
-        qualifying.orderBy(order, "id_mutation")
-        .limit(limit)
+        two_house_sales(only_ids(rows, top))
+        .orderBy(*order)
         .select(
             "id_mutation",
             "year",

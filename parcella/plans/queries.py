@@ -118,8 +118,8 @@ def unnested(select: str, source: str) -> str:
 
 
 def qualifying(t: Store) -> DataFrame:
-    """The two-house sales as a stored table."""
-    return io.materialise(houses.two_house_sales(t.raw), "qualifying")
+    """What the price reports need of the two-house sales, as a stored table."""
+    return io.materialise(houses.two_house_sales(t.raw).select("year", "price"), "qualifying")
 
 
 def long_trend(t: Store, granularity="year", split="none", bbox=None) -> DataFrame:
@@ -187,7 +187,9 @@ SOURCES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "materialise": (
-        lambda t: qualifying(t).select("id_mutation", "price"),
+        lambda t: io.materialise(
+            houses.two_house_sales(t.raw).select("id_mutation", "price"), "qualifying"
+        ),
         on_raw(
             "SELECT id_mutation, MIN(valeur_fonciere) AS price FROM raw_rows GROUP BY id_mutation "
             "HAVING COUNT(*) FILTER (WHERE type_local = 'Maison') = 2 "
@@ -709,11 +711,11 @@ STUDIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "two_house_top10": (
-        lambda t: houses.two_house_extremes(qualifying(t), dearest=True),
+        lambda t: houses.two_house_extremes(t.raw, dearest=True),
         on_raw(QUALIFYING + EXTREME + "ORDER BY q.price DESC, id_mutation LIMIT 10"),
     ),
     "two_house_bottom10": (
-        lambda t: houses.two_house_extremes(qualifying(t), dearest=False),
+        lambda t: houses.two_house_extremes(t.raw, dearest=False),
         on_raw(QUALIFYING + EXTREME + "ORDER BY q.price, id_mutation LIMIT 10"),
     ),
     "two_house_trimmed": (
