@@ -95,7 +95,3 @@ def english_label(value: Column) -> Column:
     """English label of a category value, empty when there is none."""
     labels = F.create_map(*[F.lit(x) for x in chain(*S.VALUE_LABELS.items())])
     return F.coalesce(F.try_element_at(labels, value), F.lit(""))
-
-
-def rounded(column: Column | str, digits: int = 0) -> Column:
-    return F.round(column, digits)

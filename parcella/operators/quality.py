@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcella import schema as S
 from parcella.functions import columns as C
 from parcella.operators import summaries as Q
 from parcella.sources.tables import materialise

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcella.functions import columns as C
 from parcella.functions.filters import Bbox, BuildingSpec, SaleFilter
 from parcella.operators import (
     derive,
@@ -70,13 +71,13 @@ IN_FRANCE = "latitude BETWEEN 40 AND 52 AND longitude BETWEEN -7 AND 11"
 PPM2 = "CASE WHEN price_per_m2 BETWEEN 100 AND 30000 THEN price_per_m2 END"
 
 
-def columns(names: str) -> list[str]:
+def names_in(names: str) -> list[str]:
     return [c.strip() for c in names.split(",")]
 
 
 def flat(sales: DataFrame) -> DataFrame:
     """Sales without the nested list."""
-    return sales.select(*columns(SALE_COLUMNS))
+    return sales.select(*names_in(SALE_COLUMNS))
 
 
 def flat_buildings(df: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ NO_SPLIT = "CAST(NULL AS VARCHAR)"
 
 SOURCES: dict[str, tuple[Query, str | None]] = {
     "ingest_csv": (
-        lambda t: io.read_raw_csv(t.spark, t.csv_path, t.csv_schema).select(*columns(RAW_COLUMNS)),
+        lambda t: io.read_raw_csv(t.spark, t.csv_path, t.csv_schema).select(*names_in(RAW_COLUMNS)),
         on_raw(f"SELECT {RAW_COLUMNS} FROM raw_rows"),
     ),
     "ingest_dates": (
@@ -157,11 +158,11 @@ SOURCES: dict[str, tuple[Query, str | None]] = {
     "write_partitioned": (
         lambda t: io.ingest(
             t.spark, t.csv_path, io.workspace(t.spark, "ingested"), t.csv_schema
-        ).select(*columns(RAW_COLUMNS)),
+        ).select(*names_in(RAW_COLUMNS)),
         on_raw(f"SELECT {RAW_COLUMNS} FROM raw_rows"),
     ),
     "scan_partitioned": (
-        lambda t: t.raw.where("year = 1997").select(*columns(RAW_COLUMNS)),
+        lambda t: t.raw.where("year = 1997").select(*names_in(RAW_COLUMNS)),
         on_raw(f"SELECT {RAW_COLUMNS} FROM raw_rows WHERE year = 1997"),
     ),
     "scan_sales": (
@@ -259,7 +260,7 @@ FILTERS: dict[str, tuple[Query, str | None]] = {
         on_sales("SELECT id_mutation, n_rows, price_eur FROM sales"),
     ),
     "building_rows": (
-        lambda t: t.raw.where(derive.C.is_building()).select(
+        lambda t: t.raw.where(C.is_building()).select(
             "id_mutation", "type_local", "surface_reelle_bati", "nombre_pieces_principales"
         ),
         on_raw(
@@ -450,7 +451,7 @@ RUNDOWN_SQL = " UNION ALL ".join(
 LOW_CARDINALITY_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", COUNT(DISTINCT {c}) AS n_values FROM raw_rows
     HAVING COUNT(DISTINCT {c}) <= 10"""
-    for c in columns(RAW_COLUMNS)
+    for c in names_in(RAW_COLUMNS)
 )
 
 REPORTS: dict[str, tuple[Query, str | None]] = {
@@ -644,7 +645,7 @@ REPORTS: dict[str, tuple[Query, str | None]] = {
         lambda t: t.raw.select(
             "id_mutation",
             F.col("nature_mutation").alias("value"),
-            quality.C.english_label(F.col("nature_mutation")).alias("english"),
+            C.english_label(F.col("nature_mutation")).alias("english"),
         ),
         on_raw(
             f"SELECT id_mutation, value, {LABELS_SQL} AS english FROM "

@@ -9,8 +9,20 @@ import pytest
 from frames import house, parcel, raw, sales
 from pyspark.sql import functions as F
 
+from parcella import schema as S
 from parcella.functions.filters import SaleFilter
-from parcella.operators import bulk, derive, houses, lookup, maps, market, policy, quality, searches
+from parcella.operators import (
+    bulk,
+    derive,
+    houses,
+    lookup,
+    maps,
+    market,
+    policy,
+    quality,
+    searches,
+)
+from parcella.operators import summaries as Q
 from parcella.plans.queries import BOX, YEARS
 from parcella.plans.store import open_store
 
@@ -63,7 +75,7 @@ def test_hot_sale_is_left_out_before_the_shuffle(skewed, store, monkeypatch):
 
 
 def rows_of(store):
-    return [F.col(c) for c in derive.S.SALES_SCHEMA.fieldNames()]
+    return [F.col(c) for c in S.SALES_SCHEMA.fieldNames()]
 
 
 def test_sample_never_changes_the_result(store, monkeypatch):
@@ -89,8 +101,6 @@ def test_hot_group_median(spark):
         "CASE WHEN id % 10 < 9 THEN 'hot' ELSE 'cold' END AS k",
         "CASE WHEN id % 3 = 0 THEN 7D ELSE CAST(id AS DOUBLE) END AS x",
     )
-    from parcella.operators import summaries as Q
-
     got = {r.k: r.m for r in Q.summarise(df, ["k"], {"m": Q.median("x")}).collect()}
     want = {r.k: r.m for r in df.groupBy("k").agg(F.median("x").alias("m")).collect()}
     assert got == want
@@ -189,7 +199,7 @@ def test_one_pass_equals_parts(spark):
     )
     both = derive.sale_totals(rows).join(derive.building_totals(rows), "id_mutation")
     parts = both.where(derive.residential_policy())
-    columns = sorted(set(parts.columns) & set(derive.S.SALES_SCHEMA.fieldNames()))
+    columns = sorted(set(parts.columns) & set(S.SALES_SCHEMA.fieldNames()))
     whole = derive.derive_sales(rows).select(*columns)
     assert whole.exceptAll(parts.select(*columns)).count() == 0
     assert whole.count() == parts.count() == 12
