@@ -64,7 +64,7 @@ def fresh_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def arrow_map(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Apply ``run`` to every Arrow batch; a batch may give several."""
 
     def each(batches):

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import licenses, minmax, topk
+from parcella.llm import licenses, minmax, quality, topk, toxicity
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(documents, table(spark, sf_dir, "labels"))
+    names = [*toxicity.CATEGORIES, toxicity.LAST]
+    chances = [F.col("p_toxicity")[i].alias(f"p_{name}") for i, name in enumerate(names)]
+    return scored.select("doc_id", *chances, (F.col("p_toxicity")[len(names) - 1] >= toxicity.THRESHOLD).alias("toxic"))
+
+
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +76,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def _template_rows() -> str:
     rows = []
     for t in licenses.templates():
@@ -99,9 +112,11 @@ FROM worded LEFT JOIN found USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op8_topk": op8_topk,
     "op9_license_scan": op9_license_scan,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minmax_dedup": OP3_SQL,
