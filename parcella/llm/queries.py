@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import licenses, minmax, quality, topk, toxicity
+from parcella.llm import licenses, minmax, pieces, pii, quality, topk, toxicity
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,23 @@ FROM sets s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY d
 """
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(documents))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    extra = F.size(F.filter("spans", lambda s: ~s.base)).cast("long").alias("n_added")
+    return found.select("doc_id", *pii.digest(), extra)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -114,6 +131,8 @@ FROM worded LEFT JOIN found USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_minmax_dedup": op3_minmax_dedup,
+    "op5_pieces": op5_pieces,
+    "op6_personal_data": op6_personal_data,
     "op8_topk": op8_topk,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
