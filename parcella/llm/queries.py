@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import licenses, minmax, pieces, pii, quality, topk, toxicity
+from parcella.llm import decontamination, licenses, minmax, pieces, pii, quality, topk, toxicity
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(documents, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.size("leaks").cast("long").alias("n_items"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.array_max("leaks.share").alias("largest_share"),
+        (F.size("leaks") > 0).alias("contaminated"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -129,6 +141,7 @@ FROM worded LEFT JOIN found USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op5_pieces": op5_pieces,
