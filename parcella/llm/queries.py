@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import decontamination, licenses, minmax, pieces, pii, quality, topk, toxicity
+from parcella.llm import decontamination, licenses, minmax, pieces, pii, quality, suffix_dedup, topk, toxicity
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +73,17 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.digest(), extra)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.expr("cast(size(ranges) / 2 AS bigint)").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -146,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minmax_dedup": op3_minmax_dedup,
     "op5_pieces": op5_pieces,
     "op6_personal_data": op6_personal_data,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_topk": op8_topk,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
