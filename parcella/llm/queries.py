@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import decontamination, licenses, minmax, pieces, pii, quality, suffix_dedup, topk, toxicity
+from parcella.llm import decontamination, html_blocks, licenses, minmax, pieces, pii, quality, suffix_dedup, topk, toxicity
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +56,11 @@ FROM sets s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY d
 """
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = pieces.decode(pieces.encode(documents))
@@ -155,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_minmax_dedup": op3_minmax_dedup,
+    "op4_html_text": op4_html_text,
     "op5_pieces": op5_pieces,
     "op6_personal_data": op6_personal_data,
     "op7_suffix_dedup": op7_suffix_dedup,
