@@ -113,10 +113,6 @@ class SaleFilter:
     land_area_max: float | None = None
     building_specs: tuple[BuildingSpec, ...] = field(default=())
 
-    def __post_init__(self):
-        if len(self.building_specs) > S.MAX_BUILDING_SPECS:
-            raise ValueError(f"at most {S.MAX_BUILDING_SPECS} building specs")
-
     def predicate(self) -> Column:
         parts = [F.col("year").between(self.year_min, self.year_max)]
         if self.department != "all":
@@ -143,12 +139,18 @@ class SaleFilter:
 
     @classmethod
     def from_query(cls, text: str) -> SaleFilter:
-        """Decode a shareable address (see :meth:`to_query`)."""
-        given = dict(parse_qsl(text.lstrip("?"), keep_blank_values=True))
+        """Decode a shareable address (see :meth:`to_query`).
+
+        Leading question marks go, the first value of a repeated key counts, a key without a
+        value reads as zero, unknown keys are ignored, and any number of building
+        specs is allowed. A bound that is no number raises ``ValueError``.
+        """
+        given: dict[str, str] = {}
+        for key, value in parse_qsl(text.lstrip("?"), keep_blank_values=True):
+            given.setdefault(key, value)
         values = {}
         for key, name in cls._KEYS.items():
             if key in given:
-                # A key without a value reads as zero.
                 values[name] = given[key] if key == "dept" else _number(given[key] or "0")
         specs = []
         for part in filter(None, given.get("bs", "").split(";")):
@@ -173,38 +175,3 @@ class SaleFilter:
                 for s in self.building_specs
             )
         return urlencode(given)
-
-
-@dataclass(frozen=True)
-class DashboardState:
-    """All that a shareable address holds: filter, chart options, map view."""
-
-    filter: SaleFilter = SaleFilter()
-    granularity: str = "month"
-    split: str = "none"
-    center: tuple[float, float] | None = None
-    zoom: float | None = None
-
-    @classmethod
-    def from_query(cls, text: str) -> DashboardState:
-        given = dict(parse_qsl(text.lstrip("?"), keep_blank_values=True))
-        options = {}
-        if given.get("gran") in ("year", "month", "week"):
-            options["granularity"] = given["gran"]
-        if given.get("split") in ("none", "type", "n_houses"):
-            options["split"] = given["split"]
-        if {"mlat", "mlng", "mz"} <= given.keys():
-            options["center"] = (float(given["mlat"] or 0), float(given["mlng"] or 0))
-            options["zoom"] = float(given["mz"] or 0)
-        return cls(SaleFilter.from_query(text), **options)
-
-    def to_query(self) -> str:
-        given = {}
-        if self.granularity != "month":
-            given["gran"] = self.granularity
-        if self.split != "none":
-            given["split"] = self.split
-        if self.center is not None and self.zoom is not None:
-            given["mlat"], given["mlng"] = (f"{x:.5f}" for x in self.center)
-            given["mz"] = f"{self.zoom:g}"
-        return "&".join(filter(None, [self.filter.to_query(), urlencode(given)]))

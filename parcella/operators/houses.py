@@ -180,7 +180,6 @@ def dedup_impact(sales: DataFrame, max_rows: int = 5) -> DataFrame:
         .groupBy(F.col("n_maison_rows").alias("raw_rows"), F.col("n_maisons").alias("deduped"))
         .agg(F.count("*").alias("n_sales"))
         .orderBy("raw_rows", "deduped")
-        .limit(20)
     )
 
 

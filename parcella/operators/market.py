@@ -20,7 +20,7 @@ def matching(sales: DataFrame, flt: SaleFilter, bbox: Bbox | None = None) -> Dat
 
 
 def price_summary(
-    sales: DataFrame, keys: list[str], ppm2_name: str, bounded_keys: bool = True
+    sales: DataFrame, keys: list[str], ppm2_name: str
 ) -> DataFrame:
     """Number of sales, median price and median plausible price per m²."""
     medians = {"median_price": Q.median("price_eur"), ppm2_name: Q.median("plausible_ppm2")}
@@ -28,7 +28,6 @@ def price_summary(
         sales.withColumn("plausible_ppm2", C.plausible_ppm2()),
         keys,
         {"n_sales": Q.count(), **medians},
-        broadcast_targets=bounded_keys,
     ).withColumns({name: F.round(name).cast("bigint") for name in medians})
 
 
@@ -40,6 +39,15 @@ def count_sales(sales: DataFrame, flt: SaleFilter, bbox: Bbox | None = None) ->
     return matching(sales, flt, bbox).agg(F.count("*").alias("n"))
 
 
+def _categorised(sales: DataFrame, flt: SaleFilter, bbox: Bbox | None, split: str) -> DataFrame:
+    """Matching sales that have a category of the split."""
+    kept = matching(sales, flt, bbox)
+    if split == "n_houses":
+        kept = kept.where(F.col("n_maisons").between(1, S.MAX_HOUSES_CATEGORY))
+    kept = kept.withColumn("category", C.split_category(split))
+    return kept if split == "none" else kept.where(F.col("category").isNotNull())
+
+
 def trend(
     sales: DataFrame,
     flt: SaleFilter,
@@ -48,14 +56,7 @@ def trend(
     split: str = "none",
 ) -> DataFrame:
     """Long trend: one row per calendar bucket and category."""
-    kept = matching(sales, flt, bbox)
-    if split == "n_houses":
-        kept = kept.where(F.col("n_maisons").between(1, S.MAX_HOUSES_CATEGORY))
-    kept = kept.withColumns(
-        {"bucket": C.time_bucket(granularity), "category": C.split_category(split)}
-    )
-    if split != "none":
-        kept = kept.where(F.col("category").isNotNull())
+    kept = _categorised(sales, flt, bbox, split).withColumn("bucket", C.time_bucket(granularity))
     return price_summary(kept, ["bucket", "category"], "median_eur_per_m2").orderBy(
         "bucket", "category"
     )
@@ -79,5 +80,8 @@ def trend_wide(long: DataFrame, split: str = "none") -> DataFrame:
     return long.groupBy("bucket").agg(*cells).orderBy("bucket")
 
 
-def trend_total(long: DataFrame) -> DataFrame:
-    return long.agg(F.coalesce(F.sum("n_sales"), F.lit(0)).alias("total_sales"))
+def trend_total(
+    sales: DataFrame, flt: SaleFilter, bbox: Bbox | None = None, split: str = "none"
+) -> DataFrame:
+    """Sales that the trend with this split covers, whatever its buckets."""
+    return _categorised(sales, flt, bbox, split).agg(F.count("*").alias("total_sales"))

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcella import schema as S
 from parcella.functions import columns as C
 from parcella.operators import summaries as Q
 from parcella.sources.tables import materialise
 
+# Fixed value: the label of rows without a type.
 PARCEL_LABEL = "(null — terrain/parcel)"
 
+# Rows that may prove a column to have many values.
+PROOF_ROWS = 10_000
+
 
 def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given sales; ``ids`` must be bounded by a limit."""
-    return rows.join(F.broadcast(ids.select("id_mutation")), "id_mutation", "left_semi")
+    """Rows of the given sales. Spark sees how small a limited ``ids`` is and broadcasts it."""
+    return rows.join(ids.select("id_mutation"), "id_mutation", "left_semi")
 
 
 def _total(condition: Column) -> Column:
@@ -234,12 +239,15 @@ def _column_values(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def categorical_rundown(rows: DataFrame, columns: list[str]) -> DataFrame:
+def categorical_rundown(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Value, rows, share and English label of low-cardinality columns.
 
+    Without ``columns``, those of the usual ones that the table has.
+
     The window that relates a value to its column runs over the counted values
     of one column, of which there are few (see :func:`low_cardinality_columns`).
     """
+    columns = columns or [c for c in S.CATEGORICAL_COLUMNS if c in rows.columns]
     of_column = Window.partitionBy("column")
     return (
         _column_values(rows, columns)
@@ -256,17 +264,17 @@ def low_cardinality_columns(
 ) -> DataFrame:
     """Columns with at most ``max_values`` distinct values.
 
-    A constant-size sketch per column rules out the others first (one summary
-    row comes to the driver), so exact counting never shuffles ids or prices.
+    Columns that show more values in some rows are ruled out by that alone, so
+    that counting the others exactly rarely shuffles ids or prices. Which rows
+    these are changes what is counted, never the result.
     """
     columns = columns or rows.columns
-    sketch = rows.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    # Four standard errors and a few values of slack: no candidate is missed.
-    likely = [c for c in columns if sketch[c] <= max_values * 1.2 + 5]
-    if not likely:
-        likely = columns[:1]
+    shown = rows.select(*columns).limit(PROOF_ROWS).agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    undecided = [c for c in columns if shown[c] <= max_values]
+    if not undecided:
+        return rows.sparkSession.createDataFrame([], "column string, n_values bigint")
     return (
-        _column_values(rows, likely)
+        _column_values(rows, undecided)
         .groupBy("column")
         .agg(F.count("value").alias("n_values"))
         .where(F.col("n_values") <= max_values)

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from parcella import schema as S
 from parcella.operators.market import price_summary
-from parcella.sources.tables import materialise
 
 ANY = "any"
 ALL = "all"
-MAX_BROADCAST_SEARCHES = 10_000
 SALTS = 64
+OK, MALFORMED = "ok", "malformed"
 
 # Keys of a shareable address and the bounds they set.
 _BOUNDS = {
@@ -23,16 +22,34 @@ _BOUNDS = {
     "lamin": "land_min",
     "lamax": "land_max",
 }
+_YEARS = {"ymin": ("year_min", S.DEFAULT_YEARS[0]), "ymax": ("year_max", S.DEFAULT_YEARS[1])}
+
+
+def _fields(query: Column) -> Column:
+    """Decoded (key, value) pairs of an address, in order; a key without = has an empty value."""
+    parts = F.split(F.regexp_replace(F.coalesce(query, F.lit("")), r"^\?+", ""), "&")
+
+    def pair(p: Column) -> Column:
+        cut = F.instr(p, "=")
+        value = F.when(cut > 0, F.substr(p, cut + 1)).otherwise("")
+        key = F.when(cut > 0, F.substr(p, F.lit(1), cut - 1)).otherwise(p)
+        return F.struct(F.try_url_decode(key).alias("key"), F.try_url_decode(value).alias("value"))
+
+    return F.transform(F.filter(parts, lambda p: p != ""), pair)
 
 
 def _given(fields: Column, key: str) -> Column:
-    return F.url_decode(F.try_element_at(fields, F.lit(key)))
+    """The first value of a key."""
+    return F.get(F.filter(fields, lambda p: p["key"] == key), F.lit(0))["value"]
+
+
+def _number(text: Column) -> Column:
+    """NULL when the text is absent or no number, zero when it is empty."""
+    return F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
 
 
-def _number(fields: Column, key: str) -> Column:
-    """NULL when the key is absent, zero when it is there without a value."""
-    text = _given(fields, key)
-    return F.when(text == "", F.lit(0.0)).otherwise(text.cast("double"))
+def _is_bad(text: Column) -> Column:
+    return (text != "") & text.try_cast("double").isNull()
 
 
 def _spec(text: Column) -> Column:
@@ -40,7 +57,7 @@ def _spec(text: Column) -> Column:
     part = F.split(text, ":")
 
     def bound(i: int) -> Column:
-        return F.nullif(F.get(part, F.lit(i)), F.lit("")).cast("double")
+        return F.nullif(F.get(part, F.lit(i)), F.lit("")).try_cast("double")
 
     kind = F.get(part, F.lit(0))
     return F.struct(
@@ -55,11 +72,11 @@ def _spec(text: Column) -> Column:
 def decode_searches(searches: DataFrame) -> DataFrame:
     """(search_id, query) rows to one column per filter, defaults filled in.
 
-    ``specs`` holds each distinct building spec once, with how often it was
-    given.
+    The same contract as :meth:`SaleFilter.from_query`; a search that it would
+    refuse has the status ``malformed`` here. ``specs`` holds each distinct
+    building spec once, with how often it was given.
     """
-    fields = F.str_to_map("query", F.lit("&"), F.lit("="))
-    raw = searches.select("search_id", fields.alias("f"))
+    raw = searches.select("search_id", _fields(F.col("query")).alias("f"))
     f = F.col("f")
     parts = F.filter(F.split(F.coalesce(_given(f, "bs"), F.lit("")), ";"), lambda p: p != "")
     specs = F.transform(parts, _spec)
@@ -67,15 +84,19 @@ def decode_searches(searches: DataFrame) -> DataFrame:
         F.array_distinct(specs),
         lambda s: F.struct(s.alias("spec"), F.size(F.filter(specs, lambda o: o == s)).alias("n")),
     )
-    years = {"ymin": ("year_min", S.DEFAULT_YEARS[0]), "ymax": ("year_max", S.DEFAULT_YEARS[1])}
+    bad_spec = F.exists(parts, lambda p: F.exists(F.slice(F.split(p, ":"), 2, 4), _is_bad))
+    bad = F.exists(f, lambda p: p["key"].isNull() | p["value"].isNull()) | bad_spec
+    for key in (*_YEARS, *_BOUNDS):
+        bad = bad | F.coalesce(_is_bad(_given(f, key)), F.lit(False))
     return raw.select(
         "search_id",
+        F.when(bad, MALFORMED).otherwise(OK).alias("status"),
         *[
-            F.coalesce(_number(f, key).cast("int"), F.lit(default)).alias(name)
-            for key, (name, default) in years.items()
+            F.coalesce(_number(_given(f, key)).cast("int"), F.lit(default)).alias(name)
+            for key, (name, default) in _YEARS.items()
         ],
         F.coalesce(_given(f, "dept"), F.lit(ALL)).alias("department"),
-        *[_number(f, key).alias(name) for key, name in _BOUNDS.items()],
+        *[_number(_given(f, key)).alias(name) for key, name in _BOUNDS.items()],
         counted.alias("specs"),
     )
 
@@ -104,25 +125,22 @@ def _specs_met() -> Column:
     )
 
 
-def is_small(searches: DataFrame) -> bool:
-    """Whether the searches are few enough to broadcast; counts no further."""
-    return searches.limit(MAX_BROADCAST_SEARCHES + 1).count() <= MAX_BROADCAST_SEARCHES
-
-
-def matching_pairs(sales: DataFrame, searches: DataFrame, small: bool) -> DataFrame:
+def matching_pairs(sales: DataFrame, searches: DataFrame) -> DataFrame:
     """(search, sale) pairs where the sale passes the search.
 
     An equality join on year and department finds the candidates: a search is
     repeated for each year it covers, and a sale stands under its department
-    and under ``all``. The other bounds are checked inside the join. A
-    ``small`` set of searches (see :func:`is_small`) is broadcast; otherwise
-    both sides are shuffled with a salt, so that no year or department is hot.
+    and under ``all``. The other bounds are checked inside the join. A salt
+    spreads both, so that no year or department is one task; Spark broadcasts
+    the searches if it sees that they are few. Malformed searches match nothing.
     """
     domain = sales.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    wanted = decode_searches(searches)
+    wanted = decode_searches(searches).where(F.col("status") == OK)
     first, last = domain.select("first").scalar(), domain.select("last").scalar()
     low, high = F.greatest("year_min", first), F.least("year_max", last)
     wanted = wanted.where(low <= high).withColumn("year", F.explode(F.sequence(low, high)))
+    salts = F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])
+    wanted = wanted.withColumn("salt", F.explode(salts))
     facts = sales.select(
         "id_mutation",
         "year",
@@ -132,17 +150,10 @@ def matching_pairs(sales: DataFrame, searches: DataFrame, small: bool) -> DataFr
         "land_area_m2",
         "buildings",
         F.explode(F.array(F.col("department_code"), F.lit(ALL))).alias("department"),
+        F.pmod(F.xxhash64("id_mutation"), F.lit(SALTS)).alias("salt"),
     )
-    keys = ["year", "department"]
-    if small:
-        wanted = F.broadcast(wanted)
-    else:
-        keys.append("salt")
-        salts = F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])
-        wanted = wanted.withColumn("salt", F.explode(salts))
-        facts = facts.withColumn("salt", F.pmod(F.xxhash64("id_mutation"), F.lit(SALTS)))
     return (
-        facts.join(wanted, keys)
+        facts.join(wanted, ["year", "department", "salt"])
         .where(
             _within("price_eur", "price_min", "price_max")
             & _within("built_area_m2", "area_min", "area_max")
@@ -154,14 +165,18 @@ def matching_pairs(sales: DataFrame, searches: DataFrame, small: bool) -> DataFr
 
 
 def saved_search_report(sales: DataFrame, searches: DataFrame) -> DataFrame:
-    """Number of sales and medians for every saved search."""
-    small = is_small(searches)
-    pairs = materialise(
-        matching_pairs(sales, searches, small).drop("id_mutation"), "saved-searches"
-    )
-    found = price_summary(pairs, ["search_id"], "median_per_m2", bounded_keys=small)
+    """Status, number of sales and medians of every saved search.
+
+    Pairs are counted straight out of the join, map-side, and never stored.
+    """
+    pairs = matching_pairs(sales, searches).drop("id_mutation")
+    found = price_summary(pairs, ["search_id"], "median_per_m2")
     return (
-        searches.select("search_id")
+        decode_searches(searches)
+        .select("search_id", "status")
         .join(found, "search_id", "left")
-        .withColumn("n_sales", F.coalesce("n_sales", F.lit(0).cast("bigint")))
+        .withColumn(
+            "n_sales",
+            F.when(F.col("status") == OK, F.coalesce("n_sales", F.lit(0).cast("bigint"))),
+        )
     )

@@ -90,14 +90,11 @@ def summarise(
     df: DataFrame,
     keys: list[str],
     measures: dict[str, Measure],
-    broadcast_targets: bool = True,
 ) -> DataFrame:
     """One row per ``keys`` with the given measures (one row in all without keys).
 
-    The wanted buckets, at most two per group and quantile, are broadcast. This
-    is for keys of a bounded domain (years, departments, communes, ...); pass
-    ``broadcast_targets=False`` for keys that grow with the data, and Spark
-    joins by shuffle unless it sees at run time that the side is small.
+    The wanted buckets, at most two per group and quantile, are broadcast only
+    if Spark sees at run time that they are few.
     """
     ks = [_quoted(k) for k in keys]
     by_key = f"GROUP BY {_list(ks)}" if ks else ""
@@ -112,7 +109,7 @@ def summarise(
     parts = [f"SELECT {_list(ks, plain)} FROM {{df}} {by_key}"]
     ctes = []
     if ranked:
-        ctes = _picked(ks, series, ranked, broadcast_targets)
+        ctes = _picked(ks, series, ranked)
         value = "_low + (_high - _low) * _share"
         slots = {name: i for i, name in enumerate(ranked)}
         picked = [
@@ -129,7 +126,7 @@ def summarise(
 
 
 def _picked(
-    ks: list[str], series: dict[str, int], ranked: dict[str, Measure], broadcast_targets: bool
+    ks: list[str], series: dict[str, int], ranked: dict[str, Measure]
 ) -> list[str]:
     """Statement parts that end in ``picked``: the values at the wanted ranks."""
     group = _list(ks, "_series")
@@ -149,7 +146,6 @@ def _picked(
         [f"l.{k} <=> t._key{i}" for i, k in enumerate(ks)]
         + ["l._series = t._of_series", "l._bucket = t._of_bucket"]
     )
-    hint = "/*+ BROADCAST(t) */" if broadcast_targets else ""
     return [
         # One row per value and series; rows without a value drop out.
         f"""long AS (
@@ -185,7 +181,7 @@ def _picked(
      OR ceil(_position) >= _before AND ceil(_position) < _before + _n
 )""",
         f"""found AS (
-  SELECT {hint} {cell}, {rank}, _value, count(*) AS _n
+  SELECT {cell}, {rank}, _value, count(*) AS _n
   FROM long l JOIN targets t ON {same}
   GROUP BY {cell}, {rank}, _value
 )""",

@@ -128,7 +128,6 @@ PPM2_RANGE = (100, 30000)
 TRIMMED_PRICE_RANGE = (20_000, 20_000_000)
 SINGLE_HOUSE_PRICE_RANGE = (1_000, 20_000_000)
 DEFAULT_YEARS = (2021, 2025)
-MAX_BUILDING_SPECS = 5
 MAX_HOUSES_CATEGORY = 5
 SPLIT_CATEGORIES = {
     "type": [HOUSE, APARTMENT, MIXED],

@@ -149,23 +149,23 @@ def test_type_reports_do_not_join(store):
     assert "Join" not in plan(houses.two_house_sales(store.raw))
 
 
-def test_saved_searches_salted_equal_broadcast(store, monkeypatch):
+def test_saved_searches_count_as_one_by_one(store, spark):
     few = store.searches().where("search_id <= 20")
-    broadcast = searches.saved_search_report(store.sales, few).collect()
-    assert "BroadcastHashJoin" in plan(searches.matching_pairs(store.sales, few, True))
-    monkeypatch.setattr(searches, "MAX_BROADCAST_SEARCHES", 0)
-    assert not searches.is_small(few)
-    salted = searches.saved_search_report(store.sales, few).collect()
-    assert sorted(broadcast) == sorted(salted)
-    for row in broadcast:
+    found = searches.saved_search_report(store.sales, few).collect()
+    for row in found:
         text = few.where(F.col("search_id") == row.search_id).first().query
         assert market.count_sales(store.sales, SaleFilter.from_query(text)).first().n == row.n_sales
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = searches.saved_search_report(store.sales, few).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(found) == sorted(shuffled)
 
 
 def test_saved_searches_do_not_pair_everything(store):
-    for small in (True, False):
-        text = plan(searches.matching_pairs(store.sales, store.searches(), small))
-        assert "CartesianProduct" not in text and "NestedLoop" not in text
+    text = plan(searches.matching_pairs(store.sales, store.searches()))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_search_defaults_and_empty_values(spark):
@@ -178,9 +178,24 @@ def test_search_defaults_and_empty_values(spark):
     assert found == {1: 2, 2: 1, 3: 0, 4: 3, 5: 0}
 
 
+def test_one_address_contract(spark):
+    """Both decoders agree on odd addresses, and a bad one spoils no other."""
+    df = sales(spark, {}, {"year": 1999}, {"department_code": "75"}, {"year": 2022})
+    good = ["?ymin=1990", "??ymin=1990&", "ymin=2021&ymin=2022", "ymin=2022&x=%41&x", "bs=" + "any%3A1%3A%3A%3A%3B" * 7, "dept=75&dept=33", "amin"]
+    bad = ["pmin=abc", "bs=any:1:x::", "ymax=20x1", "pmax=1,5"]
+    asked = spark.createDataFrame(list(enumerate([*good, *bad])), "search_id int, query string")
+    found = {r.search_id: r for r in searches.saved_search_report(df, asked).collect()}
+    for i, text in enumerate(good):
+        flt = SaleFilter.from_query(text)
+        assert (found[i].status, found[i].n_sales) == ("ok", df.where(flt.predicate()).count()), text
+    for i, text in enumerate(bad, len(good)):
+        assert (found[i].status, found[i].n_sales) == ("malformed", None)
+        with pytest.raises(ValueError):
+            SaleFilter.from_query(text)
+
+
 def test_totals_agree(store):
-    long = market.trend(store.sales, YEARS, None, "week", "type")
-    total = market.trend_total(long).first().total_sales
+    total = market.trend_total(store.sales, YEARS, split="type").first().total_sales
     assert total == market.count_sales(store.sales, YEARS).first().n == store.sales.count()
     odd = store.sales.where(
         (F.size("buildings") != F.col("n_maisons") + F.col("n_appartements"))
