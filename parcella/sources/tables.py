@@ -44,17 +44,9 @@ def with_year(rows: DataFrame) -> DataFrame:
     return rows.withColumn("year", F.year("date_mutation"))
 
 
-def write_partitioned(df: DataFrame, path: str, sort_by: list[str], mode: str = "overwrite"):
-    """Write Parquet partitioned by year, sorted inside the files.
-
-    ``rebalance`` brings the rows of a year together and lets adaptive
-    execution split a year that holds most of the data into several tasks, so a
-    hot year or sale is never written by one task alone. It also spreads the
-    rows of gzip files, which one task each has to read.
-    """
+def _write_by_year(df: DataFrame, path: str, sort_by: list[str], mode: str):
     (
-        df.hint("rebalance", "year")
-        .sortWithinPartitions("year", *sort_by)
+        df.sortWithinPartitions("year", *sort_by)
         .write.mode(mode)
         .option("compression", "zstd")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
@@ -64,18 +56,25 @@ def write_partitioned(df: DataFrame, path: str, sort_by: list[str], mode: str =
     )
 
 
-def write_raw(rows: DataFrame, path: str):
-    """Raw rows by year; rows of one sale end up next to each other.
+def write_raw(rows: DataFrame, path: str, mode: str = "overwrite"):
+    """Raw rows by year, in ranges of sale ids.
 
-    That makes the map-side part of every per-sale aggregation effective and
-    gives the file statistics a use for look-ups by id.
+    Rows are dealt to writers by ranges of (year, sale id), so the files of a year
+    have id ranges that do not overlap (up to their ends), and a look-up by id opens
+    few of them. A hash of the row is the last range key: a year that came from one gzip
+    file, and a sale that holds a large part of a year, are still cut at any size.
     """
-    write_partitioned(rows, path, ["id_mutation"])
+    splitter = F.xxhash64(*sorted(rows.columns))
+    _write_by_year(rows.repartitionByRange("year", "id_mutation", splitter), path, ["id_mutation"], mode)
 
 
-def write_sales(sales: DataFrame, path: str):
-    """Sales by year, clustered so that department and box filters skip data."""
-    write_partitioned(sales, path, ["department_code", "latitude"])
+def write_sales(sales: DataFrame, path: str, mode: str = "overwrite"):
+    """Sales by year, clustered so that department and box filters skip data.
+
+    ``rebalance`` brings the rows of a year together and lets adaptive execution split a
+    year between the outputs of the tasks before. Derived sales come out of a shuffle, so there are many.
+    """
+    _write_by_year(sales.hint("rebalance", "year"), path, ["department_code", "latitude"], mode)
 
 
 def read_table(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:

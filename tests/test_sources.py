@@ -120,3 +120,28 @@ def test_boundaries(spark, tmp_path):
     rows = io.read_boundaries(spark, str(path)).orderBy("code").collect()
     assert [(r.code, r.nom) for r in rows] == [("01", "Ain"), ("2A", "Corse")]
     assert json.loads(rows[0].geometry) == geometry
+
+
+def test_raw_files_have_disjoint_ids_and_a_hot_sale_is_cut(spark, tmp_path):
+    """A year from one gzip file, a third of it one sale, is written by several tasks."""
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN '2021-hot' ELSE concat('2021-', lpad(id, 6, '0')) END AS id_mutation",
+        "CAST(id AS DOUBLE) AS valeur_fonciere",
+        "repeat(md5(CAST(id AS STRING)), 4) AS nom_commune",
+    )
+    rows.coalesce(1).write.csv(str(tmp_path / "one"), compression="gzip", header=True)
+    one = spark.read.csv(str(tmp_path / "one"), header=True).withColumn("year", F.lit(2021))
+    assert one.rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the test data is tiny
+    try:
+        io.write_raw(one, str(tmp_path / "raw"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = io.read_table(spark, str(tmp_path / "raw"))
+    files = stored.groupBy("_metadata.file_path").agg(
+        F.min("id_mutation").alias("low"), F.max("id_mutation").alias("high"), F.count("*").alias("n")
+    )
+    ranges = sorted((r.low, r.high, r.n) for r in files.collect())
+    assert len(ranges) > 3 and stored.count() == 30_000
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    assert stored.where("id_mutation = '2021-hot'").select("_metadata.file_path").distinct().count() > 1
