@@ -2,16 +2,19 @@
 
 Spark's ``median``/``percentile`` keep every distinct value of a group in one
 aggregation buffer, so a group holding a third of the data ends in one task.
-Here an exact quantile is found in two bounded steps instead:
+Here an exact quantile is found in three bounded steps instead:
 
 1. count rows per (group, value bucket), where the bucket is a fixed monotone
    function of the value. The number of buckets per group has a fixed bound, so
    one window over the counts locates the bucket holding the wanted rank;
-2. read only the values of those buckets again, count the distinct ones, and
-   pick the wanted rank among them.
-
-Both steps combine map-side; ties collapse into counts. The whole summary is
-one SQL statement, so it is analysed once. It reads its input three times, each
+2. cut those buckets into cells and count again, which locates the cell;
+3. read only the values of those cells, count the distinct ones, and pick the
+   wanted rank among them. A cell is so narrow that only some half a million
+   different doubles exist in it.
+
+So no window sees more than about a million rows, however dense the values are.
+All steps combine map-side; ties collapse into counts. The whole summary is
+one SQL statement, so it is analysed once. It reads its input four times, each
 time only the columns needed: meant for stored tables. Store an expensive input
 first (``parcella.sources.tables.materialise``).
 """
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 # Buckets per factor e of magnitude: about 0.012 % relative width, and at most
 # about 280,000 buckets for values up to 1e15.
 BUCKETS_PER_E = 1 << 13
+# Cells of a bucket: 1.2e-4 / 2**20 in relative width, 500,000 doubles apart.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -146,11 +151,12 @@ def _picked(
         [f"l.{k} <=> t._key{i}" for i, k in enumerate(ks)]
         + ["l._series = t._of_series", "l._bucket = t._of_bucket"]
     )
+    position = f"signum(_value) * log1p(abs(_value)) * {BUCKETS_PER_E}"
     return [
         # One row per value and series; rows without a value drop out.
         f"""long AS (
-  SELECT {group}, _value,
-         floor(signum(_value) * log1p(abs(_value)) * {BUCKETS_PER_E}) AS _bucket
+  SELECT {group}, _value, floor({position}) AS _bucket,
+         floor(({position} - floor({position})) * {CELLS}) AS _part
   FROM (SELECT {_list(ks, values)} FROM {{df}}) UNPIVOT (_value FOR _series IN ({names}))
 )""",
         f"""histogram AS (
@@ -179,14 +185,33 @@ def _picked(
   FROM positions
   WHERE floor(_position) >= _before AND floor(_position) < _before + _n
      OR ceil(_position) >= _before AND ceil(_position) < _before + _n
+)""",
+        f"""parts_counted AS (
+  SELECT {cell}, _series, {rank}, _part, count(*) AS _n
+  FROM long l JOIN targets t ON {same}
+  GROUP BY {cell}, _series, {rank}, _part
+)""",
+        # A slot has one bucket or two adjacent ones, so counting on from the
+        # first one gives every cell the rank of its first value.
+        f"""parts_placed AS (
+  SELECT *, min(_before) OVER (PARTITION BY {cell}) - _n
+            + sum(_n) OVER (PARTITION BY {cell} ORDER BY _bucket, _part
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _start
+  FROM parts_counted
+)""",
+        f"""fine_targets AS (
+  SELECT {_list(aliased, "_series AS _of_series", "_bucket AS _of_bucket", "_part AS _of_part", "_slot")},
+         _start AS _before, _position, _rank_low, _rank_high
+  FROM parts_placed
+  WHERE _rank_low >= _start AND _rank_low < _start + _n
+     OR _rank_high >= _start AND _rank_high < _start + _n
 )""",
         f"""found AS (
   SELECT {cell}, {rank}, _value, count(*) AS _n
-  FROM long l JOIN targets t ON {same}
+  FROM long l JOIN fine_targets t ON {same} AND l._part = t._of_part
   GROUP BY {cell}, {rank}, _value
 )""",
-        # A cell has one bucket or two adjacent ones, so counting on from the
-        # first one gives every value its rank.
+        # The same for the values of one cell or two adjacent ones.
         f"""placed AS (
   SELECT *, min(_before) OVER (PARTITION BY {cell}) - _n
             + sum(_n) OVER (PARTITION BY {cell} ORDER BY _value

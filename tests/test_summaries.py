@@ -89,16 +89,34 @@ def test_without_keys_and_by_shuffle(spark):
     assert tuple(whole) == (100, 50.5)
     nothing = Q.summarise(df.where("x < 0"), [], {"n": Q.count(), "m": Q.median("x")}).first()
     assert tuple(nothing) == (0, None)
-    both = [
-        sorted(map(tuple, Q.summarise(df, ["bucket"], {"m": Q.median("x")}, b).collect()))
-        for b in (True, False)
-    ]
-    assert both[0] == both[1] == [(0, 51.0), (1, 50.0)]
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = sorted(map(tuple, Q.summarise(df, ["bucket"], {"m": Q.median("x")}).collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert found == [(0, 51.0), (1, 50.0)]
 
 
 def test_no_group_in_one_buffer(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS x")
     plan = Q.summarise(df, ["k"], {"n": Q.count(), "m": Q.median("x")})._jdf.queryExecution()
     text = plan.executedPlan().toString()
-    assert "ObjectHashAggregate" not in text and "SortMergeJoin" not in text
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text
+    assert "ObjectHashAggregate" not in text and "NestedLoop" not in text
+    assert "CartesianProduct" not in text
+
+
+def test_dense_values_of_one_hot_group(spark):
+    """Very many different values within one bucket: exact, and spread over many cells."""
+    df = spark.range(400_000).selectExpr(
+        "CASE WHEN id % 1000 = 0 THEN 'rare' ELSE 'hot' END AS k",
+        "1000 + (id * 7919 % 400000) / 2e7D AS x",
+    )
+    rows = {r.k: r for r in Q.summarise(df, ["k"], {"n": Q.count(), "m": Q.median("x"), "p": Q.quantile("x", 0.999)}).collect()}
+    for key, g in df.toPandas().groupby("k"):
+        assert (rows[key].n, rows[key].m, rows[key].p) == (len(g), pytest.approx(g.x.median(), rel=1e-15), pytest.approx(g.x.quantile(0.999), rel=1e-15))
+    scaled = np.log1p(df.toPandas().x.to_numpy()) * Q.BUCKETS_PER_E
+    buckets = np.floor(scaled)
+    assert len(np.unique(buckets)) <= 2
+    _, counts = np.unique(buckets * Q.CELLS + np.floor((scaled - buckets) * Q.CELLS), return_counts=True)
+    assert counts.max() <= 10
