@@ -1,0 +1,467 @@
+"""Every operator against brute force on odd rows, and on empty tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest import BODY, OTHER  # noqa: F401  the folder's own
+from pyspark.sql import functions as F
+
+from parcella.llm import (
+    decontamination,
+    html_blocks,
+    licenses,
+    minmax,
+    pieces,
+    pii,
+    quality,
+    sais,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
+
+SF = "/root/testdata/sf0.01"
+
+
+def rows_of(frame, *columns):
+    return [tuple(r) for r in frame.select(*columns).collect()]
+
+
+# 1: benchmark decontamination
+
+
+def test_leaks_are_found_exactly_and_reworded(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    hosts, draw, planted = list(texts.values())[:80], random.Random(3), {}
+    rows = []
+    for k, (item, text) in enumerate(items):
+        reworded = [draw.choice(hosts[k].split()) if draw.random() < 0.15 else w for w in text.split()]
+        for words in (text.split(), reworded):
+            host = hosts[(7 * k) % 80].split()
+            at = draw.randint(0, len(host))
+            planted[10_000_000 + len(rows)] = (item, words is reworded)
+            rows.append((10_000_000 + len(rows), " ".join(host[:at] + words + host[at:])))
+    every = documents.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = decontamination.find_leaks(every, benchmark).where("size(leaks) > 0")
+    found = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in found.collect()}
+    exact = {(d, i) for d, t in texts.items() for i, b in items if b in t}
+    assert all(i in found.get(d, ()) for d, i in exact)
+    assert {d for d in found if d < 10_000_000} == {d for d, _ in exact}, "clean documents are left alone"
+    for changed, least in ((False, 1.0), (True, 0.9)):
+        own = [d for d, (_, c) in planted.items() if c == changed]
+        assert sum(planted[d][0] in found.get(d, ()) for d in own) >= least * len(own)
+
+
+def test_common_words_equals_the_table():
+    draw = random.Random(4)
+    for _ in range(300):
+        a = [draw.randint(0, 5) for _ in range(draw.randint(1, 12))]
+        b = [draw.randint(0, 5) for _ in range(draw.randint(0, 12))]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontamination.common_words(a, b) == table[-1][-1]
+
+
+def test_singular_directions_approach_the_exact_ones(spark):
+    draw = np.random.default_rng(0)
+    rows = [[int(x) for x in draw.integers(0, 40, 24)] for _ in range(200)]
+    passages = spark.createDataFrame([(r,) for r in rows], "words array<int>")
+    idf = np.zeros(decontamination.SIZE)
+    idf[:40] = np.linspace(1, 3, 40)
+    basis = decontamination.singular_directions(passages, idf)
+    x = np.zeros((200, 40))
+    for k, r in enumerate(rows):
+        np.add.at(x[k], r, idf[r])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Fewer words than directions: the projection keeps all inner products.
+    assert np.allclose((x @ basis[:40]) @ (x @ basis[:40]).T, x @ x.T, atol=1e-3)
+
+
+def test_leaks_odd_rows(spark, odd_documents, no_documents):
+    benchmark = spark.createDataFrame([(1, " ".join(OTHER.split()[30:70])), (2, None), (None, "a b"), (3, "")], "item_id long, text string")
+    found = decontamination.find_leaks(odd_documents, benchmark)
+    assert found.columns == [c for c in odd_documents.columns if c != "leaks"] + ["leaks"]
+    hits = collections.Counter(r["doc_id"] for r in found.where("size(leaks) > 0").collect())
+    assert hits == {3: 1, 4: 1}
+    assert found.count() == odd_documents.count()
+    assert decontamination.find_leaks(no_documents, benchmark).count() == 0
+    assert decontamination.find_leaks(odd_documents, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+# 2: toxicity
+
+
+def test_toxicity_held_out(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scored = toxicity.score_toxicity(documents, labels.where("doc_id % 4 <> 1"))
+    own = scored.join(labels.where("doc_id % 4 = 1"), "doc_id").select("toxic", F.element_at("p_toxicity", -1).alias("p")).collect()
+    toxic = [r["p"] >= toxicity.THRESHOLD for r in own if r["toxic"]]
+    clean = [r["p"] >= toxicity.THRESHOLD for r in own if not r["toxic"]]
+    # Some texts labelled toxic hold no toxic word at all.
+    assert np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.01
+
+
+def test_logistic_finds_the_minimum():
+    from parcella.llm.learn import logistic, sigmoid
+
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal((300, 4))
+    y = (x @ [1, -2, 0.5, 0] + 0.3 + draw.standard_normal(300) > 0).astype(float)
+    w = logistic(x, y, 1.0, 500)
+    slope = np.hstack([x, np.ones((300, 1))]).T @ (sigmoid(x @ w[:-1] + w[-1]) - y) + np.append(w[:-1], 0)
+    assert np.abs(slope).max() < 0.05
+
+
+def test_toxicity_odd_rows(odd_documents, no_documents, labels):
+    scored = toxicity.score_toxicity(odd_documents, labels)
+    assert scored.count() == odd_documents.count()
+    assert all(len(p) == 3 and all(0 <= x <= 1 for x in p) for (p,) in rows_of(scored, "p_toxicity"))
+    assert toxicity.score_toxicity(no_documents, labels).count() == 0
+    assert toxicity.score_toxicity(odd_documents, labels.limit(0)).count() == odd_documents.count()
+
+
+# 3: near duplicates
+
+
+def brute_groups(rows):
+    sets, nodes = {}, collections.defaultdict(set)
+    for i, text in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w]
+        own = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+        sets[i, text] = own
+        if i is not None:
+            nodes[i].add(frozenset(own))
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and any(s and t and 100 * len(s & t) >= 75 * len(s | t) for s in nodes[a] for t in nodes[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    out = []
+    for i, text in rows:
+        group = None if i is None else find(i)
+        out.append((i, len(sets[i, text]), group, group is None or group == i))
+    return sorted(out, key=repr)
+
+
+def test_groups_odd_rows(spark, odd_documents, no_documents):
+    rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
+    got = rows_of(minmax.near_duplicates(odd_documents), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got, key=repr) == brute_groups(rows)
+    assert minmax.near_duplicates(no_documents).count() == 0
+
+
+def test_groups_of_gradual_changes(spark, monkeypatch):
+    """Chains of near copies whose ends are no copies, in buckets of several chunks."""
+    monkeypatch.setattr(minmax, "CHUNK", 3)
+    monkeypatch.setattr(minmax, "CHUNK_SHINGLES", 500)
+    draw, rows = random.Random(5), []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(80)]
+        for k in range(12):
+            words = list(words)
+            for _ in range(1 if k % 4 else 3):
+                words[draw.randrange(80)] = f"n{g}-{k}-{draw.random()}"
+            rows.append((100 * draw.randrange(10**6) + len(rows), " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(minmax.near_duplicates(frame), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got, key=repr) == brute_groups(rows)
+
+
+def test_minmax_estimate_is_unbiased():
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 2**63, 4000, np.uint64)
+    shares = []
+    for k in range(20):
+        own = values[k * 200 : (k + 1) * 200]
+        low, high = minmax.extremes([np.unique(own[:175]), np.unique(own[25:])])
+        shares.append(np.mean([(low[0] == low[1]).mean(), (high[0] == high[1]).mean()]))
+    assert abs(np.mean(shares) - 0.75) < 0.03
+
+
+# 4: main text of pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>"</script></head><body>
+<nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- x --><div class="ad">Buy now</div><main><article>
+<h1>Title &amp; more</h1><p>First   paragraph<br>goes on.<p>Second &eacute; one.</p><div class="comments"><p>Reader says</p></div>
+</article></main><aside>Side</aside><footer>&copy; 2020</footer></body></html>"""
+
+
+def test_blocks_and_labels():
+    found = html_blocks.blocks(PAGE)
+    main = [b.text for b in found if b.main and not b.ruled_out]
+    assert main == ["Title & more", "First paragraph goes on.", "Second é one."]
+    assert {b.text for b in found if b.ruled_out} == {"Home", "Buy now", "Reader says", "Side", "© 2020"}
+
+
+def test_recurrent_gradients():
+    draw = np.random.default_rng(0)
+    net = html_blocks.Network.fresh()
+    net.weights = {k: v.astype(float) for k, v in net.weights.items()}
+    x = draw.standard_normal((4, 2, html_blocks.INPUT))
+    mask = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], bool)
+    y = (draw.random((4, 2)) > 0.5).astype(float)
+
+    def loss():
+        z = net.margins(x, mask)
+        return np.where(mask, np.logaddexp(0, z) - y * z, 0).sum() / mask.sum()
+
+    for name, g in net.gradients(x, y, mask).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, step = net.weights[name][at], 1e-3
+        net.weights[name][at] = kept + step
+        up = loss()
+        net.weights[name][at] = kept - step
+        down = loss()
+        net.weights[name][at] = kept
+        assert math.isclose((up - down) / (2 * step), g[at], rel_tol=2e-2, abs_tol=1e-5)
+
+
+def test_pages_equal_their_articles(spark):
+    import html as entities
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_blocks.extract_text(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+
+
+def test_pages_odd_rows(spark):
+    long_page = "<article>" + "<p>" + "word " * 20_000 + "</p>" * 2 + "<p>x" * 3_000 + "</article>"
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "a < b > c <"), (5, "u", long_page), (6, "u", "<div>" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
+    got = html_blocks.extract_text(pages)
+    texts = collections.defaultdict(list)
+    for i, t in rows_of(got, "page_id", "text"):
+        texts[i].append(t)
+    assert texts[1][0] == texts[1][1] == "Title & more\nFirst paragraph goes on.\nSecond é one."
+    assert texts[2] == texts[3] == texts[6] == [""] and None not in texts[5]
+    assert len(texts[5][0]) > 90_000
+    assert html_blocks.extract_text(pages.limit(0)).count() == 0
+
+
+# 5: pieces
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Vocabulary.load(pieces.MODEL)
+
+
+def test_shared_prefixes_change_nothing(vocabulary):
+    """Best sums over all segmentations, word by word, without sharing."""
+    words = [" " + w for w in ("", "a", "ab", "abc", "abcd", "unbelievable", "unbelievably", "日本語", "wörld", "▁▁", "x\ty", "the", "then")]
+    scores = {i: s for i, s in vocabulary.pieces.values()} | {i: vocabulary.byte_score for i in vocabulary.byte_ids}
+    for word, ids in pieces.segmented(words, vocabulary).items():
+        own = np.frombuffer(ids, np.int32).tolist()
+        assert b"".join(vocabulary.content[i] for i in own).decode() == word
+        best = [0.0] + [-math.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                part = word[start:end]
+                if part in vocabulary.pieces:
+                    best[end] = max(best[end], best[start] + vocabulary.pieces[part][1])
+                elif len(part) == 1:
+                    best[end] = max(best[end], best[start] + vocabulary.byte_score * len(part.encode()))
+        assert math.isclose(sum(scores[i] for i in own), best[-1])
+
+
+def test_round_trip_odd_rows(odd_documents, no_documents):
+    both = pieces.decode(pieces.encode(odd_documents))
+    assert both.count() == odd_documents.count()
+    assert both.where("decoded <> coalesce(text, '')").count() == 0
+    assert both.where("coalesce(text, '') = '' AND size(ids) > 0").count() == 0
+    assert pieces.encode(no_documents).count() == 0
+
+
+# 6: personal data
+
+
+def brute_spans(text):
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii._luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    return [(kind, *m.span()) for kind, p, good in kinds for m in re.finditer(p, text) if good(m[0])]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice(draw.choice(["ab.@-", "0123456789", "+ ()-.", "@a.b1", "é%_ "])) for _ in range(draw.randint(0, 60))) for _ in range(5_000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert [(k, a, b) for k, a, b, base in pii.spans_of(text) if base] == brute_spans(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail joe (at) site [dot] org now", "email", "joe (at) site [dot] org"),
+        ("joe at site dot co dot uk ok", "email", "joe at site dot co dot uk"),
+        ("ｊｏｅ＠ｓｉｔｅ．ｏｒｇ x", "email", "ｊｏｅ＠ｓｉｔｅ．ｏｒｇ"),
+        ("call +four nine one five one two three four five six", "phone", "+four nine one five one two three four five six"),
+        ("at １０．0．0．1 there", "ip", "１０．0．0．1"),
+    ],
+)
+def test_disguises_map_back(text, kind, part):
+    assert [(k, text[a:b]) for k, a, b, base in pii.spans_of(text) if not base] == [(kind, part)]
+
+
+def test_personal_data_odd_rows(odd_documents, no_documents):
+    found = pii.find_personal_data(odd_documents)
+    spans = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in found.collect()}
+    assert spans[12] == [("email", True), ("email", False)] and spans[5] == spans[6] == []
+    masked = found.where("doc_id = 12").select(pii.mask("text", "spans")).first()[0]
+    assert masked == "mail [EMAIL] or [EMAIL] ▁x  two  spaces\n"
+    assert pii.find_personal_data(no_documents).count() == 0
+
+
+def test_clean_text_has_no_spans():
+    assert pii.spans_of("The cat sat at home. A dot at the end, one two three.") == []
+
+
+# 7: repeated byte strings
+
+
+def test_suffix_arrays():
+    draw = random.Random(2)
+    for k in range(600):
+        top = draw.choice([1, 2, 3, 255])
+        own = bytes(draw.randint(0, top) for _ in range(draw.randint(1, 60)))
+        own = (own[:7] * 10)[: len(own)] if k % 3 == 0 else own
+        order = sorted(range(len(own)), key=lambda i: own[i:])
+        text = np.frombuffer(own, np.uint8)
+        assert sais.suffix_array(text).tolist() == order == sais.sorted_suffixes(list(own), 256)
+        sums, back = suffix_dedup.prefix_sums(text)
+        shared = sais.permuted_prefixes(text, np.array(order), 20, sums, back)
+        for a, b in zip(order, order[1:]):
+            n = 0
+            while n < 20 and b + n < len(own) and a + n < len(own) and own[a + n] == own[b + n]:
+                n += 1
+            assert shared[b] == n
+
+
+def brute_removal(texts, length):
+    counts = collections.Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if counts[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(gone)))
+        out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 2_000])
+def test_repeats_odd_rows(spark, odd_documents, no_documents, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
+    documents = odd_documents.where("doc_id IS NULL OR doc_id <> 11")
+    passage, draw = OTHER[:600], random.Random(6)
+    more = [(100 + k, f"{draw.random()} {k} " * 9 + passage + f" {draw.random()}" * 9, "en", "a", 1) for k in range(8)]
+    documents = documents.select("doc_id", "text").union(spark.createDataFrame([m[:2] for m in more], "doc_id long, text string"))
+    got = suffix_dedup.remove_repeats(documents).collect()
+    rows = documents.collect()
+    want = collections.Counter(
+        (r["doc_id"], *w) for r, w in zip(rows, brute_removal([(r["text"] or "").encode() for r in rows], 200))
+    )
+    have = collections.Counter(
+        (r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["ranges"] or ()) // 2, hashlib.sha256(r["kept"]).hexdigest()) for r in got
+    )
+    assert have == want
+    assert suffix_dedup.remove_repeats(no_documents).count() == 0
+
+
+# 8: exact top-k
+
+
+def test_topk_odd_rows(spark):
+    draw = random.Random(7)
+    rows = [(k, [draw.uniform(-1, 1) for _ in range(4)]) for k in range(120)]
+    rows += [(k, [0.5, 0.5, 0.5, 0.5]) for k in range(200, 320)]  # ties
+    rows += [(50, rows[3][1]), (7, rows[7][1]), (400, None), (450, [1.0, None, 0.0, 0.0]), (500, [1.0, math.nan, 0.0, 0.0])]
+    rows += [(None, [1.0] * 4), (550, [math.inf, 0.0, 0.0, 0.0]), (600, [0.25, 0.5]), (601, [0.5, 0.5]), (650, []), (651, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score")
+    usable = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    want = []
+    for q in sorted({i for i, _ in usable if i % 50 == 0}):
+        own = min(v for i, v in usable if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in usable if i != q and len(v) == len(own))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    got = rows_of(topk.top_k(frame), "query_id", "rank", "vec_id", "score")
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(frame.limit(0)).count() == 0
+
+
+# 9: licences
+
+
+def test_licenses_odd_rows(odd_documents, no_documents):
+    found = licenses.find_licenses(odd_documents.select("doc_id", "text", "label"))
+    by_id = {r["doc_id"]: r for r in found.collect()}
+    assert {p["label"] for p in by_id[13]["places"]} == {"reserved", "cc-by", "cc-by-nc"}
+    assert {(p["label"], p["start"]) for p in by_id[13]["places"] if p["base"]} == {("reserved", 0), ("cc-by", 5)}
+    assert by_id[5]["n_words"] == by_id[6]["n_words"] == 0 and by_id[5]["places"] == []
+    assert by_id[10]["n_words"] == 120_000
+    assert licenses.find_licenses(no_documents).count() == 0
+
+
+def test_licence_words_and_the_kelvin_sign(spark):
+    frame = spark.createDataFrame([(1, "CCé BY cc BY ALL Rights\nreserved cKc by İx _cc__by_")], "doc_id long, text string")
+    row = licenses.find_licenses(frame).first()
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in frame.first()["text"]))
+    assert row["n_words"] == len(words)
+    places = sorted((p["label"], p["start"]) for p in row["places"])
+    assert places == [("cc-by", 2), ("cc-by", 10), ("reserved", 4)]
+
+
+# 10: quality
+
+
+def test_quality_held_out(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    own = quality.score_quality(documents, labels).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
+    assert np.mean([(r["score"] >= 0.7) == (r["quality"] == 1) for r in own]) >= 0.93
+
+
+def test_dual_descent_separates():
+    draw = np.random.default_rng(0)
+    x = draw.standard_normal((200, 3))
+    y = np.where(x @ [1, 2, -1] > 0, 1.0, -1.0)
+    w = quality.dual_descent(x.ravel(), np.tile(np.arange(3), 200), np.arange(0, 603, 3), y, np.full(200, 10.0), 3)
+    assert ((x @ w > 0) == (y > 0)).mean() > 0.97
+
+
+def test_quality_odd_rows(odd_documents, no_documents, labels):
+    scored = quality.score_quality(odd_documents, labels)
+    assert scored.count() == odd_documents.count()
+    assert all(0 <= s <= 1 for (s,) in rows_of(scored, "score"))
+    assert quality.score_quality(no_documents, labels).count() == 0
+    assert quality.score_quality(odd_documents, labels.limit(0)).count() == odd_documents.count()
