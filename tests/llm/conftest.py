@@ -1,11 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from llm_texts import BODY, OTHER
 from pyspark.sql import types as T
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
-BODY = " ".join(f"word{i % 37} turn{i % 11} item{i}" for i in range(120))
-OTHER = " ".join(f"quite{i} another{i % 23} text{i % 7}" for i in range(90))
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import BODY, OTHER  # noqa: F401  the folder's own
+from llm_texts import OTHER
 from pyspark.sql import functions as F
 
 from parcella.llm import (
