@@ -125,6 +125,8 @@ INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 HIDDEN = 16
 #: Pages that the network is fitted on, and passes over them.
 SAMPLE_PAGES = 300
+#: Longer pages are not learnt from, so that the sample has a bounded size.
+SAMPLE_CHARS = 100_000
 EPOCHS = 8
 BATCH = 32
 RATE = 0.02
@@ -291,9 +293,10 @@ def label(network: Network | None, pages: list[list[Block]]) -> list[list[bool]]
 
 def fit(pages: DataFrame) -> Network | None:
     """A network from pages that have both kinds of blocks, chosen by a hash of their text."""
-    total = pages.where("html IS NOT NULL").count()
+    usable = pages.where(F.length("html") <= SAMPLE_CHARS)
+    total = usable.count()
     share = F.pmod(F.xxhash64("html", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    chosen = pages.where("html IS NOT NULL").where(share < (SAMPLE_PAGES / total if total > SAMPLE_PAGES else 2.0))
+    chosen = usable.where(share < (SAMPLE_PAGES / total if total > SAMPLE_PAGES else 2.0))
     told = []
     for r in chosen.select("html").orderBy(F.xxhash64("html"), "html").collect():  # bounded by SAMPLE_PAGES
         own = blocks(r["html"])
