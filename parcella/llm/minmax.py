@@ -10,11 +10,12 @@ with 32 bands, a pair at 0.75 is missed with probability 6e-6.
 Documents with equal sets are merged first. In every bucket of a band, each
 member is tried against the bucket's smallest document; confirmed pairs
 form components. Buckets that then still hold several components are compared
-across components, in blocks of members, and only pairs whose signatures
-estimate a similarity of at least 0.6 (four standard deviations below 0.75) are
-written. Every link is confirmed on the full sets. So a group of N copies costs
-about N pairs, and no link between different texts depends on which documents
-were tried first.
+across components, in chunks of members: pairs whose signatures estimate a similarity of
+at least 0.6 (four standard deviations below 0.75) name the members whose full
+sets are needed, and the links found on these are written as far as they join
+components. Every link is confirmed on the full sets. So what is written grows
+with the members of a group and not with its pairs, and no link between
+different texts depends on which documents were tried first.
 
 Defined cases: a document without words (or with a null text) has an empty set
 and is linked with nothing. Fewer words than five count as one shingle. Rows that repeat a doc_id
@@ -26,6 +27,7 @@ hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from parcella.llm.common import (
     SPACED,
+    Bitmap,
     Scratch,
     _stream,
     arrow_map,
@@ -51,8 +54,11 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 64
 BANDS = 32
 ESTIMATE = 0.6
-#: Members of a bucket that are compared in one group.
-CHUNK = 256
+#: Members of a bucket, and shingles of theirs, that are about one chunk.
+CHUNK = 1_024
+CHUNK_SHINGLES = 500_000
+#: Rows of such groups that a task takes at once.
+GROUP_ROWS = 10_000
 
 _A = _stream(11, PERMUTATIONS) | np.uint64(1)
 _B = _stream(12, PERMUTATIONS)
@@ -121,15 +127,6 @@ def _signatures(batch):
         )
 
 
-def _sets(batch):
-    for i, j, sets in _row_sets(batch):
-        ends = np.cumsum([0] + [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(i, j - i), lists(np.concatenate(sets).view(np.int64), ends, pa.int64())],
-            ["doc_id", "shingles"],
-        )
-
-
 def _similar(frames):
     """Pairs (a, b) whose signatures estimate a similarity of at least ESTIMATE."""
     for frame in frames:
@@ -140,25 +137,83 @@ def _similar(frames):
             yield frame.loc[near, ["a", "b"]]
 
 
-def _across(key, rows):
-    """Pairs of different components among the members of two chunks of a bucket."""
-    _, i, j = key
-    rows = rows.drop_duplicates("node")
-    x, y, own = rows[rows["chunk"] == i], rows[rows["chunk"] == j], i == j
-    sx = np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), -1)
-    sy = np.frombuffer(b"".join(y["signature"]), np.uint32).reshape(len(y), -1)
-    ids, roots = y["node"].to_numpy(), y["root"].to_numpy()
-    a, b = [], []
-    for node, root, row in zip(x["node"].tolist(), x["root"].tolist(), sx):
-        other = np.flatnonzero(roots != root)
-        if own:
-            other = other[ids[other] > node]
-        if len(other):
-            near = ids[other[(sy[other] == row).mean(1) >= ESTIMATE]]
-            a += [np.minimum(near, node)]
-            b += [np.maximum(near, node)]
-    none = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
+def _near(rows: pd.DataFrame):
+    """For each (bucket, i, j): row numbers and, per row, those of its candidates.
+
+    A group holds chunks i and j of a bucket. Members of one are compared with
+    those of the other, or with each other where both are the same chunk, if
+    their components differ, and only in the first band that the two share.
+    """
+    keys = rows[["bucket", "i", "j"]].to_numpy()
+    cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+    signatures = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+    bands = np.stack(rows["bands"].to_list())
+    root, chunk = rows["root"].to_numpy(), rows["chunk"].to_numpy()
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+        bucket, i, j = keys[lo]
+        left = np.flatnonzero(chunk[lo:hi] == i) + lo
+        right = left if i == j else np.flatnonzero(chunk[lo:hi] == j) + lo
+        found = []
+        for x in left.tolist():
+            other = right[root[right] != root[x]]
+            if i == j:
+                other = other[other > x]
+            other = other[(signatures[other] == signatures[x]).mean(1) >= ESTIMATE]
+            if len(other):
+                band = (bands[x] == bucket).argmax()
+                other = other[(bands[other] == bands[x]).argmax(1) == band]
+            if len(other):
+                found.append((x, other))
+        yield found
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.drop_duplicates(["bucket", "i", "j", "node"]).sort_values(["bucket", "i", "j"], ignore_index=True)
+
+
+PLACE = "bucket long, i int, j int, chunk int, node long, root long"
+
+
+def _open_members(rows):
+    """Members that have a candidate, with their place."""
+    rows = _ordered(rows)
+    hit = np.zeros(len(rows), bool)
+    for found in _near(rows):
+        for x, other in found:
+            hit[x] = True
+            hit[other] = True
+    return rows.loc[hit, ["bucket", "i", "j", "chunk", "node", "root"]]
+
+
+def _linking(percent: int):
+    def run(rows):
+        """Confirmed links, as many as join components, of each (bucket, i, j)."""
+        rows = _ordered(rows)
+        node, sets = rows["node"].to_numpy(), [np.sort(s.view(np.uint64)) for s in rows["shingles"]]
+        links = []
+        for found in _near(rows):
+            head = {}
+
+            def find(r, head=head):
+                while head.get(r, r) != r:
+                    r = head[r]
+                return r
+
+            for x, other in found:
+                own = sets[x]
+                flat = np.concatenate([sets[y] for y in other])
+                starts = np.cumsum([0] + [len(sets[y]) for y in other[:-1]])
+                same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(same.astype(np.int64), starts)
+                union = len(own) + np.array([len(sets[y]) for y in other]) - common
+                for y in other[100 * common >= percent * union].tolist():
+                    a, b = find(rows["root"][x]), find(rows["root"][y])
+                    if a != b:
+                        head[a] = b
+                        links.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(links, columns=["a", "b"]).drop_duplicates()
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataFrame:
@@ -173,24 +228,44 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     first = scratch.write(usable.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
     member = scratch.write(usable.select("doc_id", "same").distinct().join(first, "same").select("doc_id", "node"), "member")
     nodes = usable.join(first.select("same", F.col("node").alias("doc_id")), ["same", "doc_id"], "left_semi")
-    nodes = scratch.write(nodes.select(F.col("doc_id").alias("node"), "bands"), "nodes")
-    signatures = rows.select(F.col("doc_id").alias("node"), "signature")
-
-    band = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = band.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"))
+    nodes = scratch.write(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands"), "nodes")
+    signatures = rows.select(F.col("doc_id").alias("node"), "signature", "bands")
+
+    band = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = band.groupBy("bucket").agg(
+        F.min("node").alias("first"),
+        F.max("node").alias("last"),
+        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
+    )
     shared = scratch.write(shared.where("first < last").drop("last"), "shared")
+    band = band.drop("n_shingles")
     bucketed = scratch.write(band.join(shared, "bucket"), "bucketed")
     touched = bucketed.select("node").distinct()
     signatures = scratch.write(
         signatures.where("signature IS NOT NULL").join(touched, "node", "left_semi").dropDuplicates(["node"]), "touched"
     )
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, shingles) of the given ids; a bitmap keeps most other texts from being read into sets."""
+        wanted = Bitmap(ids.select(F.xxhash64("doc_id").alias("key")), "key")
+
+        def sets(batch):
+            batch = batch.filter(pa.array(wanted.maybe(batch.column(2).to_numpy())))
+            for i, j, own in _row_sets(batch):
+                ends = np.cumsum([0] + [len(s) for s in own])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), lists(np.concatenate(own).view(np.int64), ends, pa.int64())],
+                    ["doc_id", "shingles"],
+                )
+
+        keyed = texts.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
+        found = arrow_map(keyed, "doc_id long, shingles array<long>", sets)
+        return scratch.write(found.join(ids.hint("merge"), "doc_id", "left_semi"), "sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets are similar enough."""
         pairs = scratch.write(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = arrow_map(texts.join(ids, "doc_id", "left_semi"), "doc_id long, shingles array<long>", _sets)
-        sets = scratch.write(sets, "sets")
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - common
@@ -207,18 +282,27 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
 
     # Buckets that still hold several components.
     placed = bucketed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = scratch.write(placed.select("bucket", "node", "root", "n"), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    open_ = scratch.write(open_.select("bucket"), "open")
-    placed = placed.join(open_, "bucket").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    placed = scratch.write(placed.select("bucket", "node", "root", "chunks"), "placed")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    several = scratch.write(several.select("bucket"), "several")
+    placed = placed.join(several, "bucket")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.join(signatures, "node")
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     placed = placed.select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root", "signature"
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root"
     )
-    across = placed.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
-    links = links.union(confirmed(across))
+    placed = scratch.write(placed, "chunks")
+
+    def shared_out(rows: DataFrame, n: int) -> DataFrame:
+        """Groups (bucket, i, j), whole, dealt to shares of about n rows."""
+        shares = max(1, math.ceil(rows.count() / n))
+        return rows.withColumn("share", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shares)))
+
+    open_ = shared_out(placed, GROUP_ROWS).join(signatures, "node").groupBy("share").applyInPandas(_open_members, PLACE)
+    open_ = scratch.write(open_, "open")
+    sets = sets_of(open_.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+    again = shared_out(open_, GROUP_ROWS // 10).join(signatures, "node").join(sets, "node")
+    links = links.union(again.groupBy("share").applyInPandas(_linking(similarity_percent), "a long, b long"))
     roots = smallest_reachable(scratch, links.union(member.select("node", "doc_id")))
     roots = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
