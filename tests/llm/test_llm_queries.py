@@ -60,7 +60,7 @@ def test_pipeline_stages(spark, tmp_path_factory):
 def test_pipeline_odd_rows(spark, odd_documents, tmp_path):
     sf = str(tmp_path)
     odd_documents.drop("ids").write.parquet(os.path.join(sf, "documents.parquet"))
-    spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "nothing of the kind is in there at all")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     out = corpus_pipeline.run(spark, sf)
     kept = [r["doc_id"] for r in out.select("doc_id").collect()]
