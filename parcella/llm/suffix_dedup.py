@@ -10,7 +10,7 @@ compares everything:
    Anchors that occur once in the corpus are done with; a segment that occurs
    twice, letter for letter, is covered.
 2. Different segments with one anchor go to the shard of that anchor. A shard
-   of about a megabyte is one string; its suffix array is built by induced sorting
+   of some 300 kB is one string; its suffix array is built by induced sorting
    and the common prefixes of neighbours tell which positions repeat.
 3. An anchor with very many different segments (the rim of a passage that a
    large part of the corpus has) is split by the hash of the whole string instead, which is
@@ -37,16 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import BYTE_VALUES, Scratch, arrow_map, importable, lists, mix, utf8
+from parcella.llm.common import BYTE_VALUES, Bitmap, Scratch, arrow_map, importable, lists, mix, utf8
 from parcella.llm.sais import permuted_prefixes, suffix_array
 
 LENGTH = 200
 ANCHOR = 80
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 300_000
 #: Different segments of an anchor beyond which it is split by whole strings.
 HOT_SEGMENTS = 2_000
-PIECE = 1_000_000
-BITMAP_BITS = 26
+PIECE = 300_000
 SEPARATOR = 255  # no byte of UTF-8
 
 _P = 0x5851F42D4C957F2D
@@ -114,29 +113,6 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         yield row[start], start + a - offsets[row[start]], count, place[start] - start, hashes[place[start]], mix(whole)
 
 
-class Bitmap:
-    """Which numbers may occur; of fixed size, so its broadcast is bounded. False says never."""
-
-    def __init__(self, rows: DataFrame, column: str):
-        block = BITMAP_BITS - 16
-
-        def pack(key, table):
-            bits = np.zeros(1 << 16, bool)
-            bits[table.column("bit").to_numpy() & 0xFFFF] = True
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": [np.packbits(bits).tobytes()]})
-
-        bits = rows.select(F.shiftrightunsigned(column, 64 - BITMAP_BITS).cast("int").alias("bit")).distinct()
-        packed = bits.withColumn("block", F.expr("bit >> 16")).groupBy("block").applyInArrow(pack, "block int, bits binary")
-        whole = np.zeros((1 << block, 1 << 13), np.uint8)
-        for r in packed.collect():
-            whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-        self.sent = rows.sparkSession.sparkContext.broadcast(whole.ravel())
-
-    def maybe(self, values: np.ndarray) -> np.ndarray:
-        bit = (values.astype(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-        return (self.sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))
 
