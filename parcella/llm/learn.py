@@ -13,15 +13,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcella.llm.common import lists, row_groups, utf8
+from parcella.llm.common import Bitmap, arrow_map, lists, row_groups, utf8
 
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents; the smallest of a document's labels counts."""
+    """(doc_id, text, label) of the labelled documents; the smallest of a document's labels counts.
+
+    A bitmap of fixed size keeps most other texts out of the shuffle. The join is a
+    shuffled one at every size.
+    """
     one = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    return documents.select("doc_id", "text").join(one, "doc_id")
+    known = Bitmap(one.select(F.xxhash64(F.col("doc_id").cast("long")).alias("key")), "key")
+
+    def maybe(batch):
+        yield batch.filter(pa.array(known.maybe(batch.column(2).to_numpy())))
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = arrow_map(texts.withColumn("key", F.xxhash64("doc_id")), "doc_id long, text string, key long", maybe)
+    return texts.select("doc_id", "text").join(one.hint("merge"), "doc_id")
 
 
 def distinct_pairs(rows: np.ndarray, features: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
