@@ -62,6 +62,21 @@ def test_leaks_are_found_exactly_and_reworded(spark):
         assert sum(planted[d][0] in found.get(d, ()) for d in own) >= least * len(own)
 
 
+def test_leaks_in_a_third_of_the_documents(spark):
+    """An item in very many documents, which differ otherwise, is as sure to be found as a rare one."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item, text = min(map(tuple, benchmark.select("item_id", "text").collect()))
+    draw, rows = random.Random(8), []
+    for k, r in enumerate(documents):
+        host = (r["text"] or "").split()
+        at = draw.randint(0, len(host))
+        rows.append((k, " ".join([*host[:at], *(text.split() if k % 3 == 0 else ()), *host[at:]])))
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    hits = {r["doc_id"] for r in found.where(F.array_contains("leaks.item_id", item)).collect()}
+    assert all(k in hits for k in range(0, len(rows), 3))
+
+
 def test_common_words_equals_the_table():
     draw = random.Random(4)
     for _ in range(300):
