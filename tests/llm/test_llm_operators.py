@@ -77,6 +77,26 @@ def test_leaks_in_a_third_of_the_documents(spark):
     assert all(k in hits for k in range(0, len(rows), 3))
 
 
+def test_leaks_in_long_documents(spark):
+    """What is found does not depend on how long the documents are."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r["text"]]
+    joined = [" ".join(texts[k : k + 8]).split() for k in range(0, len(texts), 8)]
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    draw, rows, planted = random.Random(9), [(k, " ".join(x)) for k, x in enumerate(joined)], {}
+    for item, text in map(tuple, benchmark.select("item_id", "text").collect()):
+        for share in (0, 0.25):
+            host, words = draw.choice(joined), text.split()
+            words = [draw.choice(host) if draw.random() < share else w for w in words]
+            at = draw.randint(0, len(host))
+            planted[10_000_000 + len(rows)] = (item, share)
+            rows.append((10_000_000 + len(rows), " ".join([*host[:at], *words, *host[at:]])))
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    found = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in found.collect()}
+    for share, least in ((0, 1.0), (0.25, 0.9)):
+        own = [d for d, (_, s) in planted.items() if s == share]
+        assert sum(planted[d][0] in found[d] for d in own) >= least * len(own)
+
+
 def test_common_words_equals_the_table():
     draw = random.Random(4)
     for _ in range(300):
