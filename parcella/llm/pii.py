@@ -176,21 +176,10 @@ def at_and_dot(own: Rewritten):
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that appear only when the text's disguises are taken off."""
-    lowered = text.lower()
-    unusual = bool(UNUSUAL.search(text))
-    spelled = any(w in lowered for w in SPELLED if w != "one")
-    dotted = "dot" in lowered or any(x in text for x in ("@)", "@]", "@}", ".)", ".]", ".}")) or any(
-        x in lowered for x in (" at ", "(at", "[at", "{at", "<at", "at)", "at]", "at}", "at>")
-    ) and ("." in text)
-    if not (unusual or spelled or dotted):
-        return {}
     own = Rewritten(text)
-    if unusual:
-        look_alikes(own)
-    if spelled or unusual:
-        spelled_digits(own)
-    if dotted or unusual:
-        at_and_dot(own)
+    look_alikes(own)
+    spelled_digits(own)
+    at_and_dot(own)
     if own.text == text:
         return {}
     found = {}

@@ -366,6 +366,21 @@ def test_disguises_map_back(text, kind, part):
     assert [(k, text[a:b]) for k, a, b, base in pii.spans_of(text) if not base] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("joe\tat\tsite.org", "email"),
+        ("joe <@> site.org", "email"),
+        ("joe ( @ ) site.org", "email"),
+        ("joe@site<.>org", "email"),
+        ("joe@site ( . ) org", "email"),
+        (" ".join(["+one", *["one"] * 9]), "phone"),
+    ],
+)
+def test_disguises_need_no_other_sign(text, kind):
+    assert [(k, text[a:b]) for k, a, b, base in pii.spans_of(text) if not base] == [(kind, text)]
+
+
 def test_personal_data_odd_rows(odd_documents, no_documents):
     found = pii.find_personal_data(odd_documents)
     spans = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in found.collect()}
