@@ -8,8 +8,10 @@ block's label depends on all others; a logistic output says main text or not.
 
 No page is labelled by hand. The network learns from pages of which the markup itself says so: blocks
 inside an article or main element are main text, blocks inside navigation,
-header, footer, aside, form, or an element whose class names an advert, a
-notice, comments or a menu are not. While training, the telling elements are
+header, footer, aside, form, or an element with a class, id or role that is the name of an
+advert, a notice, comments or a menu are not. A name that only has such a word as a part says
+nothing by itself, nor does the name of an element around the page's main element or all its
+articles; a header inside an article or main element belongs to it. While training, the telling elements are
 hidden from a part of the pages, so that words, position and neighbours
 must do. Elements that never hold main text (navigation, footer, forms and
 so on, as the contract lists them) also bound the result: their blocks are never returned.
@@ -46,12 +48,12 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_BLOCK = frozenset({"br"})
-#: Elements, and words of a class or id, that are never main text.
+#: Elements, and whole names in class, id or role, that are never main text.
 RULED_OUT = frozenset("nav header footer aside form menu dialog button".split())
 OUT_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
+    r"(?:ad|ads|advert|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
     r"|sidebar|side|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comment|comments|reply|replies"
-    r"|disqus|share|social|related|login|signup|search)(?:$|[^a-z])"
+    r"|disqus|share|social|related|login|signup|search)"
 )
 MAIN = frozenset(("article", "main"))
 
@@ -72,14 +74,15 @@ class Block:
 
 def blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order; references decoded, white space collapsed and trimmed."""
-    page, found, stack, parts, at = page or "", [], [], [], 0
+    # Of an open element: name, labels, ruled out as such, ruled out by a name, main and article elements inside.
+    page, found, stack, parts, at, articles = page or "", [], [], [], 0, 0
 
     def flush():
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
             path = tuple(label for e in stack for label in e[1])
-            found.append(Block(text, path, any(e[2] for e in stack), any(e[0] in MAIN for e in stack)))
+            found.append((text, path, tuple(stack), any(e[0] in MAIN for e in stack)))
 
     while at < len(page):
         tag = TOKEN.search(page, at)
@@ -114,10 +117,19 @@ def blocks(page: str | None) -> list[Block]:
             while name == "p" and stack and any(e[0] == "p" for e in stack[-2:]):
                 stack.pop()
             values = [x for m in NAMES.finditer(tag[3]) for x in (m[1] or m[2] or m[3] or "").lower().split()]
-            out = name in RULED_OUT or name not in ("html", "body") and any(OUT_NAMES.search(v) for v in values)
-            stack.append((name, [name, *(f"{name}.{v}" for v in values)], out))
+            own = name == "header" and any(e[0] in MAIN for e in stack)
+            named = not own and name not in ("html", "body", "main") and any(OUT_NAMES.fullmatch(v) for v in values)
+            articles += name == "article"
+            if name in MAIN:
+                for e in stack:
+                    e[4 if name == "main" else 5] += 1
+            stack.append([name, [name, *(f"{name}.{v}" for v in values)], name in RULED_OUT and not own, named, 0, 0])
     flush()
-    return found
+
+    def out(e):
+        return e[2] or e[3] and not e[4] and not 0 < e[5] == articles
+
+    return [Block(text, path, any(map(out, elements)), main) for text, path, elements, main in found]
 
 
 PATH_SIZE, WORD_SIZE, MEASURES = 24, 24, 8

@@ -249,6 +249,25 @@ def test_blocks_and_labels():
     assert {b.text for b in found if b.ruled_out} == {"Home", "Buy now", "Reader says", "Side", "© 2020"}
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ['<div class="content-sidebar-wrap">', '<div class="no-sidebar">', '<div class="has-header">', '<div id="search-results">', '<div class="search">'],
+)
+@pytest.mark.parametrize("kind", ["main", "article"])
+def test_wrappers_do_not_rule_out(opening, kind):
+    page = f"""<nav>Home</nav>{opening}<p>Before</p><{kind}><header class="entry-header"><h1>Title</h1></header><p>Text</p>
+    <section class="related-work"><p>Others</p></section><div class="share">Send</div></{kind}></div>
+    <div class="ad">Buy</div><header>Site</header><footer>End</footer>"""
+    found = html_blocks.blocks(page)
+    assert [b.text for b in found if b.main and not b.ruled_out] == ["Title", "Text", "Others"]
+    assert [b.text for b in found if b.ruled_out] == ["Home", "Send", "Buy", "Site", "End"]
+
+
+def test_articles_of_comments_are_ruled_out():
+    page = '<article><p>Text</p></article><div class="comments"><article><p>Reader</p></article></div>'
+    assert [(b.text, b.ruled_out) for b in html_blocks.blocks(page)] == [("Text", False), ("Reader", True)]
+
+
 def test_recurrent_gradients():
     draw = np.random.default_rng(0)
     net = html_blocks.Network.fresh()
