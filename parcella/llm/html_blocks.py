@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,10 +157,11 @@ def vectors(page: list[Block], hide: bool = False) -> np.ndarray:
             tag = label.partition(".")[0]
             if not (hide and (tag in MAIN or tag in RULED_OUT or "." in label)):
                 x[i, _slot(label, PATH_SIZE)] = 1
-        # A block's first words say what it is; its measures cover all of it.
+        # All words count; in a long block each of them less.
         words = block.text.split(" ")
-        for word in words[:32]:
-            x[i, PATH_SIZE + _slot(word.lower(), WORD_SIZE)] += 0.25
+        weight = min(0.25, 8 / len(words))
+        for word, times in Counter(words).items():
+            x[i, PATH_SIZE + _slot(word.lower(), WORD_SIZE)] += weight * times
         n = len(block.text)
         letters = sum(map(str.isalpha, block.text))
         own = (
@@ -168,7 +170,7 @@ def vectors(page: list[Block], hide: bool = False) -> np.ndarray:
             letters / n,
             block.text[0].isupper(),
             block.text[-1] in ".!?…\"'»”",
-            sum(c in "|»©·" for c in block.text[:200]) > 0,
+            any(c in block.text for c in "|»©·"),
             i / len(page),
             min(1.0, len(page) / 100),
         )

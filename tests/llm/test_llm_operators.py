@@ -268,6 +268,15 @@ def test_articles_of_comments_are_ruled_out():
     assert [(b.text, b.ruled_out) for b in html_blocks.blocks(page)] == [("Text", False), ("Reader", True)]
 
 
+def test_all_words_of_a_block_count():
+    same = " ".join(["same"] * 300)
+    rows = [html_blocks.vectors([html_blocks.Block(f"{same} {end}", (), False, False)])[0] for end in ("", "| x", "other " * 300)]
+    words = slice(html_blocks.PATH_SIZE, html_blocks.PATH_SIZE + html_blocks.WORD_SIZE)
+    assert rows[0][-3] == 0 and rows[1][-3] == 1
+    assert not np.allclose(rows[0][words], rows[2][words], atol=0.5)
+    assert all(math.isclose(r[words].sum(), 8, rel_tol=1e-3) for r in rows)
+
+
 def test_recurrent_gradients():
     draw = np.random.default_rng(0)
     net = html_blocks.Network.fresh()
