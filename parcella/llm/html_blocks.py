@@ -312,7 +312,8 @@ def fit(pages: DataFrame) -> Network | None:
     share = F.pmod(F.xxhash64("html", F.lit(17)), F.lit(1_000_003)) / 1_000_003
     chosen = usable.where(share < (SAMPLE_PAGES / total if total > SAMPLE_PAGES else 2.0))
     told = []
-    for r in chosen.select("html").orderBy(F.xxhash64("html"), "html").collect():  # bounded by SAMPLE_PAGES
+    # Copies share the hash, so they are chosen together: one of them is enough, and about SAMPLE_PAGES are collected.
+    for r in chosen.select("html").distinct().orderBy(F.xxhash64("html"), "html").collect():
         own = blocks(r["html"])
         if any(b.main and not b.ruled_out for b in own) and any(not b.main or b.ruled_out for b in own):
             told.append(own)

@@ -311,6 +311,12 @@ def test_pages_equal_their_articles(spark):
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
+def test_copies_of_a_page_are_learnt_from_once(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, PAGE if k else f"<p>{PAGE}") for k in range(50)], "page_id long, html string")
+    monkeypatch.setattr(html_blocks, "train", len)
+    assert html_blocks.fit(pages) == 2
+
+
 def test_pages_odd_rows(spark):
     long_page = "<article>" + "<p>" + "word " * 20_000 + "</p>" * 2 + "<p>x" * 3_000 + "</article>"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "a < b > c <"), (5, "u", long_page), (6, "u", "<div>" * 500)]
