@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import decontamination, html_blocks, licenses, minmax, pieces, pii, quality, suffix_dedup, topk, toxicity
+from parcella.llm import (
+    decontamination,
+    html_blocks,
+    licenses,
+    minmax,
+    multiset_hash,
+    periodic_runs,
+    pieces,
+    pii,
+    quality,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from parcella.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,6 +139,99 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def _made_periodic(documents: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth id (by its hash) the words behind a start repeat with one period."""
+    hashed = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    worded = hashed.withColumn("words", F.expr(f"if(h % 10 = 0, {words}, NULL)"))
+    counted = worded.withColumn("n", F.expr("size(words)")).withColumn("g", F.expr("h div 10"))
+    placed = counted.withColumn("a", F.expr("if(n > 0, g % n, NULL)"))
+    placed = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = "slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))"
+    return placed.selectExpr(
+        "doc_id", f"if(n > 0, array_join(concat(slice(words, 1, int(a)), {tail}), ' '), text) AS text"
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _made_periodic(table(spark, sf_dir, "documents"))
+    found = periodic_runs.with_runs(documents)
+    # Runs stand by start, then period: a later one must be better to win.
+    best = "aggregate(slice(runs, 2, greatest(size(runs), 1)), runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))"
+    found = found.withColumn("best", F.expr(f"if(size(runs) > 0, {best}, NULL)"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = multiset_hash.with_edit(multiset_hash.with_next(documents))
+    hashed = multiset_hash.with_fingerprints(edited, {"text": "own", "edited": "changed"})
+    return hashed.select(
+        "doc_id",
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset_hash.as_text(F.col("own")).alias("fingerprint"),
+        multiset_hash.as_text(F.col("changed")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        multiset_hash.likeness(F.col("own"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def _op12_lanes() -> str:
+    m = multiset_hash
+    half = m.DIGITS * 2
+    bit = lambda shift: (
+        f"flatten(list_transform(range({m.NUMBERS}), lambda c: list_transform(range({half}), lambda k: "
+        f"CAST(coalesce(list_sum(list_transform(digests, lambda d: "
+        f"(CAST('0x' || substr(d, CAST({m.DIGITS} * c + 1 AS BIGINT), {m.DIGITS}) AS BIGINT) >> (k + {shift})) & 1)), 0) AS BIGINT))))"
+    )
+    return f"list_concat([len(digests)], {bit(0)}, {bit(half)})"
+
+
+OP12_SQL = f"""
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+followed AS (
+  SELECT doc_id, text, length(text) // 2 AS half,
+    coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following
+  FROM whole),
+edits AS (SELECT doc_id, text, left(text, length(text) - half) || left(following, half) AS edited, following FROM followed),
+versions AS (
+  SELECT doc_id, 'own' AS version, text AS t FROM edits
+  UNION ALL SELECT doc_id, 'edited', edited FROM edits
+  UNION ALL SELECT doc_id, 'next', following FROM edits),
+hashed AS (
+  SELECT doc_id, version, list_transform(list_filter(string_split(regexp_replace(t, '{multiset_hash.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)),
+    lambda p: p <> ''), lambda p: sha256(p)) AS digests FROM versions),
+laned AS (SELECT doc_id, version, {_op12_lanes()} AS f FROM hashed),
+signed AS (
+  SELECT doc_id, version, f, list_transform(f[2:], lambda x: CAST(2 * x - f[1] AS DOUBLE)) AS s FROM laned),
+likened AS (
+  SELECT doc_id, o.f AS fo, e.f AS fe,
+    CASE WHEN o.f = e.f THEN 1.0 WHEN list_dot_product(o.s, o.s) * list_dot_product(e.s, e.s) = 0 THEN 0.0
+      ELSE least(1.0, greatest(0.0, list_dot_product(o.s, e.s) / (sqrt(list_dot_product(o.s, o.s)) * sqrt(list_dot_product(e.s, e.s))))) END AS near_edited,
+    CASE WHEN o.f = n.f THEN 1.0 WHEN list_dot_product(o.s, o.s) * list_dot_product(n.s, n.s) = 0 THEN 0.0
+      ELSE least(1.0, greatest(0.0, list_dot_product(o.s, n.s) / (sqrt(list_dot_product(o.s, o.s)) * sqrt(list_dot_product(n.s, n.s))))) END AS near_next
+  FROM (SELECT * FROM signed WHERE version = 'own') o
+    JOIN (SELECT * FROM signed WHERE version = 'edited') e USING (doc_id)
+    JOIN (SELECT * FROM signed WHERE version = 'next') n USING (doc_id))
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(list_transform(fo, lambda x: format('{{:08x}}', x)), '') AS fingerprint,
+  array_to_string(list_transform(fe, lambda x: format('{{:08x}}', x)), '') AS edited_fingerprint,
+  CAST(near_edited AS DOUBLE) AS near_edited, CAST(near_next AS DOUBLE) AS near_next
+FROM edits JOIN likened USING (doc_id)
+"""
+
+
 def _template_rows() -> str:
     rows = []
     for t in licenses.templates():
@@ -167,9 +273,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_multiset_hash": op12_multiset_hash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minmax_dedup": OP3_SQL,
     "op8_topk": OP8_SQL,
     "op9_license_scan": OP9_SQL,
+    "op12_multiset_hash": OP12_SQL,
 }
