@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcella.llm import (
+    alignment,
     decontamination,
     html_blocks,
     licenses,
@@ -187,6 +188,10 @@ def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def _op12_lanes() -> str:
     m = multiset_hash
     half = m.DIGITS * 2
@@ -275,6 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_multiset_hash": op12_multiset_hash,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minmax_dedup": OP3_SQL,
