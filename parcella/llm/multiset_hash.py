@@ -59,35 +59,27 @@ def _summed(numbers: Column) -> Column:
     )
 
 
-def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """All columns and fingerprints (arrays of bigint), given as text column -> output.
+def _lanes(digests: Column) -> Column:
+    """The fingerprint of the paragraphs with these digests.
 
-    The steps are projections of their own, so that nothing is evaluated twice.
+    What an inner function uses often is bound as an outer one's variable; a column of
+    an earlier projection could be put in its place and evaluated again each time.
     """
-    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {o.lower() for o in columns.values()}]
-    step = [(f"_h{i}", source) for i, source in enumerate(columns)]
-    digests = df.select(
-        *own, *[F.transform(paragraphs(F.col(f"`{s}`")), lambda p: F.sha2(p, 256)).alias(name) for name, s in step]
-    )
-    numbers = digests.select(
-        *own,
-        *[F.size(name).cast("bigint").alias(f"{name}_n") for name, _ in step],
-        *[_numbers(F.col(name), k).alias(f"{name}_{k}") for name, _ in step for k in range(NUMBERS)],
-    )
-    packed = numbers.select(
-        *own,
-        *[f"{name}_n" for name, _ in step],
-        *[F.concat(*[_summed(F.col(f"{name}_{k}")) for k in range(NUMBERS)]).alias(name) for name, _ in step],
-    )
     low = lambda x: x.bitwiseAND(F.lit((1 << _HALF) - 1).cast("bigint"))
     high = lambda x: F.shiftright(x, _HALF)
-    return packed.select(
-        *own,
-        *[
-            F.concat(F.array(F.col(f"{name}_n")), F.transform(name, low), F.transform(name, high)).alias(output)
-            for (name, _), output in zip(step, columns.values())
-        ],
+    numbers = lambda d: F.array(*[_numbers(d, k) for k in range(NUMBERS)])
+    packed = lambda d: F.flatten(F.transform(numbers(d), _summed))
+    unpacked = lambda d: F.transform(
+        F.array(packed(d)), lambda x: F.concat(F.array(F.size(d).cast("bigint")), F.transform(x, low), F.transform(x, high))
     )
+    return F.transform(F.array(digests), lambda d: unpacked(d)[0])[0]
+
+
+def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """All columns and fingerprints (arrays of bigint), given as text column -> output."""
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {o.lower() for o in columns.values()}]
+    digests = lambda name: F.transform(paragraphs(F.col(f"`{name}`")), lambda p: F.sha2(p, 256))
+    return df.select(*own, *[_lanes(digests(source)).alias(output) for source, output in columns.items()])
 
 
 def insert(fingerprint: Column, other: Column) -> Column:
@@ -106,16 +98,20 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def _product(a: Column, b: Column) -> Column:
-    signs = lambda f: F.transform(F.slice(f, 2, LANES), lambda x: 2 * x - f[0])
-    pairs = F.zip_with(signs(a), signs(b), lambda x, y: (x * y).cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the cosine of two fingerprints; equal ones give 1 and opposed ones 0."""
-    norms = F.sqrt(_product(a, a)) * F.sqrt(_product(b, b))
-    cosine = F.when(norms > 0, _product(a, b) / norms).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
+    signs = lambda f: F.transform(F.array(f), lambda f: F.transform(F.slice(f, 2, LANES), lambda x: (2 * x - f[0]).cast("double")))[0]
+
+    def cosine(x: Column, y: Column) -> Column:
+        norms = F.sqrt(_product(x, x)) * F.sqrt(_product(y, y))
+        return F.when(norms > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _product(x, y) / norms))).otherwise(0.0)
+
+    # Bound once, as above.
+    found = F.transform(F.array(F.struct(signs(a).alias("x"), signs(b).alias("y"))), lambda s: cosine(s["x"], s["y"]))[0]
+    return F.when(a == b, 1.0).otherwise(found)
 
 
 def next_ids(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -146,16 +142,16 @@ def with_next(documents: DataFrame, beginning: str = "next_text", fingerprint: s
     order = next_ids(documents, Scratch(documents.sparkSession, "multiset"))
     order = order.select(F.struct("next_id").alias("_key"), F.struct("id").alias("_for"), "needed").hint("merge")
     # A struct equals another one where both hold null, so null ids join like others.
-    keyed = documents.withColumn("_key", F.struct("doc_id"))
+    others = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("doc_id", "text")]
+    keyed = documents.select("text", F.struct("doc_id").alias("_key"), *others)
     given = with_fingerprints(keyed.select("text", "_key").join(order, "_key"), {"text": "_hash"})
     given = given.select(F.col("_for").alias("_key"), F.expr("left(coalesce(text, ''), needed)").alias("_start"), "_hash")
     # Rows of one id become one before the shuffle, however many there are.
     given = given.groupBy("_key").agg(F.min(F.struct("_start", "_hash")).alias("_next")).hint("merge")
-    taken = {beginning.lower(), fingerprint.lower()}
-    own = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in taken]
-    return keyed.join(given, "_key").select(
-        *own, F.col("_next._start").alias(beginning), F.col("_next._hash").alias(fingerprint)
-    )
+    made = {beginning: "_next._start", fingerprint: "_next._hash"}
+    own = [c for c in documents.columns if c.lower() not in {m.lower() for m in made}]
+    own = [F.col("_key.doc_id").alias(c) if c.lower() == "doc_id" else F.col(f"`{c}`") for c in own]
+    return keyed.join(given, "_key").select(*own, *[F.col(source).alias(name) for name, source in made.items()])
 
 
 def with_edit(documents: DataFrame, output: str = "edited", start: str = "next_text") -> DataFrame:
