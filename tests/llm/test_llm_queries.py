@@ -27,7 +27,7 @@ def test_query_equals_sql(name, sf, spark):
 
 def test_all_are_registered():
     found = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in found) == 1
     assert "pipeline" in found
     assert set(queries.ORACLE_SQL) <= set(contract.oracle_sql())
