@@ -1,16 +1,24 @@
-"""Evaluating many saved dashboard searches at once."""
+"""Evaluating many saved dashboard searches at once.
+
+The report reads the sales twice. The first pass joins searches and sales and counts
+the matches of every search by value range, straight out of the join. The counts say in which
+range each median lies and how far in; the second pass joins on that range
+too, so only the few sales around a median meet its search.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcella import schema as S
-from parcella.operators.market import price_summary
+from parcella.functions import columns as C
+from parcella.sources.tables import materialise
 
 ANY = "any"
 ALL = "all"
-SALTS = 64
+#: Value ranges per factor e of magnitude, each about 0.2 % wide.
+RANGES_PER_E = 1 << 9
 OK, MALFORMED = "ok", "malformed"
 
 # Keys of a shareable address and the bounds they set.
@@ -38,11 +46,6 @@ def _fields(query: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: p != ""), pair)
 
 
-def _given(fields: Column, key: str) -> Column:
-    """The first value of a key."""
-    return F.get(F.filter(fields, lambda p: p["key"] == key), F.lit(0))["value"]
-
-
 def _number(text: Column) -> Column:
     """NULL when the text is absent or no number, zero when it is empty."""
     return F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
@@ -52,9 +55,8 @@ def _is_bad(text: Column) -> Column:
     return (text != "") & text.try_cast("double").isNull()
 
 
-def _spec(text: Column) -> Column:
-    """``type:aMin:aMax:rMin:rMax``; unknown types mean any, empty means open."""
-    part = F.split(text, ":")
+def _spec(part: Column) -> Column:
+    """The parts of ``type:aMin:aMax:rMin:rMax``; unknown types mean any, empty means open."""
 
     def bound(i: int) -> Column:
         return F.nullif(F.get(part, F.lit(i)), F.lit("")).try_cast("double")
@@ -74,30 +76,36 @@ def decode_searches(searches: DataFrame) -> DataFrame:
 
     The same contract as :meth:`SaleFilter.from_query`; a search that it would
     refuse has the status ``malformed`` here. ``specs`` holds each distinct
-    building spec once, with how often it was given.
+    building spec once, with how often it was given. Each step is a projection
+    of its own and small, as the plan holds all of them wherever searches are used.
     """
-    raw = searches.select("search_id", _fields(F.col("query")).alias("f"))
-    f = F.col("f")
-    parts = F.filter(F.split(F.coalesce(_given(f, "bs"), F.lit("")), ";"), lambda p: p != "")
-    specs = F.transform(parts, _spec)
-    counted = F.transform(
-        F.array_distinct(specs),
-        lambda s: F.struct(s.alias("spec"), F.size(F.filter(specs, lambda o: o == s)).alias("n")),
+    keys = {key: f"_{key}" for key in (*_YEARS, *_BOUNDS, "dept", "bs")}
+    fields = searches.select("search_id", _fields(F.col("query")).alias("f"))
+    lists = fields.select("search_id", F.col("f.key").alias("keys"), F.col("f.value").alias("given"))
+    # The first value of a key; nothing stands before the first place.
+    values = lists.select(
+        "*", *[F.get("given", F.array_position("keys", key) - 1).alias(name) for key, name in keys.items()]
     )
-    bad_spec = F.exists(parts, lambda p: F.exists(F.slice(F.split(p, ":"), 2, 4), _is_bad))
-    bad = F.exists(f, lambda p: p["key"].isNull() | p["value"].isNull()) | bad_spec
-    for key in (*_YEARS, *_BOUNDS):
-        bad = bad | F.coalesce(_is_bad(_given(f, key)), F.lit(False))
-    return raw.select(
+    parts = values.withColumn("parts", F.filter(F.split(F.coalesce("_bs", F.lit("")), ";"), lambda p: p != ""))
+    parts = parts.withColumn("parts", F.transform("parts", lambda p: F.split(p, ":")))
+    specs = parts.withColumn("specs", F.transform("parts", _spec))
+    bad = F.exists("keys", lambda k: k.isNull()) | F.exists("given", lambda v: v.isNull())
+    bad = bad | F.exists("parts", lambda p: F.exists(F.slice(p, 2, 4), _is_bad))
+    numbers = F.array(*[F.col(keys[key]) for key in (*_YEARS, *_BOUNDS)])
+    bad = bad | F.exists(numbers, lambda v: F.coalesce(_is_bad(v), F.lit(False)))
+    return specs.select(
         "search_id",
         F.when(bad, MALFORMED).otherwise(OK).alias("status"),
         *[
-            F.coalesce(_number(_given(f, key)).cast("int"), F.lit(default)).alias(name)
+            F.coalesce(_number(F.col(keys[key])).cast("int"), F.lit(default)).alias(name)
             for key, (name, default) in _YEARS.items()
         ],
-        F.coalesce(_given(f, "dept"), F.lit(ALL)).alias("department"),
-        *[_number(_given(f, key)).alias(name) for key, name in _BOUNDS.items()],
-        counted.alias("specs"),
+        F.coalesce("_dept", F.lit(ALL)).alias("department"),
+        *[_number(F.col(keys[key])).alias(name) for key, name in _BOUNDS.items()],
+        F.transform(
+            F.array_distinct("specs"),
+            lambda s: F.struct(s.alias("spec"), F.size(F.filter("specs", lambda o: o == s)).alias("n")),
+        ).alias("specs"),
     )
 
 
@@ -117,64 +125,166 @@ def _building_matches(b: Column, s: Column) -> Column:
     )
 
 
+#: Columns of a sale with its number of buildings of a type; the type of a spec counts towards its own and all.
+_NUMBERS = {S.HOUSE: "n_maisons", S.APARTMENT: "n_appartements"}
+
+
+def _needed(kind: str | None) -> Column:
+    """The most buildings of a type that one spec asks for."""
+    own = F.filter("specs", lambda w: F.lit(True) if kind is None else w["spec"]["type"] == kind)
+    return F.coalesce(F.array_max(F.transform(own, lambda w: w["n"])), F.lit(0))
+
+
 def _specs_met() -> Column:
-    return F.forall(
+    """Numbers of buildings first, then the buildings themselves."""
+    enough = F.col("n_maisons") + F.col("n_appartements") >= F.col("_needed")
+    for number in _NUMBERS.values():
+        enough = enough & (F.col(number) >= F.col(f"_needed_{number}"))
+    return enough & F.forall(
         "specs",
         lambda w: F.size(F.filter("buildings", lambda b: _building_matches(b, w["spec"])))
         >= w["n"],
     )
 
 
-def matching_pairs(sales: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search, sale) pairs where the sale passes the search.
-
-    An equality join on year and department finds the candidates: a search is
-    repeated for each year it covers, and a sale stands under its department
-    and under ``all``. The other bounds are checked inside the join. A salt
-    spreads both, so that no year or department is one task; Spark broadcasts
-    the searches if it sees that they are few. Malformed searches match nothing.
-    """
+def _with_years(sales: DataFrame, searches: DataFrame) -> DataFrame:
+    """Decoded searches with the years with sales that they cover, none for malformed ones."""
     domain = sales.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    wanted = decode_searches(searches).where(F.col("status") == OK)
     first, last = domain.select("first").scalar(), domain.select("last").scalar()
     low, high = F.greatest("year_min", first), F.least("year_max", last)
-    wanted = wanted.where(low <= high).withColumn("year", F.explode(F.sequence(low, high)))
-    salts = F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])
-    wanted = wanted.withColumn("salt", F.explode(salts))
-    facts = sales.select(
-        "id_mutation",
+    needed = {"_needed": _needed(None)} | {f"_needed_{number}": _needed(kind) for kind, number in _NUMBERS.items()}
+    decoded = decode_searches(searches).withColumns(needed)
+    return decoded.withColumn("years", F.when((F.col("status") == OK) & (low <= high), F.sequence(low, high)))
+
+
+def _by_year(decoded: DataFrame) -> DataFrame:
+    """Searches, once for each of their years."""
+    return decoded.withColumn("year", F.explode("years")).drop("years")
+
+
+def _facts(sales: DataFrame, *columns: Column | str) -> DataFrame:
+    """What searches look at; a sale stands under its department and under ``all``."""
+    return sales.select(
         "year",
         "price_eur",
-        "price_per_m2",
         "built_area_m2",
         "land_area_m2",
         "buildings",
+        *_NUMBERS.values(),
+        *columns,
         F.explode(F.array(F.col("department_code"), F.lit(ALL))).alias("department"),
-        F.pmod(F.xxhash64("id_mutation"), F.lit(SALTS)).alias("salt"),
     )
-    return (
-        facts.join(wanted, ["year", "department", "salt"])
-        .where(
-            _within("price_eur", "price_min", "price_max")
-            & _within("built_area_m2", "area_min", "area_max")
-            & _within("land_area_m2", "land_min", "land_max")
-            & _specs_met()
-        )
-        .select("search_id", "id_mutation", "price_eur", "price_per_m2")
+
+
+def _joined(facts: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Sales and the searches they pass, the cheap conditions tested first."""
+    return facts.join(wanted, ["year", "department", *keys]).where(
+        _within("price_eur", "price_min", "price_max")
+        & _within("built_area_m2", "area_min", "area_max")
+        & _within("land_area_m2", "land_min", "land_max")
+        & _specs_met()
+    )
+
+
+def matching_pairs(sales: DataFrame, searches: DataFrame) -> DataFrame:
+    """(search, sale) pairs where the sale passes the search.
+
+    An equality join on year and department finds the candidates; the other bounds are
+    checked inside the join. Spark broadcasts the searches if it sees that they are few,
+    and otherwise splits the tasks of a year and department that has very many sales.
+    Malformed searches match nothing.
+    """
+    facts = _facts(sales, "id_mutation", "price_per_m2")
+    pairs = _joined(facts, _by_year(_with_years(sales, searches)))
+    return pairs.select("search_id", "id_mutation", "price_eur", "price_per_m2")
+
+
+def _range(value: Column) -> Column:
+    """The number of the range that holds a value; grows with the value, NULL for NULL."""
+    value = value.cast("double")
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * RANGES_PER_E)
+
+
+#: Medians of the report, and how the value behind each is computed.
+_SERIES = {"median_price": lambda: F.col("price_eur"), "median_per_m2": C.plausible_ppm2}
+
+
+def _histogram(sales: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(search_id, series, range, n): matches by range of each value; range NULL where it is missing.
+
+    A pair of ranges is counted first, so a match is one row on its way out of the join.
+    """
+    ranges = [_range(value()).alias(f"range_{name}") for name, value in _SERIES.items()]
+    pairs = _joined(_facts(sales, *ranges), wanted)
+    both = pairs.groupBy("search_id", *[f"range_{name}" for name in _SERIES]).count()
+    series = F.array(
+        *[F.named_struct(F.lit("series"), F.lit(name), F.lit("range"), F.col(f"range_{name}")) for name in _SERIES]
     )
+    return both.select("search_id", F.inline(series), "count").groupBy("search_id", "series", "range").agg(F.sum("count").alias("n"))
+
+
+def _targets(histogram: DataFrame) -> DataFrame:
+    """Ranges with a wanted rank: at most two a search and series, with the ranks counted from their start.
+
+    The windows see no more rows than there are ranges. Missing values are counted as none instead
+    of being filtered out: a filter would move below the counts, and they could not be shared.
+    """
+    group = Window.partitionBy("search_id", "series")
+    upto = group.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valued = histogram.withColumn("n", F.when(F.col("range").isNull(), 0).otherwise(F.col("n")))
+    ranked = valued.select(
+        "*", F.sum("n").over(group).alias("all"), (F.sum("n").over(upto) - F.col("n")).alias("before")
+    )
+    low, high = F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2)
+    inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+    return ranked.where(inside(low) | inside(high)).select(
+        "search_id",
+        "series",
+        "range",
+        F.when(inside(low), low - F.col("before")).alias("low"),
+        F.when(inside(high), high - F.col("before")).alias("high"),
+    )
+
+
+def _medians(sales: DataFrame, wanted: DataFrame, targets: DataFrame) -> DataFrame:
+    """(search_id, series, median) from the sales in the wanted ranges only."""
+    named = F.array(
+        *[
+            F.named_struct(F.lit("series"), F.lit(name), F.lit("value"), value().cast("double"))
+            for name, value in _SERIES.items()
+        ]
+    )
+    facts = _facts(sales, named.alias("measured")).select("*", F.inline("measured"))
+    facts = facts.drop("measured").withColumn("range", _range(F.col("value")))
+    near = _joined(facts, wanted.join(targets, "search_id"), "series", "range")
+    keys = ["search_id", "series", "range"]
+    values = near.groupBy(*keys, "value", "low", "high").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("last", F.sum("n").over(upto))
+    at = lambda rank: F.max(F.when((F.col(rank) < F.col("last")) & (F.col(rank) >= F.col("last") - F.col("n")), F.col("value")))
+    found = placed.groupBy("search_id", "series").agg(at("low").alias("low"), at("high").alias("high"))
+    return found.select("search_id", "series", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def saved_search_report(sales: DataFrame, searches: DataFrame) -> DataFrame:
     """Status, number of sales and medians of every saved search.
 
-    Pairs are counted straight out of the join, map-side, and never stored.
+    The decoded searches are stored once: decoding is a long expression, and the plan
+    would hold and compile it wherever they are read. The counts by range serve twice, for
+    the number of sales and for the second pass; Spark shuffles them once.
     """
-    pairs = matching_pairs(sales, searches).drop("id_mutation")
-    found = price_summary(pairs, ["search_id"], "median_per_m2")
+    decoded = materialise(_with_years(sales, searches), "searches")
+    wanted = _by_year(decoded)
+    histogram = _histogram(sales, wanted)
+    of_one = F.when(F.col("series") == next(iter(_SERIES)), F.col("n"))
+    counts = histogram.groupBy("search_id").agg(F.sum(of_one).alias("n_sales"))
+    medians = _medians(sales, wanted, _targets(histogram)).groupBy("search_id").agg(
+        *[F.round(F.max(F.when(F.col("series") == name, F.col("median")))).cast("bigint").alias(name) for name in _SERIES]
+    )
     return (
-        decode_searches(searches)
-        .select("search_id", "status")
-        .join(found, "search_id", "left")
+        decoded.select("search_id", "status")
+        .join(counts, "search_id", "left")
+        .join(medians, "search_id", "left")
         .withColumn(
             "n_sales",
             F.when(F.col("status") == OK, F.coalesce("n_sales", F.lit(0).cast("bigint"))),
