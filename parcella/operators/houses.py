@@ -94,6 +94,7 @@ def two_house_extremes(rows: DataFrame, dearest: bool, limit: int = 10) -> DataF
     return (
         two_house_sales(only_ids(rows, top))
         .orderBy(*order)
+        .limit(limit)
         .select(
             "id_mutation",
             "year",

@@ -136,12 +136,13 @@ def policy_before_after(rows: DataFrame) -> DataFrame:
     )
 
 
-def _top_details(rows: DataFrame, top: DataFrame, columns: list[str], *order) -> DataFrame:
+def _top_details(rows: DataFrame, top: DataFrame, columns: list[str], limit: int, *order) -> DataFrame:
     return (
         only_ids(rows, top)
         .groupBy("id_mutation")
         .agg(*_facts(), F.count_distinct("code_commune").alias("n_communes"))
         .orderBy(*order)
+        .limit(limit)
         .withColumn("price", F.round("price"))
         .select(*columns)
     )
@@ -158,7 +159,7 @@ def biggest_after_policy(rows: DataFrame, limit: int = 10) -> DataFrame:
         .limit(limit)
     )
     columns = ["id_mutation", "date", "price", "nature", "n_rows", "commune", "dept"]
-    return _top_details(rows, top, columns, *order)
+    return _top_details(rows, top, columns, limit, *order)
 
 
 def sample_order(seed: int) -> Column:
@@ -176,7 +177,7 @@ def sample_dropped(rows: DataFrame, size: int = 10, seed: int = 1) -> DataFrame:
         .limit(size)
     )
     columns = ["id_mutation", "date", "price", "nature", "n_rows", "n_communes", "dept"]
-    return _top_details(rows, top, columns, sample_order(seed))
+    return _top_details(rows, top, columns, size, sample_order(seed))
 
 
 def single_house_ppm2(rows: DataFrame) -> DataFrame:

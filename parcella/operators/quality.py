@@ -17,9 +17,21 @@ PARCEL_LABEL = "(null — terrain/parcel)"
 PROOF_ROWS = 10_000
 
 
+# Ids that become a filter of the scan; the winners of a top-k report are far fewer.
+MAX_PUSHED_IDS = 1_000
+
+
 def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given sales. Spark sees how small a limited ``ids`` is and broadcasts it."""
-    return rows.join(ids.select("id_mutation"), "id_mutation", "left_semi")
+    """Rows of the given sales, looked up by id.
+
+    The ids are found by a first job and go into the scan as a filter. Stored raw
+    rows lie in ranges of ids, so files, row groups and pages without any of them are skipped.
+    Past ``MAX_PUSHED_IDS`` ids, of which no more are fetched, the rows are joined instead.
+    """
+    few = [r[0] for r in ids.select("id_mutation").limit(MAX_PUSHED_IDS + 1).collect()]
+    if len(few) > MAX_PUSHED_IDS:
+        return rows.join(ids.select("id_mutation"), "id_mutation", "left_semi")
+    return rows.where(F.col("id_mutation").isin(few))
 
 
 def _total(condition: Column) -> Column:
@@ -73,6 +85,7 @@ def largest_sales_by_rows(rows: DataFrame, limit: int = 10) -> DataFrame:
             F.count_distinct("code_commune").alias("n_communes"),
         )
         .orderBy(F.desc("n_rows"), "id_mutation")
+        .limit(limit)
     )
 
 
@@ -195,6 +208,7 @@ def biggest_sales(rows: DataFrame, limit: int = 5) -> DataFrame:
             C.any_of("nature_mutation").alias("nature"),
         )
         .orderBy(*order)
+        .limit(limit)
     )
 
 

@@ -14,6 +14,8 @@ from parcella.session import shared_dir
 # Upper bounds on one output file, so that a large year becomes many files.
 RECORDS_PER_FILE = 20_000_000
 ROWS_PER_ROW_GROUP = 200_000
+# Rows of a page, the least that a look-up by a sorted column reads.
+ROWS_PER_PAGE = 2_000
 
 
 def read_raw_csv(
@@ -51,6 +53,7 @@ def _write_by_year(df: DataFrame, path: str, sort_by: list[str], mode: str):
         .option("compression", "zstd")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .option("parquet.block.row.count.limit", ROWS_PER_ROW_GROUP)
+        .option("parquet.page.row.count.limit", ROWS_PER_PAGE)
         .partitionBy("year")
         .parquet(path)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
@@ -144,6 +145,53 @@ def test_top_k_without_global_sort(query, store):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize(
+    "query",
+    [
+        lambda t: quality.largest_sales_by_rows(t.raw),
+        lambda t: quality.biggest_sales(t.raw),
+        lambda t: houses.two_house_extremes(t.raw, True),
+        lambda t: policy.biggest_after_policy(t.raw),
+        lambda t: policy.sample_dropped(t.raw),
+        lambda t: houses.sampled_sale_rows(t.raw, t.sales),
+        lambda t: houses.dedup_examples(t.raw, t.sales),
+    ],
+)
+def test_details_are_looked_up(query, store):
+    """The winners' ids are a filter of the scan; pages of the sorted raw rows without them are not read."""
+    found = query(store)
+    text = plan(found)
+    assert "PushedFilters: [In(id_mutation" in text and "Join" not in text
+    found.collect()
+    assert rows_scanned(found) < store.raw.count() / 1.5
+
+
+def rows_scanned(df) -> int:
+    """Rows that the scans of an executed plan gave."""
+    inside = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ResultQueryStageExec": "plan"}
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in inside:
+            todo.append(getattr(node, inside[kind])())
+        elif node.nodeName().startswith("Scan"):
+            total += node.metrics().get("numOutputRows").get().value()
+        children = node.children().iterator()
+        while children.hasNext():
+            todo.append(children.next())
+    return total
+
+
+def test_look_ups_of_many_ids_join(spark, monkeypatch):
+    rows = raw(spark, *[parcel(f"s{i % 5}") for i in range(10)])
+    ids = spark.createDataFrame([(f"s{i}",) for i in range(3)] + [(None,)], "id_mutation string")
+    for most in (1_000, 2):
+        monkeypatch.setattr(quality, "MAX_PUSHED_IDS", most)
+        assert quality.only_ids(rows, ids).count() == 6
+    assert quality.only_ids(rows, ids.where("false")).count() == 0
+
+
 def test_type_reports_do_not_join(store):
     assert "Join" not in plan(policy.kept_types(store.raw))
     assert "Join" not in plan(houses.two_house_sales(store.raw))
@@ -168,6 +216,32 @@ def test_saved_searches_do_not_pair_everything(store):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_saved_searches_medians_one_by_one(store):
+    """Both medians of every search against the single-search summary."""
+    few = store.searches().where("search_id <= 8")
+    for row in searches.saved_search_report(store.sales, few).collect():
+        text = few.where(F.col("search_id") == row.search_id).first().query
+        one = market.summary_stats(store.sales, SaleFilter.from_query(text)).first()
+        assert (row.median_price, row.median_per_m2) == (one.median_price, one.median_per_m2)
+
+
+def test_saved_searches_join_sales_once_for_counts(store):
+    """The counts by range are shuffled once and read twice; the second join also matches the range."""
+    report = searches.saved_search_report(store.sales, store.searches())
+    report.collect()
+    text = report._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReusedExchange \[search_id#\d+L?, series#\d+, range#\d+L?", text)) == 1
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_saved_searches_missing_values(spark):
+    df = sales(spark, *[{"price_eur": p, "price_per_m2": m} for p, m in ((100.0, None), (200.0, None), (None, 2000.0), (None, 4000.0))])
+    asked = spark.createDataFrame([(1, "ymin=1990"), (2, "dept=none")], "search_id int, query string")
+    found = {r.search_id: r for r in searches.saved_search_report(df, asked).collect()}
+    assert (found[1].n_sales, found[1].median_price, found[1].median_per_m2) == (4, 150, 3000)
+    assert (found[2].n_sales, found[2].median_price, found[2].median_per_m2) == (0, None, None)
+
+
 def test_search_defaults_and_empty_values(spark):
     df = sales(spark, {}, {"year": 1999}, {"department_code": "75"})
     asked = spark.createDataFrame(
