@@ -89,8 +89,15 @@ def read_table(spark: SparkSession, path: str, view: str | None = None) -> DataF
 
 
 def ingest(spark: SparkSession, paths: str | list[str], out: str, schema=S.RAW_SCHEMA) -> DataFrame:
-    """Yearly CSV files to year-partitioned Parquet, all years in one job."""
-    write_raw(read_raw_csv(spark, paths, schema), out)
+    """Yearly CSV files to year-partitioned Parquet.
+
+    A gzip file cannot be split, and dealing rows to ranges reads its input twice: once for a
+    sample of the keys, once for the rows. So the files are parsed once into a staged copy,
+    which both passes read in parallel, and which is deleted in the end.
+    """
+    staged = materialise(read_raw_csv(spark, paths, schema), "staged")
+    write_raw(staged, out)
+    discard(staged)
     return read_table(spark, out)
 
 
@@ -121,7 +128,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = workspace(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(stored: DataFrame):
+    """Delete a table of :func:`materialise` that nothing will read again."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:

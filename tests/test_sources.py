@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import gzip
 import json
 
@@ -71,6 +72,21 @@ def test_ingest_and_report(spark, files, tmp_path):
     assert set(view.columns) == {*S.RAW_SCHEMA.fieldNames(), "year"}
 
 
+def test_ingest_parses_each_file_once(spark, files, tmp_path, monkeypatch):
+    """The files are gone before the rows are dealt to ranges, and nothing staged is left behind."""
+    seen, write = [], io.write_raw
+
+    def late(rows, out):
+        for file in tmp_path.glob("*.csv.gz"):
+            file.unlink()
+        seen.append(rows.stored_path)
+        write(rows, out)
+
+    monkeypatch.setattr(io, "write_raw", late)
+    table = io.ingest(spark, files, str(tmp_path / "stored"))
+    assert table.count() == 3 and not glob.glob(f"{seen[0]}*")
+
+
 def test_row_groups_and_statistics(spark, tmp_path):
     import glob
 
