@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import arrow_map, importable
+from parcella.llm.common import arrow_map, importable, row_groups, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -244,6 +244,39 @@ def mask(texts, spans):
     return texts.combine(spans, lambda text, rows: text if text is None or not len(rows) else masked(text, rows))
 
 
+def mask_documents(documents: DataFrame, length: str = "n_chars") -> DataFrame:
+    """All columns, the spans of ``text`` replaced by their kinds; the length of a changed text follows.
+
+    Spans are found and replaced in one function, so a task runs one Python worker and
+    holds about a megabyte of texts at a time. A text without spans stays as it is, null
+    included, and so does its length; a table without a column of lengths gets none.
+    """
+    importable(documents.sparkSession)
+    names = documents.columns
+    text, size = names.index("text"), names.index(length) if length in names else None
+
+    def run(batch):
+        _, offsets = utf8(batch.column(text))
+        for i, j in row_groups(offsets):
+            part = batch.slice(i, j - i)
+            texts, changed = part.column(text).to_pylist(), {}
+            for k, own in enumerate(texts):
+                spans = spans_of(own)
+                if spans:
+                    rows = [dict(zip(("kind", "start", "stop"), s)) for s in spans]
+                    texts[k] = changed[k] = masked(own, rows)
+            columns = list(part.columns)
+            if changed:
+                columns[text] = pa.array(texts, part.schema.field(text).type)
+                if size is not None:
+                    sizes = part.column(size).to_pylist()
+                    sizes = [len(changed[k]) if k in changed else n for k, n in enumerate(sizes)]
+                    columns[size] = pa.array(sizes, part.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return arrow_map(documents, documents.schema, run)
+
+
 def listed(rows) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b, *_ in rows)
 

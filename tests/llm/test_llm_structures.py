@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcella.llm import alignment, multiset_hash, periodic_runs, queries
+from parcella.llm import alignment, multiset_hash, periodic_runs, pii, queries
 from parcella.llm.common import SPACED
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +265,19 @@ def test_cuts_without_common_ends():
     assert (first_a.tolist(), first_b.tolist()) == ([0], [0])
     first_a, _ = alignment.shared_cuts(even, even, np.array([0, n]), np.array([0, n]))
     assert first_a.tolist() == list(range(n))
+
+
+# 6: masking in one step
+
+
+def test_masking_in_one_step(odd_documents, no_documents):
+    """The same texts as finding and masking apart; lengths follow changed texts only."""
+    before = odd_documents.drop("spans").collect()
+    after = pii.mask_documents(odd_documents.drop("spans")).collect()
+    assert len(after) == len(before)
+    for x, y in zip(before, after):
+        spans = [{"kind": k, "start": a, "stop": b} for k, a, b, _ in pii.spans_of(x["text"])]
+        assert y["text"] == (pii.masked(x["text"], spans) if spans else x["text"])
+        assert y["n_chars"] == (len(y["text"]) if spans else x["n_chars"])
+    assert any(x["text"] != y["text"] for x, y in zip(before, after))
+    assert pii.mask_documents(no_documents.drop("n_chars")).columns == ["doc_id", "text", "lang", "source"]
