@@ -42,14 +42,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, spans replaced by their kind; n_chars follows a changed text."""
-    spans = fresh_name(docs.columns, "spans")
-    found = pii.find_personal_data(docs, output=spans)
-    hit = F.size(spans) > 0
-    text = F.when(hit, pii.mask("text", spans)).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
-    return found.withColumns(changed).select(*docs.columns)
+    return pii.mask_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
