@@ -62,6 +62,58 @@ def test_leaks_are_found_exactly_and_reworded(spark):
         assert sum(planted[d][0] in found.get(d, ()) for d in own) >= least * len(own)
 
 
+def test_search_of_windows_against_brute_force(monkeypatch):
+    """Every window with every chunk, word by word; small tiles, repeated words, empty, short and long texts."""
+    own, draw = decontamination, random.Random(17)
+    monkeypatch.setattr(own, "TILE", 32)
+    pool = [f"w{k}" for k in range(60)]
+    items = [" ".join(draw.choices(pool, k=n)) for n in (1, 5, 9, 24, 25, 40, 90)]
+    texts = ["", "w1", items[3]] + [" ".join(draw.choices(pool, k=draw.randint(1, 200))) for _ in range(20)]
+    for item in items:
+        words = [w if draw.random() < 0.8 else draw.choice(pool) for w in item.split()]
+        texts.append(" ".join(draw.choices(pool, k=30) + words + draw.choices(pool, k=draw.randint(0, 50))))
+    generator = np.random.default_rng(4)
+    idf, basis = np.ones(own.SIZE), generator.standard_normal((own.SIZE, 8)).astype(np.float32)
+    table = np.vstack([basis, np.zeros((1, 8), np.float32)])
+    block = own._block(list(range(len(items))), items, idf, table)
+    hashes, bounds, _, _ = own.ALNUM.words(*own.utf8(own.pa.array(texts)))
+    found = own._search(hashes, bounds, block, table)
+
+    vector = lambda words: table[own._bucket(words)].sum(0)
+    item_words, expected, close = own._text_words(items), {}, 0
+    for r, words in enumerate(own._text_words(texts)):
+        for k, item in enumerate(item_words):
+            begins = set()
+            size = min(own.PHRASE, len(item))
+            runs = {}
+            for a in range(len(item) - size + 1):
+                runs.setdefault(tuple(item[a : a + size].tolist()), a)
+            for a in range(len(words) - size + 1):
+                if tuple(words[a : a + size].tolist()) in runs:
+                    begins.add(a - runs[tuple(words[a : a + size].tolist())])
+            parts = -(-len(words) // own.STRIDE)
+            for a in [own.STRIDE * x for x in range(max(min(1, parts), parts - own.WINDOW // own.STRIDE + 1))]:
+                window = words[a : a + own.WINDOW]
+                for c in np.flatnonzero(block.chunk_item == k).tolist():
+                    at = int(block.chunk_at[c])
+                    chunk = item[at : at + own.WINDOW]
+                    x, y = vector(window), vector(chunk)
+                    cosine = x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+                    shared = sum(w in set(window.tolist()) for w in chunk.tolist())
+                    if cosine >= own.COSINE * math.sqrt(len(chunk) / own.WINDOW) and shared >= own.SHARED * len(chunk):
+                        begins.add(a - at)
+                        close += 1
+            for begin in begins:
+                stretch = words[max(0, begin - own.SLACK) : begin + len(item) + own.SLACK].tolist()
+                share = own.common_words(item.tolist(), stretch) / len(item)
+                answer = {int(block.vocabulary[x - 1]) for x in block.answers[k]} <= set(stretch)
+                if share >= own.COVERED or share >= own.COVERED_WITH_ANSWER and answer:
+                    expected[r, k] = max(share, expected.get((r, k), 0.0))
+    assert close > 20 and set(found) == set(expected) and (2, 3) in found
+    # Stretches that begin within STRIDE words of each other are tried once, so a share may be a little less.
+    assert all(found[x] <= expected[x] for x in found)
+
+
 def test_leaks_in_a_third_of_the_documents(spark):
     """An item in very many documents, which differ otherwise, is as sure to be found as a rare one."""
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
