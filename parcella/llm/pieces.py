@@ -140,20 +140,26 @@ def encode(documents: DataFrame, path: str = MODEL, output: str = "ids") -> Data
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", output: str = "decoded") -> DataFrame:
-    """All columns and the text that the ids stand for; a column of that name is replaced."""
+    """All columns and the text that the ids stand for; a column of that name is replaced.
+
+    A null list gives an empty text. A null id, or one that the vocabulary does not hold,
+    stands for U+FFFD; so do bytes that form no UTF-8. One leading space goes, if there is one.
+    """
     spark = importable(encoded.sparkSession)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(path))
     own = encoded.select([c for c in encoded.columns if c.lower() != output.lower()])
     at = own.columns.index(ids)
 
     def run(batch):
-        content = vocabulary.value.content
+        content = [*vocabulary.value.content, "\ufffd".encode()]
+        unknown = len(content) - 1
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
             texts = []
             for row in part.column(at):
-                own_ids = row.values.to_numpy().tolist() if row.is_valid else []
-                texts.append(b"".join([content[k] for k in own_ids])[1:].decode())
+                own_ids = row.values.fill_null(-1).to_numpy() if row.is_valid else np.zeros(0, np.int32)
+                own_ids = np.where((own_ids >= 0) & (own_ids < unknown), own_ids, unknown).tolist()
+                texts.append(b"".join([content[k] for k in own_ids]).removeprefix(b" ").decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, output])
 
     return arrow_map(own, T.StructType([*own.schema.fields, T.StructField(output, T.StringType())]), run)

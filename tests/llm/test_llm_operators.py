@@ -114,6 +114,16 @@ def test_search_of_windows_against_brute_force(monkeypatch):
     assert all(found[x] <= expected[x] for x in found)
 
 
+def test_any_ids_are_decoded(spark):
+    model = pieces.Vocabulary.load(pieces.MODEL)
+    n, a = len(model.content), model.pieces[" a"][0]
+    rows = [(1, None), (2, []), (3, [None]), (4, [n, -1]), (5, [a, n + 7, a]), (6, [model.byte_ids[0xE4]]), (7, [model.pieces["b"][0]])]
+    got = pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    expected = {1: "", 2: "", 3: "\ufffd", 4: "\ufffd\ufffd", 5: "a\ufffd a", 6: "\ufffd", 7: "b"}
+    assert {r["doc_id"]: r["decoded"] for r in got} == expected
+    assert pieces.decode(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
 def test_leaks_in_a_third_of_the_documents(spark):
     """An item in very many documents, which differ otherwise, is as sure to be found as a rare one."""
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
