@@ -7,10 +7,12 @@ band is four values of four different permutations (two minima, two maxima), so
 its parts are independent and it agrees with probability s^4 at similarity s;
 with 32 bands, a pair at 0.75 is missed with probability 6e-6.
 
-Documents with equal sets are merged first. In every bucket of a band, each
+Documents with equal sets are merged first: a set is a node, whose number is its smallest
+doc_id, or a free number where that id has several sets. In every bucket of a band, each
 member is tried against the bucket's smallest document; confirmed pairs
 form components. Buckets that then still hold several components are compared
-across components, in chunks of members: pairs whose signatures estimate a similarity of
+across components, in chunks of members (those of the bucket's largest component
+are met only with chunks of the others): pairs whose signatures estimate a similarity of
 at least 0.6 (four standard deviations below 0.75) name the members whose full
 sets are needed, and the links found on these are written as far as they join
 components. Every link is confirmed on the full sets. So what is written grows
@@ -19,7 +21,7 @@ different texts depends on which documents were tried first.
 
 Defined cases: a document without words (or with a null text) has an empty set
 and is linked with nothing. Fewer words than five count as one shingle. Rows that repeat a doc_id
-are one document (its group is that of all its texts); each keeps its own row.
+are one document (its group is that of all its texts, different ones included); each keeps its own row.
 A row without doc_id is kept, with no group. Shingles are compared by 64-bit
 hashes.
 """
@@ -27,6 +29,7 @@ hashes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -97,6 +100,10 @@ def _row_sets(batch):
         yield i, j, shingles(hashes, bounds, SHINGLE_WORDS)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 SIGNATURE = "doc_id long, n_shingles long, same binary, bands array<long>, signature binary"
 
 
@@ -113,7 +120,7 @@ def _signatures(batch):
             values = np.concatenate([low, high], axis=1) >> np.uint64(32)
             for r, row in zip(full.tolist(), values.astype(np.uint32)):
                 signature[r] = row.tobytes()
-                same[r] = hashlib.blake2b(sets[r].tobytes(), digest_size=16).digest()
+                same[r] = _digest(sets[r])
         counts = np.where(sizes > 0, BANDS, 0)
         yield pa.RecordBatch.from_arrays(
             [
@@ -216,6 +223,25 @@ def _linking(percent: int):
     return run
 
 
+def _numbered(scratch: Scratch, first: DataFrame, ids: DataFrame) -> DataFrame:
+    """(same, doc_id, node) of every set; nodes differ, and those that are no doc_id of the set are no doc_id at all.
+
+    ``first`` has the smallest doc_id of every set; an id that several sets have goes to one of them.
+    """
+    main = first.groupBy("doc_id").agg(F.min("same").alias("main"))
+    split = scratch.write(first.join(main, "doc_id").withColumn("extra", F.expr("same <> main")).drop("main"), "split")
+    extra = split.where("extra").select("same")
+    for seed in itertools.count():
+        # Drawn anew in the rare case that two numbers, or a number and an id, are equal.
+        numbers = extra.select("same", F.xxhash64("same", F.lit(seed)).alias("number"))
+        twice = numbers.groupBy("number").count().where("count > 1").select("number")
+        taken = numbers.join(ids, F.col("number") == F.col("doc_id"), "left_semi").select("number")
+        if twice.union(taken).isEmpty():
+            break
+    node = F.when(F.col("extra"), F.xxhash64("same", F.lit(seed))).otherwise(F.col("doc_id"))
+    return scratch.write(split.select("same", "doc_id", node.alias("node")), "numbered")
+
+
 def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text)."""
     spark = importable(documents.sparkSession)
@@ -224,29 +250,29 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     rows = scratch.write(arrow_map(texts, SIGNATURE, _signatures), "signatures")
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # A document stands for all with the same set.
-    first = scratch.write(usable.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
-    member = scratch.write(usable.select("doc_id", "same").distinct().join(first, "same").select("doc_id", "node"), "member")
-    nodes = usable.join(first.select("same", F.col("node").alias("doc_id")), ["same", "doc_id"], "left_semi")
-    nodes = scratch.write(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands"), "nodes")
-    signatures = rows.select(F.col("doc_id").alias("node"), "signature", "bands")
+    # A node stands for all documents with the same set.
+    first = usable.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    first = _numbered(scratch, scratch.write(first, "same"), usable.select("doc_id"))
+    member = usable.select("same", F.col("doc_id").alias("b")).distinct().join(first, "same")
+    member = scratch.write(member.select(F.col("doc_id").alias("a"), "b"), "member")
+    extra = first.where("node <> doc_id").select("node", "doc_id")
+    nodes = usable.select("doc_id", "same", "n_shingles", "bands").join(first, ["same", "doc_id"])
+    nodes = scratch.write(nodes.select("node", "n_shingles", "bands"), "nodes")
 
     band = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = band.groupBy("bucket").agg(
         F.min("node").alias("first"),
         F.max("node").alias("last"),
-        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
     )
     shared = scratch.write(shared.where("first < last").drop("last"), "shared")
-    band = band.drop("n_shingles")
     bucketed = scratch.write(band.join(shared, "bucket"), "bucketed")
-    touched = bucketed.select("node").distinct()
-    signatures = scratch.write(
-        signatures.where("signature IS NOT NULL").join(touched, "node", "left_semi").dropDuplicates(["node"]), "touched"
-    )
+    touched = bucketed.select("node").distinct().join(first, "node")
+    signatures = usable.select("doc_id", "same", "signature", "bands").join(touched, ["same", "doc_id"])
+    signatures = scratch.write(signatures.select("node", "signature", "bands").dropDuplicates(["node"]), "touched")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """(doc_id, shingles) of the given ids; a bitmap keeps most other texts from being read into sets."""
+        """(node, shingles) of the given nodes; a bitmap keeps most other texts from being read into sets."""
+        ids = scratch.write(ids.join(first, "node"), "wanted")
         wanted = Bitmap(ids.select(F.xxhash64("doc_id").alias("key")), "key")
 
         def sets(batch):
@@ -254,19 +280,25 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
             for i, j, own in _row_sets(batch):
                 ends = np.cumsum([0] + [len(s) for s in own])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), lists(np.concatenate(own).view(np.int64), ends, pa.int64())],
-                    ["doc_id", "shingles"],
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array([_digest(s) for s in own], pa.binary()),
+                        lists(np.concatenate(own).view(np.int64), ends, pa.int64()),
+                    ],
+                    ["doc_id", "same", "shingles"],
                 )
 
         keyed = texts.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
-        found = arrow_map(keyed, "doc_id long, shingles array<long>", sets)
-        return scratch.write(found.join(ids.hint("merge"), "doc_id", "left_semi"), "sets")
+        found = arrow_map(keyed, "doc_id long, same binary, shingles array<long>", sets)
+        # Rows that repeat an id and its text give one set.
+        found = found.join(ids.hint("merge"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+        return scratch.write(found.select("node", "shingles"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets are similar enough."""
         pairs = scratch.write(pairs, "pairs")
-        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - common
         linked = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= similarity_percent * union)
@@ -278,16 +310,28 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     stars = bucketed.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
     links = confirmed(stars.mapInPandas(_similar, "a long, b long"))
-    roots = scratch.write(smallest_reachable(scratch, links.union(member.select("node", "doc_id"))), "roots")
+    roots = scratch.write(smallest_reachable(scratch, links.union(member).union(extra)), "roots")
 
     # Buckets that still hold several components.
     placed = bucketed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = scratch.write(placed.select("bucket", "node", "root", "chunks"), "placed")
+    placed = scratch.write(placed.select("bucket", "node", "root", "n_shingles"), "placed")
     several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    several = scratch.write(several.select("bucket"), "several")
-    placed = placed.join(several, "bucket")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    placed = placed.join(scratch.write(several.select("bucket"), "several"), "bucket")
+    # Chunks of the largest component come first; they are met with those of the rest, these with all.
+    sized = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = F.max(F.struct("n", "root", "s")).alias("top")
+    sized = sized.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("s").alias("s"))
+    chunks = lambda n, s: F.greatest(F.ceil(n / CHUNK), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+    sized = sized.select(
+        "bucket",
+        F.col("top.root").alias("top"),
+        chunks(F.col("top.n"), F.col("top.s")).alias("inner"),
+        chunks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("outer"),
+    )
+    placed = placed.join(scratch.write(sized, "sized"), "bucket")
+    own = "pmod(xxhash64(node), IF(root = top, inner, outer))"
+    placed = placed.withColumn("chunk", F.expr(f"CAST({own} + IF(root = top, 0, inner) AS int)"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(IF(root = top, inner, 0), inner + outer - 1)")))
     placed = placed.select(
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root"
     )
@@ -300,10 +344,14 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
 
     open_ = shared_out(placed, GROUP_ROWS).join(signatures, "node").groupBy("share").applyInPandas(_open_members, PLACE)
     open_ = scratch.write(open_, "open")
-    sets = sets_of(open_.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+    sets = sets_of(open_.select("node").distinct())
     again = shared_out(open_, GROUP_ROWS // 10).join(signatures, "node").join(sets, "node")
     links = links.union(again.groupBy("share").applyInPandas(_linking(similarity_percent), "a long, b long"))
-    roots = smallest_reachable(scratch, links.union(member.select("node", "doc_id")))
+    # Free numbers give way to ids, so that the smallest node of a component is its smallest id.
+    for side in ("a", "b"):
+        real = extra.select(F.col("node").alias(side), "doc_id")
+        links = links.join(real, side, "left").withColumn(side, F.coalesce("doc_id", side)).select("a", "b")
+    roots = smallest_reachable(scratch, links.union(member))
     roots = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

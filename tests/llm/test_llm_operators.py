@@ -285,6 +285,42 @@ def test_groups_of_gradual_changes(spark, monkeypatch):
     assert sorted(got, key=repr) == brute_groups(rows)
 
 
+def test_groups_of_ids_with_several_texts(spark):
+    """The second text of an id links it just as the first one does; equal texts under many ids are one node."""
+    draw, rows = random.Random(8), []
+    for k in range(40):
+        texts = [[f"d{k}t{t}w{i}" for i in range(60)] for t in range(2)]
+        near = [*texts[draw.randrange(2)][:-1], "end"]
+        rows += [(k, " ".join(w)) for w in draw.sample(texts, 2)] + [(1_000 + k, " ".join(near))]
+        if k % 8 == 0:
+            rows += [(k, f"only {k}"), (k, "shared by all of these five"), (-5 - k, " ".join(texts[0])), (k, " ".join(texts[1]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = rows_of(minmax.near_duplicates(frame), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got, key=repr) == brute_groups(rows)
+
+
+def test_chunks_of_a_bucket_with_a_stray_member(spark, monkeypatch):
+    """Members of a bucket's largest component are met with the others only, so rows grow with the members."""
+    monkeypatch.setattr(minmax, "CHUNK", 4)
+    written, write = [], minmax.Scratch.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        if name == "chunks":
+            written.extend(out.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("node").alias("m")).collect())
+        return out
+
+    monkeypatch.setattr(minmax.Scratch, "write", noted)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, f"own{i}"])) for i in range(60)]
+    # Shares buckets with the others at 0.7 or so, which is too little for a link.
+    rows += [(1_000 + i, " ".join([*words[: 165 + i], *(f"x{i}-{k}" for k in range(36))])) for i in range(3)]
+    got = rows_of(minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got, key=repr) == brute_groups(rows)
+    assert written and max(r["m"] for r in written) > 50
+    assert all(r["n"] <= 2 * r["m"] + 16 * 3 for r in written)
+
+
 def test_minmax_estimate_is_unbiased():
     draw = np.random.default_rng(2)
     values = draw.integers(0, 2**63, 4000, np.uint64)
