@@ -44,8 +44,8 @@ from parcella.llm.common import arrow_map, importable
 #: those without an end tag, those that a paragraph's start closes.
 SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")
 BLOCKS = frozenset(
-    "address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html li main menu nav ol option p pre section table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_BLOCK = frozenset({"br"})
@@ -74,17 +74,36 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Blocks of a page in order; references decoded, white space collapsed and trimmed."""
+    """Blocks of a page in order; references decoded, white space collapsed and trimmed.
+
+    What an advert, a button or the like holds inside a line is a block of its own, and the line goes on behind it.
+    """
     # Of an open element: name, labels, ruled out as such, ruled out by a name, main and article elements inside.
     page, found, stack, parts, at, articles = page or "", [], [], [], 0, 0
 
-    def flush():
+    # Where a line is left for such an element: its place in the stack and the line so far.
+    held = []
+
+    def give(parts, stack):
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
             path = tuple(label for e in stack for label in e[1])
             found.append((text, path, tuple(stack), any(e[0] in MAIN for e in stack)))
 
+    def flush():
+        for k, line in held:
+            give(line, stack[:k])
+        give(parts, stack)
+
+    def close(k):
+        while held and held[-1][0] >= k:
+            give(parts, stack)
+            depth, line = held.pop()
+            del stack[depth:]
+            parts.extend(line)
+        del stack[k:]
+
     while at < len(page):
         tag = TOKEN.search(page, at)
         if tag is None:
@@ -108,15 +127,15 @@ def blocks(page: str | None) -> list[Block]:
         if tag[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in MAIN and name not in BLOCKS:
                     break
         elif name not in VOID and not tag[3].rstrip().endswith("/"):
             if name in BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             while name == "p" and stack and any(e[0] == "p" for e in stack[-2:]):
-                stack.pop()
+                close(len(stack) - 1)
             values = [x for m in NAMES.finditer(tag[3]) for x in (m[1] or m[2] or m[3] or "").lower().split()]
             own = name == "header" and any(e[0] in MAIN for e in stack)
             named = not own and name not in ("html", "body", "main") and any(OUT_NAMES.fullmatch(v) for v in values)
@@ -124,7 +143,11 @@ def blocks(page: str | None) -> list[Block]:
             if name in MAIN:
                 for e in stack:
                     e[4 if name == "main" else 5] += 1
-            stack.append([name, [name, *(f"{name}.{v}" for v in values)], name in RULED_OUT and not own, named, 0, 0])
+            ruled = name in RULED_OUT and not own
+            if name not in BLOCKS and (ruled or named):
+                held.append((len(stack), parts[:]))
+                parts.clear()
+            stack.append([name, [name, *(f"{name}.{v}" for v in values)], ruled, named, 0, 0])
     flush()
 
     def out(e):
