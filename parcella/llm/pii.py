@@ -8,6 +8,10 @@ characters that it stands for. The same detectors read the rewritten text, and
 what they find is mapped back; a span that overlaps a base span of its kind is
 dropped, as is one that the rewriting has not changed.
 
+A plain "at" counts before a domain with a plain "dot". Before a domain with dots only, which running prose has too
+("closed at 10.30", "us at example.com"), the domain must end in letters, and the name before it must hold a
+digit or a sign, follow a word for mail, or stand alone with its address in a line, quotes or brackets.
+
 All scans take linear time: a text of a hundred thousand digits or dots is no
 special case.
 
@@ -102,6 +106,13 @@ OPEN, CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
 BRACKETED_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){OPEN}(?:at|@){CLOSE}(?=[A-Za-z0-9])", re.I)
 BRACKETED_DOT = re.compile(rf"(?<=[A-Za-z0-9]){OPEN}(?:dot|\.){CLOSE}(?=[A-Za-z0-9])", re.I)
 PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.|[ \t]{1,3}dot[ \t]{1,3})[A-Za-z0-9])", re.I)
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9]", re.I)
+#: Endings of what comes before an address; words that are no one's name in one.
+MAIL_WORDS = ("mail", "mails", "mail to", "mailto", "mail:", "contact")
+PRONOUNS = frozenset("me us him her them it you".split())
+#: The empty string stands for a text's start or end. Plain numbers and their like are no names.
+ALONE = ("", "\n", "\r", ":", "<", ">", "(", ")", "[", "]", '"')
+NOT_NAME = re.compile(r"[0-9.%+-]+|[a-z]+[.%-]+|-+[a-z]+")
 PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
 
 
@@ -157,9 +168,30 @@ def spelled_digits(own: Rewritten):
     own.replace(pieces)
 
 
+def _in_address(text: str, at: re.Match) -> bool:
+    """Whether a plain "at" is an address's and not that of running prose."""
+    if SPELLED_DOMAIN.match(text, at.end()):
+        return True
+    domain = DOMAIN.match(text, at.end())
+    last = domain[0].rstrip("-").rpartition(".")[2] if domain else ""
+    if len(last) < 2 or not last.isalpha():
+        return False
+    start = at.start()
+    while start > 0 and text[start - 1] in LOCAL:
+        start -= 1
+    name = text[start : at.start()].lower()
+    if not name.isalpha():
+        return not NOT_NAME.fullmatch(name)
+    before = text[max(0, start - 16) : start].rstrip(" \t").lower()
+    if name in PRONOUNS:
+        return False
+    return before.endswith(MAIL_WORDS) or before[-1:] in ALONE and text[domain.end() : domain.end() + 1] in ALONE
+
+
 def at_and_dot(own: Rewritten):
-    for pattern, sign in ((BRACKETED_AT, "@"), (BRACKETED_DOT, "."), (PLAIN_AT, "@")):
+    for pattern, sign in ((BRACKETED_AT, "@"), (BRACKETED_DOT, ".")):
         own.replace([(m.start(), m.end(), sign) for m in pattern.finditer(own.text)])
+    own.replace([(m.start(), m.end(), "@") for m in PLAIN_AT.finditer(own.text) if _in_address(own.text, m)])
     if "@" in own.text:
         pieces = []
         for m in PLAIN_DOT.finditer(own.text):

@@ -361,6 +361,26 @@ def test_wrappers_do_not_rule_out(opening, kind):
     assert [b.text for b in found if b.ruled_out] == ["Home", "Send", "Buy", "Site", "End"]
 
 
+@pytest.mark.parametrize(
+    ("page", "kept", "out"),
+    [
+        ('<p>a<span class="ad">buy now</span> b</p>', ["a b"], ["buy now"]),
+        ("<p>Hello <button>Share</button> world</p>", ["Hello world"], ["Share"]),
+        ('<p>a <span class="ad">buy <b>it</b> <i class="promo">now</i> or</span> b <button>x</button>c</p>d', ["a b c", "d"], ["now", "buy it or", "x"]),
+        ('<p>a <span class="ad">never closed</p><p>b</p>', ["a", "b"], ["never closed"]),
+        ('<p>a <span class="ad">buy<p>b', ["a", "b"], ["buy"]),
+        ('x <a class="share">one <div>two</div> three</a> y', ["x", "y"], ["one", "two", "three"]),
+        ('<span class="search">x<main><p>a</p></main></span>y', ["x", "a", "y"], []),
+        ("<details><summary>Sum</summary>Body</details>", ["Sum", "Body"], []),
+        ("<table><caption>Cap</caption><tr><td>Cell</table><fieldset><legend>Leg</legend>Set</fieldset>", ["Cap", "Cell", "Leg", "Set"], []),
+    ],
+)
+def test_parts_inside_a_line(page, kept, out):
+    found = html_blocks.blocks(page)
+    assert [b.text for b in found if not b.ruled_out] == kept
+    assert [b.text for b in found if b.ruled_out] == out
+
+
 def test_articles_of_comments_are_ruled_out():
     page = '<article><p>Text</p></article><div class="comments"><article><p>Reader</p></article></div>'
     assert [(b.text, b.ruled_out) for b in html_blocks.blocks(page)] == [("Text", False), ("Reader", True)]
@@ -522,8 +542,38 @@ def test_personal_data_odd_rows(odd_documents, no_documents):
     assert pii.find_personal_data(no_documents).count() == 0
 
 
-def test_clean_text_has_no_spans():
-    assert pii.spans_of("The cat sat at home. A dot at the end, one two three.") == []
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The cat sat at home. A dot at the end, one two three.",
+        "The shop closed at 10.30",
+        "boils at 99.97",
+        "Priced at 4.99",
+        "Priced at 4.99 dot",
+        "contact us at example.com",
+        "us at example.com",
+        "Documents were published at example.com in May.",
+        "The second, available at www.example.co.uk, is longer.",
+        "Look at it. Stay at no.5 or at st.james and meet at 8.pm",
+        "About 50% at example.com and 3 - at example.org",
+    ],
+)
+def test_clean_text_has_no_spans(text):
+    assert pii.spans_of(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "part"),
+    [
+        ("write to joe.smith at site.org today", "joe.smith at site.org"),
+        ("joe_7 at mail.site.co.uk", "joe_7 at mail.site.co.uk"),
+        ("Please e-mail joe at site.org today", "joe at site.org"),
+        ("Name (joe at site.org)", "joe at site.org"),
+        ("so joe at site.co dot uk answers", "joe at site.co dot uk"),
+    ],
+)
+def test_plain_at_of_addresses(text, part):
+    assert [(k, text[a:b]) for k, a, b, base in pii.spans_of(text) if not base] == [("email", part)]
 
 
 # 7: repeated byte strings
