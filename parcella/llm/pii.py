@@ -3,8 +3,8 @@
 Base spans come from the text as it stands. Then a chain of small transducers
 rewrites it: look-alike characters and unusual digits become ASCII and
 invisible characters go, spelled digits become digits, and "at"/"dot"
-disguises become @ and dots. Each keeps, for every character it gives, the source
-characters that it stands for. The same detectors read the rewritten text, and
+disguises become @ and dots. Each keeps its edits, through which every character leads
+back to the source characters that it stands for. The same detectors read the rewritten text, and
 what they find is mapped back; a span that overlaps a base span of its kind is
 dropped, as is one that the rewriting has not changed.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,23 +118,43 @@ PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])"
 
 
 class Rewritten:
-    """A text with the source range of each of its characters."""
+    """A text and the edits that made it, from which a span's source follows.
+
+    What is kept grows with the edits and not with the text.
+    """
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
+        self.text, self.rounds = text, []
 
     def replace(self, pieces: list[tuple[int, int, str]]):
         """Put strings in place of ranges, which are in order and apart."""
         if not pieces:
             return
-        texts, starts, ends, at = [], [], [], 0
+        texts, places, edits, at, grown = [], [], [], 0, 0
         for a, b, new in pieces:
             texts += [self.text[at:a], new]
-            starts += [*self.starts[at:a], *([self.starts[a]] * len(new))]
-            ends += [*self.ends[at:a], *([self.ends[b - 1]] * len(new))]
+            places.append(a + grown)
+            grown += len(new) - (b - a)
+            edits.append((a, b, b + grown))
             at = b
         self.text = "".join([*texts, self.text[at:]])
-        self.starts, self.ends = [*starts, *self.starts[at:]], [*ends, *self.ends[at:]]
+        self.rounds.append((places, edits))
+
+    def source(self, start: int, end: int) -> Span:
+        """Where the source characters of a span that is not empty begin and end."""
+        first, last = start, end - 1
+        for places, edits in reversed(self.rounds):
+            first, last = self._before(places, edits, first, 0), self._before(places, edits, last, 1)
+        return first, last + 1
+
+    @staticmethod
+    def _before(places, edits, at: int, side: int) -> int:
+        """The character that one was made from: of a replaced range the first or the last."""
+        k = bisect_right(places, at) - 1
+        if k < 0:
+            return at
+        a, b, end = edits[k]
+        return (a, b - 1)[side] if at < end else at - end + b
 
 
 def _plain(c: str) -> str:
@@ -218,7 +239,7 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     for kind, spans in identifiers(own.text).items():
         kept = []
         for a, b in spans:
-            start, end = own.starts[a], own.ends[b - 1]
+            start, end = own.source(a, b)
             apart = all(end <= s or e <= start for s, e in base[kind])
             if apart and text[start:end] != own.text[a:b]:
                 kept.append((start, end))

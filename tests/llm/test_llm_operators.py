@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -533,6 +534,33 @@ def test_disguises_need_no_other_sign(text, kind):
     assert [(k, text[a:b]) for k, a, b, base in pii.spans_of(text) if not base] == [(kind, text)]
 
 
+def test_rewriting_keeps_the_source_of_every_character():
+    """Against two positions per character."""
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice("abc") for _ in range(draw.randint(1, 30)))
+        own, chars = pii.Rewritten(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for _ in range(3):
+            cuts = sorted(draw.sample(range(len(chars) + 1), min(len(chars) + 1, 2 * draw.randint(0, 3)) // 2 * 2))
+            pieces = [(a, b, "x" * draw.randint(0, 3)) for a, b in zip(cuts[::2], cuts[1::2])]
+            own.replace(pieces)
+            for a, b, new in reversed(pieces):
+                chars[a:b] = [(c, chars[a][1], chars[b - 1][2]) for c in new]
+        assert own.text == "".join(c for c, _, _ in chars)
+        for a in range(len(chars)):
+            for b in range(a + 1, len(chars) + 1):
+                assert own.source(a, b) == (chars[a][1], chars[b - 1][2])
+
+
+def test_rewriting_long_texts_in_bounded_memory():
+    tracemalloc.start()
+    spans = pii.spans_of("word " * 400_000 + "joe (at) site [dot] org")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [s[1:] for s in spans] == [(2_000_000, 2_000_023, False)]
+    assert peak < 20_000_000
+
+
 def test_personal_data_odd_rows(odd_documents, no_documents):
     found = pii.find_personal_data(odd_documents)
     spans = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in found.collect()}
