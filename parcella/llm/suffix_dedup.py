@@ -45,6 +45,9 @@ ANCHOR = 80
 SHARD_BYTES = 300_000
 #: Different segments of an anchor beyond which it is split by whole strings.
 HOT_SEGMENTS = 2_000
+#: Occurrences of an anchor beyond which they are dealt to several shares.
+BUSY = 5_000
+SHARES = 64
 PIECE = 300_000
 SEPARATOR = 255  # no byte of UTF-8
 
@@ -110,7 +113,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         stop = np.minimum(stop, offsets[row[start] + 1] - length + 1 - a)
         count = stop - start
         whole = (sums[stop + length - 1] - sums[start]) * back[start]
-        yield row[start], start + a - offsets[row[start]], count, place[start] - start, hashes[place[start]], mix(whole)
+        # Anchors are small numbers, being least; mixed, they use all of a bitmap.
+        yield row[start], start + a - offsets[row[start]], count, place[start] - start, mix(hashes[place[start]]), mix(whole)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -145,7 +149,7 @@ def _shard(length: int):
 
 
 ID = ["anchor", "segment", "n", "distance"]
-OCCURRENCE = "anchor long, segment long, n int, distance int, key long, start int"
+OCCURRENCE = "anchor long, segment long, n int, distance int, key long, start int, share int"
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -162,8 +166,17 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_signed(anchor)], ["anchor"])
 
     often = arrow_map(texts.select("text"), "anchor long", anchors).groupBy("anchor").count().where("count > 1")
-    often = scratch.write(often.select("anchor"), "often")
+    often = scratch.write(often, "often")
     known = Bitmap(often, "anchor")
+    # Occurrences of an anchor that has very many are dealt to several shares.
+    busy = Bitmap(often.where(F.col("count") > BUSY), "anchor")
+    shares = lambda anchor: np.where(busy.maybe(anchor), SHARES, 1)
+
+    def shared_out(batch):
+        anchor = batch.column(0).to_numpy()
+        n = shares(anchor)
+        share = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, n)), pa.array(share, pa.int32())], ["anchor", "share"])
 
     def occurrences(batch):
         data, offsets = utf8(batch.column(1))
@@ -177,10 +190,12 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 pa.array(distance[own], pa.int32()),
                 pa.array(key[row[own]]),
                 pa.array(start[own], pa.int32()),
+                pa.array((key[row[own]] + start[own]) % shares(anchor[own]), pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*ID, "key", "start"])
+            yield pa.RecordBatch.from_arrays(columns, [*ID, "key", "start", "share"])
 
-    found = arrow_map(texts.select("key", "text"), OCCURRENCE, occurrences).join(often, "anchor", "left_semi")
+    often = arrow_map(often.select("anchor"), "anchor long, share int", shared_out)
+    found = arrow_map(texts.select("key", "text"), OCCURRENCE, occurrences).join(often, ["anchor", "share"], "left_semi")
     # Copies of a text count, but are kept once.
     found = scratch.write(found.groupBy(*ID, "key", "start").agg(F.count("*").alias("times")), "found")
     different = found.groupBy(*ID).agg(F.sum("times").alias("times"), F.min(F.struct("key", "start")).alias("one"))
@@ -239,22 +254,23 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = cuts.where(F.col("kinds") > HOT_SEGMENTS).select(*ID, "bytes")
     hot = arrow_map(hot, ranged.replace("ranges array<int>", "string long, place int"), strings)
     twice = scratch.write(hot.groupBy("string").count().where("count > 1").select("string"), "twice")
-    hot = hot.join(twice, "string", "left_semi").select(*ID, F.array("place", F.expr("place + 1")).alias("ranges"))
+    hot = hot.join(twice, "string", "left_semi").groupBy(*ID).agg(F.collect_list("place").alias("places"))
+    hot = hot.select(*ID, F.expr("flatten(transform(places, p -> array(p, p + 1)))").alias("ranges"))
     partly = scratch.write(usual.unionByName(hot).where("size(ranges) > 0"), "partly")
 
-    # Covered bytes of every occurrence: of whole segments, and of parts of those that occur once.
+    # Repeated positions of every occurrence: whole segments, and parts of those that occur once; one row each, however many parts.
     again = different.where("times > 1").select(*ID)
-    whole = found.join(again, ID, "left_semi")
-    whole = whole.select("key", "start", F.expr(f"start + n + {length - 1}").alias("stop"))
-    pairs = partly.select(*ID, F.explode(F.expr("transform(sequence(0, size(ranges) - 1, 2), i -> struct(ranges[i] AS a, ranges[i + 1] AS b))")).alias("r"))
-    part = found.where("times = 1").join(pairs, ID)
-    part = part.select("key", F.expr("start + r.a").alias("start"), F.expr(f"start + r.b + {length - 1}").alias("stop"))
-    covered = whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("own"))
+    whole = found.join(again, ID, "left_semi").select("key", "start", F.expr("array(0, n)").alias("ranges"))
+    part = found.where("times = 1").join(partly, ID).select("key", "start", "ranges")
+    covered = whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("start", "ranges")).alias("own"))
 
     def merged(batch):
         keys, flat, sizes = batch.column(0), [], []
         for own in batch.column(1):
-            start, stop = own.values.field("start").to_numpy(), own.values.field("stop").to_numpy()
+            parts = own.values.field("ranges")
+            begin = np.repeat(own.values.field("start").to_numpy(), np.asarray(parts.value_lengths()) // 2)
+            bounds = parts.flatten().to_numpy()
+            start, stop = begin + bounds[::2], begin + bounds[1::2] + length - 1
             order = np.argsort(start, kind="stable")
             start, reach = start[order], np.maximum.accumulate(stop[order])
             # Ranges that touch are one run.

@@ -658,6 +658,36 @@ def test_repeats_odd_rows(spark, odd_documents, no_documents, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(no_documents).count() == 0
 
 
+def test_repeats_of_a_hot_anchor_are_one_row_a_segment(spark, monkeypatch):
+    """Repeated places stay lists of their segment, and no join deals all occurrences by their anchor alone."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 1)
+    monkeypatch.setattr(suffix_dedup, "BUSY", 4, raising=False)
+    draw, passage = random.Random(16), OTHER[:260]
+    texts = [f"{draw.random()} " * 12 + passage + f" {draw.random()}" * 12 for _ in range(30)]
+    written, plans = {}, {}
+    write = suffix_dedup.Scratch.write
+
+    def spy(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        written[name] = write(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "write", spy)
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(documents).collect()}
+    for k, (n, removed, spans, digest) in enumerate(brute_removal([t.encode() for t in texts], 200)):
+        own = got[k]
+        assert (own["n_bytes"], own["n_bytes"] - len(own["kept"]), len(own["ranges"]) // 2) == (n, removed, spans)
+        assert hashlib.sha256(own["kept"]).hexdigest() == digest
+    partly = written["partly"]
+    assert 0 < partly.count() == partly.select(suffix_dedup.ID).distinct().count()
+    assert "hashpartitioning(anchor#" in plans["found"] and ", share#" in plans["found"]
+    assert not any("Generate" in plan for plan in plans.values())
+    anchors = suffix_dedup.segments(*suffix_dedup.utf8(suffix_dedup.pa.array(texts)))
+    anchors = np.concatenate([a for *_, a, _ in anchors])
+    assert 0.3 < (anchors >> np.uint64(63)).mean() < 0.7, "anchors fill a bitmap evenly"
+
+
 # 8: exact top-k
 
 
