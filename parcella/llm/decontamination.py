@@ -2,9 +2,10 @@
 
 Benchmark items are cut into chunks of 24 words, documents into overlapping
 windows of 24. Both are TF-IDF vectors over hashed words, projected on the
-leading singular directions of a sample of document passages and all chunks, and centred. These come from a randomised SVD: every
+leading singular directions of the passages of all documents and items, and centred. These come from a randomised SVD: every
 round multiplies the passages, where they are, with a narrow matrix and adds
-up the products per word; only narrow matrices reach the driver.
+up the products per word; only narrow matrices reach the driver. The last product also gives the directions
+(Nystroem's approximation), so no further pass is needed for them.
 
 How frequent a word is, is counted over the whole corpus as the number of
 different words that follow it, so neither copies of a passage nor the length
@@ -30,18 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import ALNUM, Scratch, _stream, arrow_map, importable, lists, mix, row_groups, utf8
+from parcella.llm.common import ALNUM, Scratch, _stream, arrow_map, importable, mix, row_groups, utf8
 
 WINDOW, STRIDE = 24, 8
 SIZE = 1 << 15
 RANK, EXTRA, ROUNDS = 96, 8, 2
-#: Bounds: documents that the singular directions are fitted on, words of a benchmark block.
-SAMPLE_DOCUMENTS = 2_500
+#: Words of a benchmark block at most; words that a task multiplies, about, and the least number of such tasks.
 BLOCK_WORDS = 100_000
+TASK_WORDS, TASKS = 32_000_000, 16
 COSINE = 0.48
 #: A run of so many words of an item is compared whatever its words weigh.
 PHRASE = 8
@@ -83,43 +85,67 @@ def _estimates(table: np.ndarray) -> np.ndarray:
     return np.where((raw <= 2.5 * REGISTERS) & (empty > 0), few, raw)
 
 
-def word_weights(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """What the words of each bucket weigh, and the number of texts.
+def _passages(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Buckets of the passages of some texts, one to a row filled up with SIZE; the last of a text ends with it."""
+    sizes = np.diff(bounds)
+    parts = -(-sizes // WINDOW)
+    row = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = (bounds[row] + np.minimum(WINDOW * number, np.maximum(0, sizes[row] - WINDOW)))[:, None] + np.arange(WINDOW)
+    bucket = np.append(_bucket(hashes), SIZE).astype(np.uint16)
+    return bucket[np.where(at < bounds[row + 1][:, None], at, len(hashes))]
+
+
+def scan(texts: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """What the words of each bucket weigh, how often it occurs in passages, and the passages of all texts and items.
 
     The weight is minus the logarithm of the chance that a window holds the bucket,
-    if words occurred as often as different words follow them.
+    if words occurred as often as different words follow them in the texts.
     """
-    step = SIZE // 32
+    parts, step = 32, SIZE // 32
 
     def run(batches):
-        table, n = np.zeros(SIZE * REGISTERS, np.uint8), 0
+        table, times = np.zeros(SIZE * REGISTERS, np.uint8), np.zeros(SIZE + 1, np.int64)
         for batch in batches:
-            n += batch.num_rows
-            data, offsets = utf8(batch.column(0))
-            for i, j in row_groups(offsets):
-                hashes, bounds, _, _ = ALNUM.words(data, offsets[i : j + 1])
-                _count_followers(table, hashes, bounds)
-        for part, own in enumerate(table.reshape(32, step * REGISTERS)):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n if part == 0 else 0], "own": [own.tobytes()]})
+            for weighed in (True, False):
+                data, offsets = utf8(batch.filter(pc.equal(batch.column(1), weighed)).column(0))
+                for i, j in row_groups(offsets):
+                    hashes, bounds, _, _ = ALNUM.words(data, offsets[i : j + 1])
+                    if weighed:
+                        _count_followers(table, hashes, bounds)
+                    words = _passages(hashes, bounds)
+                    times += np.bincount(words.ravel(), minlength=SIZE + 1)
+                    yield row(words=[words.tobytes()])
+        for part, own in enumerate(table.reshape(parts, step * REGISTERS)):
+            yield row(part=[part], own=[own.tobytes()], times=[times[part * step : (part + 1) * step].tobytes()])
+
+    def row(part=(None,), own=(None,), times=(None,), words=(None,)):
+        columns = [pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (own, times, words))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "own", "times", "words"])
 
     def merge(batches):
-        total: dict[int, tuple[int, np.ndarray]] = {}
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = np.frombuffer(own.as_buffer(), np.uint8)
-                before = total.get(part, (0, own))
-                total[part] = before[0] + n, np.maximum(own, before[1])
-        for part, (n, own) in total.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n], "own": [own.tobytes()]})
-
-    schema = "part int, n long, own binary"
-    table, total = np.zeros((32, step * REGISTERS), np.uint8), 0
-    for r in texts.mapInArrow(run, schema).repartition(8, "part").mapInArrow(merge, schema).collect():
-        table[r["part"]] = np.frombuffer(r["own"], np.uint8)
-        total += r["n"]
-    followers = _estimates(table)
+            for part, own, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own, times = np.frombuffer(own.as_buffer(), np.uint8), np.frombuffer(times.as_buffer(), np.int64)
+                before = total.get(part, (own, 0))
+                total[part] = np.maximum(own, before[0]), times + before[1]
+        for part, (own, times) in total.items():
+            yield row([part], [own.tobytes()], [times.tobytes()]).select(["part", "own", "times"])
+
+    every = texts.select("text", F.lit(True).alias("weighed")).unionByName(items.select("text", F.lit(False).alias("weighed")))
+    schema = "part int, own binary, times binary"
+    stored = scratch.write(every.mapInArrow(run, f"{schema}, words binary"), "passages")
+    followers, counts = np.zeros(SIZE), np.zeros(SIZE, np.int64)
+    tables = stored.where("part IS NOT NULL").select("part", "own", "times")
+    for r in tables.repartition(8, "part").mapInArrow(merge, schema).collect():
+        own = slice(r["part"] * step, (r["part"] + 1) * step)
+        followers[own] = _estimates(np.frombuffer(r["own"], np.uint8))
+        counts[own] = np.frombuffer(r["times"], np.int64)
     share = (1 + followers) / (1 + followers.sum())
-    return np.maximum(LEAST, -np.log(-np.expm1(-WINDOW * share))), total
+    weights = np.maximum(LEAST, -np.log(-np.expm1(-WINDOW * share)))
+    passages = stored.where("words IS NOT NULL").select("words")
+    return weights, counts, passages.coalesce(max(TASKS, math.ceil(counts.sum() / TASK_WORDS)))
 
 
 def _starts(n: int, step: int) -> list[int]:
@@ -328,29 +354,82 @@ def _search(hashes: np.ndarray, bounds: np.ndarray, block: Block, table: np.ndar
     return found
 
 
-def _products(passages: DataFrame, idf, narrow: np.ndarray) -> np.ndarray:
+def _tables(column: pa.Array):
+    """Passages as ``_passages`` gives them, from rows of one passage's words each or of many packed ones."""
+    if pa.types.is_binary(column.type):
+        for own in column:
+            yield np.frombuffer(own.as_buffer(), np.uint16).reshape(-1, WINDOW)
+    else:
+        sizes = np.asarray(column.value_lengths(), np.int64)
+        words = np.full((len(sizes), WINDOW), SIZE, np.uint16)
+        words[np.arange(WINDOW) < sizes[:, None]] = column.flatten().to_numpy()
+        yield words
+
+
+def _images(words: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sum of the words' rows for each passage."""
+    out, other = np.empty((len(words), matrix.shape[1]), np.float32), np.empty((CACHED, matrix.shape[1]), np.float32)
+    for i in range(0, len(words), CACHED):
+        own, to = words[i : i + CACHED], out[i : i + CACHED]
+        np.take(matrix, own[:, 0], axis=0, out=to, mode="clip")
+        for j in range(1, WINDOW):
+            to += np.take(matrix, own[:, j], axis=0, out=other[: len(own)], mode="clip")
+    return out
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of rows[index] over consecutive groups of the given sizes (1 at least), sixteen at a time."""
+    result, left = np.empty((len(sizes), rows.shape[1]), np.float32), np.arange(len(sizes))
+    first, other = np.empty((2, CACHED, rows.shape[1]), np.float32)
+    while len(left):
+        blocks = -(-sizes // 16)
+        ends, last = np.cumsum(sizes), np.cumsum(blocks)
+        begin = np.repeat(ends - sizes, blocks) + 16 * (np.arange(last[-1]) - np.repeat(last - blocks, blocks))
+        length = np.minimum(16, np.repeat(ends, blocks) - begin)
+        order = np.argsort(-length.astype(np.int8), kind="stable")
+        out = np.empty((len(order), rows.shape[1]), np.float32)
+        for i in range(0, len(order), CACHED):
+            own = order[i : i + CACHED]
+            at, minus, to = begin[own], -length[own], first[: len(own)]
+            np.take(rows, index[at], axis=0, out=to, mode="clip")
+            for j in range(1, -int(minus[0])):
+                n = int(np.searchsorted(minus, -j))
+                to[:n] += np.take(rows, index[at[:n] + j], axis=0, out=other[:n], mode="clip")
+            out[own] = to
+        done = blocks == 1
+        result[left[done]] = out[(last - 1)[done]]
+        rows, index, sizes, left = out, np.flatnonzero(np.repeat(~done, blocks)), blocks[~done], left[~done]
+    return result
+
+
+#: Rows of a narrow matrix that stay in a core's cache; passages multiplied at once.
+CACHED, MULTIPLIED = 512, 16_384
+
+
+def _products(passages: DataFrame, idf: np.ndarray, narrow: np.ndarray) -> np.ndarray:
     """Transposed passages times passages times a narrow matrix, added up over all tasks."""
     spark = passages.sparkSession
-    sent = spark.sparkContext.broadcast((idf.astype(np.float32), narrow.astype(np.float32)))
+    weights = np.append(idf, 0).astype(np.float32)
+    matrix = np.zeros((SIZE + 1, narrow.shape[1]), np.float32)
+    np.multiply(narrow, weights[:-1, None], out=matrix[:-1])
+    sent = spark.sparkContext.broadcast((weights**2, matrix))
+    del matrix
     width, step = narrow.shape[1], 1024
 
     def run(batches):
-        weight, matrix = sent.value
+        squares, matrix = sent.value
         total = np.zeros((SIZE, width), np.float32)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                column = batch.column(0).slice(i, 2048)
-                sizes = np.asarray(column.value_lengths(), np.int64)
-                bucket = column.flatten().to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                value = weight[bucket]
-                norm = np.sqrt(np.maximum(1e-9, np.bincount(row, value**2, minlength=len(sizes))))
-                value = (value / norm[row]).astype(np.float32)
-                ends = np.append(0, sizes.cumsum())
-                image = np.add.reduceat(matrix[bucket] * value[:, None], ends[:-1])
-                order = np.argsort(bucket, kind="stable")
-                used, first = np.unique(bucket[order], return_index=True)
-                total[used] += np.add.reduceat((image[row] * value[:, None])[order], first)
+            for words in _tables(batch.column(0)):
+                for i in range(0, len(words), MULTIPLIED):
+                    own = words[i : i + MULTIPLIED]
+                    image = _images(own, matrix)
+                    image /= np.maximum(1e-9, squares[own].sum(1))[:, None]
+                    flat = own.ravel()
+                    order = np.argsort(flat, kind="stable")
+                    count = np.bincount(flat, minlength=SIZE + 1)[:SIZE]
+                    used = np.flatnonzero(count)
+                    total[used] += _sums(image, order // WINDOW, count[used])
         for part in range(SIZE // step):
             own = total[part * step : (part + 1) * step]
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [own.tobytes()]})
@@ -366,41 +445,48 @@ def _products(passages: DataFrame, idf, narrow: np.ndarray) -> np.ndarray:
 
     schema = "part int, sums binary"
     sums = passages.mapInArrow(run, schema).repartition(8, "part").mapInArrow(add, schema).collect()
-    out = np.zeros((SIZE, width))
+    out = np.zeros((SIZE, width), np.float32)
     for r in sums:
         out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["sums"], np.float32).reshape(step, width)
     sent.unpersist()
+    out *= weights[:-1, None]
     return out
 
 
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Transposed a times b, in double precision."""
+    return sum(a[i : i + 4096].astype(float).T @ b[i : i + 4096].astype(float) for i in range(0, len(a), 4096))
+
+
+def _roots(square: np.ndarray) -> np.ndarray:
+    """Columns that turn a symmetric matrix into the unit one, largest first, without its empty directions."""
+    values, vectors = np.linalg.eigh((square + square.T) / 2)
+    kept = values > max(1e-30, 1e-9 * values[-1])
+    kept[-1] = True
+    return (vectors[:, kept] / np.sqrt(np.maximum(values[kept], 1e-30)))[:, ::-1]
+
+
 def singular_directions(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
     """Leading right singular vectors (hashed words by RANK) of the TF-IDF passages (Halko et al., 2011)."""
-    basis = np.random.Generator(np.random.PCG64(7)).standard_normal((SIZE, RANK + EXTRA))
-    for _ in range(ROUNDS):
-        basis, _ = np.linalg.qr(_products(passages, idf, basis))
+    basis = np.random.Generator(np.random.PCG64(7)).standard_normal((SIZE, RANK + EXTRA), np.float32)
+    for _ in range(ROUNDS - 1):
+        basis = _products(passages, idf, basis)
+        basis = basis @ _roots(_inner(basis, basis)).astype(np.float32)
     image = _products(passages, idf, basis)
-    values, vectors = np.linalg.eigh(basis.T @ image)
-    return (basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
+    # image times roots, times its own transpose, is what the passages' products come to on this subspace.
+    roots = _roots(_inner(basis, image))
+    return image @ (roots @ _roots(roots.T @ _inner(image, image) @ roots)[:, :RANK]).astype(np.float32)
 
 
-def _word_vectors(idf: np.ndarray, basis: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _word_vectors(idf: np.ndarray, basis: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Projected words less the mean one of the passages, so that texts at large have no direction in common.
 
     The last row is empty.
     """
-    words = idf[:, None] * basis
-    words -= counts @ words[buckets] / max(1, counts.sum())
-    return np.vstack([words, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-
-
-def _passages(batch):
-    data, offsets = utf8(batch.column(0))
-    for i, j in row_groups(offsets):
-        hashes, bounds, _, _ = ALNUM.words(data, offsets[i : j + 1])
-        parts, _, _ = _chunks([hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
-        ends = np.cumsum([0] + [len(p) for p in parts])
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([lists(_bucket(flat), ends, pa.int32())], ["words"])
+    words = np.zeros((SIZE + 1, basis.shape[1]), np.float32)
+    np.multiply(basis, idf[:, None], out=words[:-1], casting="same_kind")
+    words[:-1] -= (counts / max(1, counts.sum())).astype(np.float32) @ words[:-1]
+    return words
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, output: str = "leaks") -> DataFrame:
@@ -415,15 +501,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, output: str = "leaks"
     if not n_words:
         return empty
 
-    texts = own.select("text")
-    idf, total = word_weights(texts)
-    part = F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1_000_003)) / 1_000_003
-    sampled = texts.where(part < (SAMPLE_DOCUMENTS / total if total > SAMPLE_DOCUMENTS else 2.0))
-    passages = arrow_map(sampled.unionByName(items.select("text")), "words array<int>", _passages)
-    passages = scratch.write(passages.repartition(16), "passages")
-    basis = singular_directions(passages, idf)
-    counts = passages.select(F.explode("words").alias("bucket")).groupBy("bucket").count().toPandas()  # at most SIZE rows
-    table = _word_vectors(idf, basis, counts["bucket"].to_numpy(), counts["count"].to_numpy())
+    idf, counts, passages = scan(own, items, scratch)
+    table = _word_vectors(idf, singular_directions(passages, idf), counts)
 
     n_blocks = math.ceil(n_words / BLOCK_WORDS)
     marked = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))

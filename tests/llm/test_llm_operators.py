@@ -187,6 +187,32 @@ def test_singular_directions_approach_the_exact_ones(spark):
     assert np.allclose((x @ basis[:40]) @ (x @ basis[:40]).T, x @ x.T, atol=1e-3)
 
 
+def test_directions_are_fitted_on_all_passages(spark, monkeypatch):
+    """More documents than any sample; the products equal those of the dense matrix."""
+    own, draw, seen = decontamination, random.Random(18), []
+    pool = [f"w{k}" for k in range(300)]
+    texts = [" ".join(draw.choices(pool, k=draw.choice([0, 1, 5, 24, 25, 60]))) for _ in range(4_000)] + [None]
+    fit = own.singular_directions
+    monkeypatch.setattr(own, "singular_directions", lambda passages, idf: seen.append((passages, idf)) or fit(passages, idf))
+    benchmark = spark.createDataFrame([(1, " ".join(pool[:30]))], "item_id long, text string")
+    found = own.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark)
+    assert found.count() == len(texts)
+    passages, idf = seen[0]
+    rows = [r["words"] for r in passages.collect()]
+    rows = [p for r in rows for p in (np.frombuffer(r, np.uint16).reshape(-1, own.WINDOW).tolist() if isinstance(r, (bytes, bytearray)) else [r])]
+    have = collections.Counter(tuple(w for w in p if w < own.SIZE) for p in rows)
+    words = [own._bucket(x).tolist() for x in own._text_words([*texts, " ".join(pool[:30])])]
+    want = collections.Counter(tuple(x[a : a + own.WINDOW]) for x in words for a in own._starts(len(x), own.WINDOW))
+    assert have == want
+    narrow = np.random.default_rng(3).standard_normal((own.SIZE, 5)).astype(np.float32)
+    used = sorted({w for p in want for w in p})
+    x = np.zeros((sum(want.values()), len(used)))
+    for k, p in enumerate(want.elements()):
+        np.add.at(x[k], np.searchsorted(used, p), idf[list(p)])
+        x[k] /= np.sqrt((idf[list(p)] ** 2).sum())
+    assert np.allclose(own._products(passages, idf, narrow)[used], x.T @ (x @ narrow[used]), rtol=1e-3, atol=1e-2)
+
+
 def test_leaks_odd_rows(spark, odd_documents, no_documents):
     benchmark = spark.createDataFrame([(1, " ".join(OTHER.split()[30:70])), (2, None), (None, "a b"), (3, "")], "item_id long, text string")
     found = decontamination.find_leaks(odd_documents, benchmark)
