@@ -65,11 +65,14 @@ def corpus_counts(rows: DataFrame, classes: list[str], features: Features, size:
         yield pa.RecordBatch.from_arrays(columns, ["feature", *(f"n{k}" for k in range(len(classes) + 1))])
 
     sums = rows.select("text", *classes).mapInArrow(run, schema).groupBy("feature")
-    found = sums.agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(classes) + 1))).toPandas()
-    counts, own = np.zeros((len(classes) + 1, size)), found[found["feature"] >= 0]
-    rest = found[found["feature"] < 0].iloc[:, 1:].to_numpy(float)
-    counts[:, own["feature"].to_numpy()] = own.iloc[:, 1:].to_numpy(float).T
-    return counts, rest[0] if len(rest) else np.zeros(len(classes) + 1)
+    found = sums.agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(classes) + 1))).toArrow()
+    feature, counts = found.column("feature").to_numpy(), np.zeros((len(classes) + 1, size))
+    totals = np.zeros(len(classes) + 1)
+    for k in range(len(classes) + 1):
+        n = found.column(f"n{k}").to_numpy()
+        counts[k, feature[feature >= 0]] = n[feature >= 0]
+        totals[k] = n[feature < 0].sum()
+    return counts, totals
 
 
 def share(key: str) -> Column:
@@ -107,7 +110,7 @@ def sigmoid(x):
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 100) -> np.ndarray:
     """Weights of a regularised logistic regression (the last is the free term), by accelerated gradients."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1, dtype=np.float32)
     y, v = y.astype(np.float32), np.ones(x.shape[1], np.float32)
     for _ in range(12):  # the largest singular value bounds the slope's change
         v = x.T @ (x @ (v / np.linalg.norm(v)))

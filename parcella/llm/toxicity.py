@@ -119,18 +119,25 @@ def fit(rows: DataFrame, categories: dict[str, list[str]]) -> Chain:
     place[np.sort(best[gap[best] > 0])] = np.arange((gap[best] > 0).sum())
     chain = Chain(names, place)
 
-    marks, bucket, ends = sample(rows, total, SAMPLE_ROWS, names, features)
+    selected = place >= 0
+
+    def own_features(data, offsets):
+        row, bucket = features(data, offsets)
+        return row[selected[bucket]], bucket[selected[bucket]]
+
+    marks, bucket, ends = sample(rows, total, SAMPLE_ROWS, names, own_features)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     x = chain.dense(row, bucket, len(ends) - 1)
     fold = np.arange(len(x)) % FOLDS
     unseen = np.zeros((len(x), 0))
     for y in marks.astype(float):
-        own = np.hstack([x, unseen])
+        # Single precision, in which the links are fitted anyway, for what is as long as the sample.
+        own = np.concatenate([x, unseen], axis=1, dtype=np.float32)
         chain.links.append(_link(own, y))
         guess = np.zeros(len(x))
         for k in range(FOLDS):
             w = _link(own[fold != k], y[fold != k])
-            guess[fold == k] = sigmoid(own[fold == k] @ w[:-1] + w[-1])
+            guess[fold == k] = sigmoid(np.hstack([x[fold == k], unseen[fold == k]]) @ w[:-1] + w[-1])
         unseen = np.hstack([unseen, guess[:, None]])
     return chain
 

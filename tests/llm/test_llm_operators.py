@@ -224,6 +224,15 @@ def test_leaks_odd_rows(spark, odd_documents, no_documents):
     assert decontamination.find_leaks(odd_documents, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_directions_take_little_of_the_driver(spark):
+    passages = spark.createDataFrame([(list(range(k, k + 24)),) for k in range(300)], "words array<int>")
+    tracemalloc.start()
+    decontamination.singular_directions(passages, np.ones(decontamination.SIZE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6, peak
+
+
 # 2: toxicity
 
 
