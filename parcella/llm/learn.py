@@ -80,9 +80,8 @@ def share(key: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1_000_003)) / 1_000_003
 
 
-def sample(rows: DataFrame, total: float, bound: int, classes: list[str], features: Features):
-    """Labels and features of about ``bound`` rows chosen by a hash of their id, in its order."""
-    chosen = rows.where(share("doc_id") < (bound / total if total > bound else 2.0))
+def feature_rows(rows: DataFrame, classes: list[str], features: Features) -> DataFrame:
+    """doc_id, the 0/1 columns and the features of every row."""
 
     def run(batches):
         for batch in batches:
@@ -95,8 +94,14 @@ def sample(rows: DataFrame, total: float, bound: int, classes: list[str], featur
                 yield pa.RecordBatch.from_arrays([*own, lists(feature, ends, pa.int32())], names)
 
     schema = "doc_id long, " + "".join(f"{c} int, " for c in classes) + "features array<int>"
-    chosen = chosen.select("doc_id", "text", *(F.col(c).cast("int").alias(c) for c in classes))
-    found = chosen.mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    own = rows.select("doc_id", "text", *(F.col(c).cast("int").alias(c) for c in classes))
+    return own.mapInArrow(run, schema)
+
+
+def sample(rows: DataFrame, total: float, bound: int, classes: list[str], features: Features):
+    """Labels and features of about ``bound`` rows chosen by a hash of their id, in its order."""
+    chosen = rows.where(share("doc_id") < (bound / total if total > bound else 2.0))
+    found = feature_rows(chosen, classes, features).toArrow().sort_by("doc_id")
     marks = np.stack([found.column(c).to_numpy() for c in classes]) if found.num_rows else np.zeros((len(classes), 0))
     column = found.column("features").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column

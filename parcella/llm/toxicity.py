@@ -5,11 +5,12 @@ A category of words holds for a text that is labelled toxic and uses one of
 its words. Each link is a logistic regression on word indicators and on the
 probabilities of all earlier links. While training, a link sees probabilities
 that models without the row have given (five folds), so it learns to trust earlier links as far as
-they deserve; the final links are fitted on the whole sample.
+they deserve; the final links are fitted on all labelled rows.
 
 Which words are features is decided on all labelled rows: those whose share among toxic
-texts differs most from the rest, in standard errors. Weights are fitted
-on a bounded sample.
+texts differs most from the rest, in standard errors. So are the weights: every Newton step adds
+up slopes and curvature over the rows where they are, for the final link and its folds at once,
+and only these sums reach the driver.
 
 Defined cases: an empty or null text has no features and gets each link's free
 term. A category without examples of both kinds has its smoothed share
@@ -18,6 +19,7 @@ everywhere. Repeated labels of a document count once, the smallest.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import ALNUM, POWERS, arrow_map, importable, lists, mix, row_groups, utf8
-from parcella.llm.learn import corpus_counts, distinct_pairs, labelled, logistic, sample, sigmoid
+from parcella.llm.common import ALNUM, POWERS, Scratch, arrow_map, importable, lists, mix, row_groups, utf8
+from parcella.llm.learn import corpus_counts, distinct_pairs, feature_rows, labelled, sigmoid
 
 SIZE = 1 << 18
-#: Rows that the weights are fitted on.
-SAMPLE_ROWS = 8_000
+#: Labelled rows of a task at least, tasks at most (each sends 1 MB of sums a step), rows made dense at once.
+TASK_ROWS, TASKS, DENSE = 2_000, 16, 4_096
+#: Weight of the penalty; Newton steps end where no weight moves further than this, or after so many.
+PENALTY, MOVED, STEPS = 1.0, 1e-3, 30
 SELECTED = 512
 #: Bytes of a word's beginning.
 STEMS = (4, 5)
@@ -96,12 +100,69 @@ class Chain:
         return self.probabilities(self.dense(*features(data, offsets), len(offsets) - 1))
 
 
-def _link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of one link; the smoothed share alone when there is one class only."""
-    if 0 < y.sum() < len(y):
-        return logistic(x, y)
-    share = (y.sum() + 1) / (len(y) + 2)
-    return np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
+def _folded(x: np.ndarray, fold: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+    """Features, the earlier links' probabilities by models that have not seen the row, and a one for the free term."""
+    for links in earlier:
+        z = x @ links[:FOLDS, :-1].T.astype(np.float32) + links[:FOLDS, -1]
+        x = np.concatenate([x, sigmoid(z[np.arange(len(x)), fold])[:, None]], axis=1, dtype=np.float32)
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1, dtype=np.float32)
+
+
+def _sums(stored: DataFrame, name: str, chain: Chain, earlier: list[np.ndarray], weights: np.ndarray):
+    """Curvature of the last model, slopes of all (one to a row), and each one's loss, rows and positive rows."""
+    models, width = weights.shape
+
+    def run(batches):
+        curve, slopes, rest = np.zeros((width, width)), np.zeros((models, width)), np.zeros((3, models))
+        for batch in batches:
+            for i in range(0, batch.num_rows, DENSE):
+                part = batch.slice(i, DENSE)
+                y, fold = part.column(0).to_numpy().astype(float)[:, None], part.column(1).to_numpy()
+                sizes = part.column(2).value_lengths().to_numpy()
+                x = chain.dense(np.repeat(np.arange(len(y)), sizes), part.column(2).flatten().to_numpy(), len(y))
+                x = _folded(x, fold, earlier)
+                z = (x @ weights.T.astype(np.float32)).astype(float)
+                p, seen = sigmoid(z), fold[:, None] != np.arange(models)
+                slopes += ((p - y) * seen).T.astype(np.float32) @ x
+                rest += [((np.logaddexp(0, z) - y * z) * seen).sum(0), seen.sum(0), (y * seen).sum(0)]
+                x *= np.sqrt(p[:, -1:] * (1 - p[:, -1:])).astype(np.float32)
+                curve += x.T @ x
+        columns = {"curve": [curve.astype(np.float32).tobytes()], "slopes": [slopes.tobytes()], "rest": [rest.tobytes()]}
+        yield pa.RecordBatch.from_pydict(columns)
+
+    curve, slopes, rest = np.zeros((width, width)), np.zeros((models, width)), np.zeros((3, models))
+    for r in stored.select(name, "fold", "features").mapInArrow(run, "curve binary, slopes binary, rest binary").collect():
+        curve += np.frombuffer(r["curve"], np.float32).reshape(width, width)
+        slopes += np.frombuffer(r["slopes"]).reshape(models, width)
+        rest += np.frombuffer(r["rest"]).reshape(3, models)
+    return curve, slopes, rest
+
+
+def _link(stored: DataFrame, name: str, chain: Chain, earlier: list[np.ndarray]) -> np.ndarray:
+    """Weights of one link: for each fold those without its rows, last those of all rows.
+
+    The smoothed share alone when there is one class only. A step that does not lessen a model's loss is halved.
+    """
+    width = int(chain.place.max(initial=-1)) + 1 + len(earlier) + 1
+    pull = np.append(np.full(width - 1, PENALTY), 0)
+    best = ahead = np.zeros((FOLDS + 1, width))
+    lowest, slope, step = np.full(FOLDS + 1, np.inf), np.zeros_like(best), np.ones((FOLDS + 1, 1))
+    for _ in range(STEPS):
+        curve, slopes, (loss, n, positive) = _sums(stored, name, chain, earlier, ahead)
+        loss = loss + (pull * ahead**2).sum(1) / 2
+        less = loss <= lowest + 1e-6 * (1 + np.abs(loss))
+        if less[-1]:
+            bend = curve + np.diag(pull + 1e-6)
+        best, slope = np.where(less[:, None], ahead, best), np.where(less[:, None], slopes + pull * ahead, slope)
+        lowest, step = np.where(less, loss, lowest), np.where(less[:, None], 1.0, step / 2)
+        both = ((positive > 0) & (positive < n))[:, None]
+        move = np.where(both, step * np.linalg.solve(bend, slope.T).T, 0)
+        if np.abs(move).max() < MOVED:
+            break
+        ahead = best - move
+    share = (positive + 1) / (n + 2)
+    alone = np.append(np.zeros((FOLDS + 1, width - 1)), np.log(share / (1 - share))[:, None], axis=1)
+    return np.where(both, best, alone)
 
 
 def fit(rows: DataFrame, categories: dict[str, list[str]]) -> Chain:
@@ -125,20 +186,15 @@ def fit(rows: DataFrame, categories: dict[str, list[str]]) -> Chain:
         row, bucket = features(data, offsets)
         return row[selected[bucket]], bucket[selected[bucket]]
 
-    marks, bucket, ends = sample(rows, total, SAMPLE_ROWS, names, own_features)
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    x = chain.dense(row, bucket, len(ends) - 1)
-    fold = np.arange(len(x)) % FOLDS
-    unseen = np.zeros((len(x), 0))
-    for y in marks.astype(float):
-        # Single precision, in which the links are fitted anyway, for what is as long as the sample.
-        own = np.concatenate([x, unseen], axis=1, dtype=np.float32)
-        chain.links.append(_link(own, y))
-        guess = np.zeros(len(x))
-        for k in range(FOLDS):
-            w = _link(own[fold != k], y[fold != k])
-            guess[fold == k] = sigmoid(np.hstack([x[fold == k], unseen[fold == k]]) @ w[:-1] + w[-1])
-        unseen = np.hstack([unseen, guess[:, None]])
+    scratch = Scratch(rows.sparkSession, "toxicity")
+    found = feature_rows(rows, names, own_features)
+    stored = scratch.write(found.withColumn("fold", F.expr(f"cast(pmod(xxhash64(doc_id), {FOLDS}) AS int)")), "features")
+    few = stored.coalesce(max(1, min(TASKS, math.ceil(total / TASK_ROWS))))
+    earlier: list[np.ndarray] = []
+    for name in names:
+        earlier.append(_link(few, name, chain, earlier))
+    chain.links = [links[-1] for links in earlier]
+    scratch.drop(stored)
     return chain
 
 

@@ -10,6 +10,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_texts import OTHER
 from pyspark.sql import functions as F
@@ -258,6 +259,23 @@ def test_logistic_finds_the_minimum():
     assert np.abs(slope).max() < 0.05
 
 
+def test_toxicity_is_fitted_on_all_labelled_rows(spark):
+    """More rows than any sample; the penalised loss over all of them is at its minimum."""
+    from parcella.llm.learn import sigmoid
+
+    draw = random.Random(19)
+    rows = []
+    for k in range(12_000):
+        words = [w for w in "abcdefgh" if draw.random() < 0.3]
+        rows.append((k, " ".join(words), int(draw.random() < 0.1 + 0.1 * len(set(words) & set("abcd")))))
+    chain = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), {})
+    data, offsets = toxicity.utf8(pa.array([text for _, text, _ in rows]))
+    x, y = chain.dense(*toxicity.features(data, offsets), len(rows)).astype(float), np.array([label for _, _, label in rows])
+    miss, w = sigmoid(x @ chain.links[0][:-1] + chain.links[0][-1]) - y, chain.links[0]
+    assert np.abs(np.append(x.T @ miss + w[:-1], miss.sum())).max() < 2
+    assert w[:-1].min() < 0.2 < w[:-1].max()
+
+
 def test_toxicity_odd_rows(odd_documents, no_documents, labels):
     scored = toxicity.score_toxicity(odd_documents, labels)
     assert scored.count() == odd_documents.count()
