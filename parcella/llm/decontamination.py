@@ -41,9 +41,11 @@ from parcella.llm.common import ALNUM, Scratch, _stream, arrow_map, importable,
 WINDOW, STRIDE = 24, 8
 SIZE = 1 << 15
 RANK, EXTRA, ROUNDS = 96, 8, 2
-#: Words of a benchmark block at most; words that a task multiplies, about, and the least number of such tasks.
+#: Words of a benchmark block at most; words that a task multiplies, about.
 BLOCK_WORDS = 100_000
-TASK_WORDS, TASKS = 32_000_000, 16
+TASK_WORDS = 32_000_000
+#: Up to so many tasks multiply fewer words, but no less than these: a task's sums take 14 MB of the shuffle at any size.
+TASKS, LEAST_WORDS = 16, 4_000_000
 COSINE = 0.48
 #: A run of so many words of an item is compared whatever its words weigh.
 PHRASE = 8
@@ -145,7 +147,12 @@ def scan(texts: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[np.ndarr
     share = (1 + followers) / (1 + followers.sum())
     weights = np.maximum(LEAST, -np.log(-np.expm1(-WINDOW * share)))
     passages = stored.where("words IS NOT NULL").select("words")
-    return weights, counts, passages.coalesce(max(TASKS, math.ceil(counts.sum() / TASK_WORDS)))
+    return weights, counts, passages.coalesce(_tasks(int(counts.sum())))
+
+
+def _tasks(words: int) -> int:
+    """How many tasks multiply passages of so many words."""
+    return max(1, min(TASKS, math.ceil(words / LEAST_WORDS)), math.ceil(words / TASK_WORDS))
 
 
 def _starts(n: int, step: int) -> list[int]:

@@ -225,6 +225,12 @@ def test_leaks_odd_rows(spark, odd_documents, no_documents):
     assert decontamination.find_leaks(odd_documents, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_tasks_that_multiply_grow_with_the_words():
+    """Every task sends sums of one size, so few words are not dealt to many tasks."""
+    assert [decontamination._tasks(n) for n in (0, 1, 4_000_001, 17_000_000, 100_000_000)] == [1, 1, 2, 5, 16]
+    assert decontamination._tasks(10**9) == 32
+
+
 def test_directions_take_little_of_the_driver(spark):
     passages = spark.createDataFrame([(list(range(k, k + 24)),) for k in range(300)], "words array<int>")
     tracemalloc.start()
