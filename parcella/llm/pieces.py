@@ -44,7 +44,8 @@ class Vocabulary:
     byte_score: float
     #: What each id decodes to.
     content: list[bytes]
-    longest: int
+    #: Id (as four bytes) and score of every end of a piece that is a piece itself, nothing for other ends.
+    ends: dict[str, tuple[bytes, float] | None]
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -70,39 +71,53 @@ class Vocabulary:
                 pieces[own] = (i, scores[i])
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         lowest = min(scores.values())
-        return cls(os.path.basename(path), pieces, byte_ids, lowest - 10, content, max(map(len, pieces)))
+        ends = dict.fromkeys(own[k:] for own in pieces for k in range(len(own)))
+        ends |= {own: (_packed(i), score) for own, (i, score) in pieces.items()}
+        return cls(os.path.basename(path), pieces, byte_ids, lowest - 10, content, ends)
+
+
+def _packed(*ids: int) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def segmented(words: list[str], v: Vocabulary) -> dict[str, bytes]:
-    """Ids (32-bit, concatenated) of the best pieces of every word."""
+    """Ids (32-bit, concatenated) of the best pieces of every word.
+
+    Going back from a place stops where no piece ends with what lies between.
+    """
     found: dict[str, bytes] = {}
-    get, longest = v.pieces.get, v.longest
-    score, back, before = [0.0], [(0, ())], ""
+    get = v.ends.get
+    # Best score of every beginning of a word, where its last piece begins and that piece's id.
+    score, back, last, before = [0.0], [0], [b""], ""
     for word in sorted(words):
         n, common = min(len(word), len(before)), 0
         while common < n and word[common] == before[common]:
             common += 1
-        del score[common + 1 :], back[common + 1 :]
+        del score[common + 1 :], back[common + 1 :], last[common + 1 :]
         for end in range(common + 1, len(word) + 1):
-            c = word[end - 1]
-            own = get(c)
-            if own is None:
-                raw = c.encode()
-                best = score[end - 1] + v.byte_score * len(raw)
-                link = (end - 1, tuple(v.byte_ids[b] for b in raw))
+            at = end - 1
+            piece = get(word[at])
+            if piece:
+                ids, best = piece[0], score[at] + piece[1]
             else:
-                best, link = score[end - 1] + own[1], (end - 1, (own[0],))
-            for start in range(end - 2, max(-1, end - longest - 1), -1):
-                piece = get(word[start:end])
-                if piece is not None and score[start] + piece[1] >= best:
-                    best, link = score[start] + piece[1], (start, (piece[0],))
+                raw = word[at].encode()
+                ids, best = _packed(*[v.byte_ids[b] for b in raw]), score[at] + v.byte_score * len(raw)
+            for start in range(end - 2, -1, -1):
+                piece = get(word[start:end], False)
+                if piece:
+                    total = score[start] + piece[1]
+                    if total >= best:
+                        ids, best, at = piece[0], total, start
+                elif piece is False:
+                    break
             score.append(best)
-            back.append(link)
-        ids, at = [], len(word)
+            back.append(at)
+            last.append(ids)
+        parts, at = [], len(word)
         while at:
-            at, own = back[at]
-            ids.append(own)
-        found[word] = array("i", [i for own in reversed(ids) for i in own]).tobytes()
+            parts.append(last[at])
+            at = back[at]
+        found[word] = b"".join(parts[::-1])
         before = word
     return found
 
@@ -124,13 +139,13 @@ def encode(documents: DataFrame, path: str = MODEL, output: str = "ids") -> Data
         for i, j in row_groups(offsets, 4_000_000):
             split = [t.as_py().split(" ") if t.as_py() else [] for t in batch.column(text).slice(i, j - i)]
             # The empty word is the bare marker.
-            missing = {w for words in split for w in words}.difference(known)
+            missing = set().union(*split).difference(known)
             if len(known) + len(missing) > REMEMBERED:
                 known.clear()
-                missing = {w for words in split for w in words}
+                missing = set().union(*split)
             for word, ids in segmented([" " + w for w in missing], v).items():
                 known[word[1:]] = ids
-            rows = [b"".join([known[w] for w in words]) for words in split]
+            rows = [b"".join(map(known.__getitem__, words)) for words in split]
             ends = np.cumsum([0] + [len(r) // 4 for r in rows])
             ids = lists(np.frombuffer(b"".join(rows), np.int32), ends, pa.int32())
             part = batch.slice(i, j - i)
@@ -139,6 +154,25 @@ def encode(documents: DataFrame, path: str = MODEL, output: str = "ids") -> Data
     return arrow_map(own, T.StructType([*own.schema.fields, T.StructField(output, T.ArrayType(T.IntegerType()))]), run)
 
 
+def _texts(ids: np.ndarray, bounds: np.ndarray, content: pa.Array) -> pa.Array:
+    """Texts of consecutive rows of ids; the last of ``content`` stands for ids that it does not hold."""
+    unknown = len(content) - 1
+    joined = content.take(pa.array(np.where((ids >= 0) & (ids < unknown), ids, unknown)))
+    _, ends, data = joined.buffers()
+    ends = np.frombuffer(ends, np.int64)[joined.offset : joined.offset + len(joined) + 1][bounds]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    # The leading space of a text goes.
+    first = ends[:-1][np.diff(ends) > 0]
+    spaces = first[data[first] == 32]
+    data = np.delete(data[: ends[-1]], spaces)
+    ends = ends - np.searchsorted(spaces, ends)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    try:
+        return texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that form no UTF-8
+        return pa.array([t.as_py().decode(errors="replace") for t in texts], pa.string())
+
+
 def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """All columns and the text that the ids stand for; a column of that name is replaced.
 
@@ -151,15 +185,13 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", output: str
     at = own.columns.index(ids)
 
     def run(batch):
-        content = [*vocabulary.value.content, "\ufffd".encode()]
-        unknown = len(content) - 1
+        content = pa.array([*vocabulary.value.content, "\ufffd".encode()], pa.large_binary())
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            texts = []
-            for row in part.column(at):
-                own_ids = row.values.fill_null(-1).to_numpy() if row.is_valid else np.zeros(0, np.int32)
-                own_ids = np.where((own_ids >= 0) & (own_ids < unknown), own_ids, unknown).tolist()
-                texts.append(b"".join([content[k] for k in own_ids]).removeprefix(b" ").decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, output])
+            column = part.column(at)
+            # A null list has no ids, whatever lies under it.
+            bounds = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy()))
+            texts = _texts(column.flatten().fill_null(-1).to_numpy(), bounds, content)
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, output])
 
     return arrow_map(own, T.StructType([*own.schema.fields, T.StructField(output, T.StringType())]), run)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -535,6 +536,34 @@ def test_shared_prefixes_change_nothing(vocabulary):
         assert math.isclose(sum(scores[i] for i in own), best[-1])
 
 
+def test_decoding_joins_whole_rows(vocabulary):
+    """Row by row as before: joined bytes, one leading space less, U+FFFD for what is no UTF-8; no row is decoded by itself."""
+    draw, n = random.Random(20), len(vocabulary.content)
+    content = [*vocabulary.content, "\ufffd".encode()]
+    space = vocabulary.content.index(b" ")
+    special = [i for i in range(n) if not vocabulary.content[i]]
+    for pool in (range(n), sorted(i for i, _ in vocabulary.pieces.values())):
+        rows = [draw.choices(pool, k=draw.choice([0, 1, 2, 30])) for _ in range(400)] + [[], [space], [space, space], [*special, space, space], special]
+        bounds, ids = np.cumsum([0] + [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int32)
+        got = pieces._texts(ids, bounds, pa.array(content, pa.large_binary())).to_pylist()
+        assert got == [b"".join(content[i] for i in r).removeprefix(b" ").decode(errors="replace") for r in rows]
+
+
+def test_few_substrings_are_looked_up(vocabulary):
+    """A word costs look-ups for ends of pieces only, not for all its substrings."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+    word, own = " " + "xqzj" * 2_000, dataclasses.replace(vocabulary, ends=Counted(vocabulary.ends))
+    assert pieces.segmented([word], own) == pieces.segmented([word], vocabulary)
+    assert Counted.looked < 4 * len(word)
+
+
 def test_round_trip_odd_rows(odd_documents, no_documents):
     both = pieces.decode(pieces.encode(odd_documents))
     assert both.count() == odd_documents.count()
