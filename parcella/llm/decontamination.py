@@ -57,8 +57,10 @@ SHARED = 0.4
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.5
 ANSWER_WORDS = 3
 SLACK = 12
-#: Windows that are multiplied with a sixteenth as many chunks at once.
-TILE = 8_192
+#: Windows that are multiplied with a sixteenth as many chunks at once; close pairs whose words are compared at once.
+TILE, PAIRS = 8_192, 32_768
+#: Bits in which words are marked before they are compared, a multiple of 64; leading bits of hashes that say where to look.
+MARKS, LEADING = 256, 18
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -173,12 +175,16 @@ class Block:
     chunk_item: np.ndarray
     chunk_at: np.ndarray
     chunk_size: np.ndarray
-    #: Distinct words in order; numbers (from 1) of every chunk's distinct words in it and how often they occur; of an item's words.
+    #: Distinct words in order; where those with the same leading bits begin.
     vocabulary: np.ndarray
-    chunk_numbers: list[tuple[np.ndarray, np.ndarray]]
+    leading: np.ndarray
+    #: Numbers (from 1) of every chunk's distinct words in the vocabulary, filled up with -1, and how often they occur; their marks.
+    chunk_numbers: np.ndarray
+    chunk_times: np.ndarray
+    chunk_marks: np.ndarray
     item_numbers: list[np.ndarray]
-    #: By length: hashes in order, items and places of their runs of PHRASE words; a shorter item is one run.
-    phrases: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: By length: hashes in order, items and places of their runs of PHRASE words; a shorter item is one run. Leading bits that they have.
+    phrases: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _text_words(texts: list[str]) -> list[np.ndarray]:
@@ -197,15 +203,20 @@ def _phrases(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def _phrase_tables(words: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _phrase_tables(words: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for k, own in enumerate(words):
         size = min(PHRASE, len(own))
         # A run that an item repeats stands where it comes first, as it does in a copy.
         first, at = np.unique(_phrases(own, size), return_index=True)
         runs.setdefault(size, []).extend((h, k, a) for h, a in zip(first.tolist(), at.tolist()))
-    columns = {size: list(zip(*sorted(rows))) for size, rows in runs.items()}
-    return {size: (np.array(h, np.uint64), np.array(k, np.int64), np.array(at, np.int64)) for size, (h, k, at) in columns.items()}
+    tables = {}
+    for size, rows in runs.items():
+        hashes, item, at = (np.array(x, kind) for x, kind in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int64)))
+        known = np.zeros(1 << LEADING, bool)
+        known[hashes >> np.uint64(64 - LEADING)] = True
+        tables[size] = hashes, item, at, known
+    return tables
 
 
 def _chunks(words: list[np.ndarray]) -> tuple[list[np.ndarray], list[int], list[int]]:
@@ -225,14 +236,19 @@ def _block(items: list[int], texts: list[str], idf: np.ndarray, table: np.ndarra
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
     sizes = np.array([len(p) for p in parts], np.int64)
     vocabulary = np.unique(np.concatenate(words))
-    item_numbers = [_numbers(x, vocabulary) for x in words]
+    leading = _leading(vocabulary)
+    item_numbers = [_numbers(x, vocabulary, leading) for x in words]
     rare = -idf[_bucket(vocabulary)]
     answers = [set(sorted(set(own.tolist()), key=lambda k: (rare[k - 1], k))[:ANSWER_WORDS]) for own in item_numbers]
-    counted = [np.unique(_numbers(x, vocabulary), return_counts=True) for x in parts]
+    numbers, times = np.full((len(parts), WINDOW), -1, np.int32), np.zeros((len(parts), WINDOW), np.uint8)
+    marks = np.zeros((len(parts), MARKS // 64), np.uint64)
+    for k, part in enumerate(parts):
+        own, often = np.unique(_numbers(part, vocabulary, leading), return_counts=True)
+        numbers[k, : len(own)], times[k, : len(own)] = own, often
+        marks[k] = _marks(own[None])
     places = np.array(item, np.int64), np.array(at, np.int64)
-    return Block(
-        items, words, answers, vectors, *places, sizes, vocabulary, counted, item_numbers, _phrase_tables(words)
-    )
+    words_of = vocabulary, leading, numbers, times, marks, item_numbers
+    return Block(items, words, answers, vectors, *places, sizes, *words_of, _phrase_tables(words))
 
 
 def _places(item: list[int]) -> dict[int, int]:
@@ -275,10 +291,41 @@ def _window_vectors(hashes: np.ndarray, bounds: np.ndarray, table: np.ndarray):
     return row, begins[begin], vectors
 
 
-def _numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+def _leading(ordered: np.ndarray) -> np.ndarray:
+    """How many of some ordered hashes stand before those that begin with the same LEADING bits, for all such bits."""
+    return np.searchsorted(ordered, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING))
+
+
+def _numbers(hashes: np.ndarray, vocabulary: np.ndarray, leading: np.ndarray) -> np.ndarray:
     """Numbers of words among the benchmark's, from 1; 0 for all others."""
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)
+    at = leading[hashes >> np.uint64(64 - LEADING)]
+    found = np.zeros(len(hashes), np.int64)
+    for k in range(int(np.diff(leading, append=len(vocabulary)).max())):
+        own = np.minimum(at + k, len(vocabulary) - 1)
+        np.copyto(found, own + 1, where=vocabulary[own] == hashes)
+    return found
+
+
+def _marks(numbers: np.ndarray) -> np.ndarray:
+    """The words of each row as bits, several words to a bit."""
+    bits = np.zeros((len(numbers), MARKS), bool)
+    bits[np.arange(len(numbers))[:, None], numbers % MARKS] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _shared(words: np.ndarray, marks: np.ndarray, block: Block, windows: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Which pairs of a window and a chunk share enough of the chunk's words.
+
+    Words that share a bit are counted as one bit, so a chunk's further words are added: what has too few then is out.
+    """
+    own, least = block.chunk_marks, SHARED * block.chunk_size
+    further = block.chunk_size - np.bitwise_count(own).sum(1, dtype=np.int64)
+    both = np.bitwise_count(marks.take(windows, 0) & own.take(chunks, 0))
+    bits = sum(both[:, j].astype(np.int64) for j in range(both.shape[1]))
+    hit = np.flatnonzero(bits >= (least - further)[chunks])
+    same = words[windows[hit], :, None] == block.chunk_numbers[chunks[hit], None, :]
+    times = np.where(same.any(1), block.chunk_times[chunks[hit]], 0).sum(1)
+    return hit[times >= least[chunks[hit]]]
 
 
 def _close_windows(hashes, bounds, block: Block, table: np.ndarray, numbers: np.ndarray):
@@ -287,40 +334,36 @@ def _close_windows(hashes, bounds, block: Block, table: np.ndarray, numbers: np.
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
     # A chunk shorter than a window fills only a part of it.
     least = (COSINE * np.sqrt(block.chunk_size / WINDOW)).astype(np.float32)
-    times = np.zeros(len(block.vocabulary) + 1, np.uint8)
     for i in range(0, len(vectors), TILE):
         own = slice(i, i + TILE)
         at = starts[own, None] + np.arange(WINDOW)
-        words = np.where(at < bounds[row[own] + 1][:, None], numbers[np.minimum(at, len(hashes) - 1)], 0)
-        words.sort(axis=1)
-        words[:, 1:][words[:, 1:] == words[:, :-1]] = 0
+        words = np.where(at < bounds[row[own] + 1][:, None], numbers[np.minimum(at, len(hashes) - 1)], 0).astype(np.int32)
+        marks = _marks(words)
         for first in range(0, len(block.chunks), TILE // 16):
             part = slice(first, first + TILE // 16)
-            near = block.chunks[part] @ vectors[own].T >= least[part, None]
-            for chunk in np.flatnonzero(near.any(1)).tolist():
-                windows = np.flatnonzero(near[chunk])
+            near = np.flatnonzero(block.chunks[part] @ vectors[own].T >= least[part, None])
+            for j in range(0, len(near), PAIRS):
+                chunk, window = np.divmod(near[j : j + PAIRS], len(words))
                 chunk += first
-                # How many words of the chunk are in each window: at most 24, so eight bytes are added in one number.
-                times[block.chunk_numbers[chunk][0]] = block.chunk_numbers[chunk][1]
-                shared = times.take(words.take(windows, 0)).view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
-                times[block.chunk_numbers[chunk][0]] = 0
-                windows = windows[shared >= SHARED * block.chunk_size[chunk]] + i
-                if len(windows):
-                    item = np.full(len(windows), block.chunk_item[chunk])
-                    yield row[windows], item, starts[windows] - block.chunk_at[chunk]
+                hit = _shared(words, marks, block, window, chunk)
+                chunk, window = chunk[hit], window[hit] + i
+                yield row[window], block.chunk_item[chunk], starts[window] - block.chunk_at[chunk]
 
 
 def _phrase_places(hashes, bounds, block: Block):
     """The same of runs of words that stand in an item."""
-    for size, (phrase, item, at) in block.phrases.items():
+    for size, (phrase, item, at, known) in block.phrases.items():
         own = _phrases(hashes, size)
+        hit = np.flatnonzero(known[own >> np.uint64(64 - LEADING)])
+        own = own[hit]
         low = np.searchsorted(phrase, own)
-        hit = np.flatnonzero(phrase[np.minimum(low, len(phrase) - 1)] == own)
+        same = phrase[np.minimum(low, len(phrase) - 1)] == own
+        hit, own, low = hit[same], own[same], low[same]
         row = np.searchsorted(bounds, hit, "right") - 1
         inside = hit + size <= bounds[row + 1]
-        hit, row = hit[inside], row[inside]
-        count = np.searchsorted(phrase, own[hit], "right") - low[hit]
-        which = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        hit, row, own, low = hit[inside], row[inside], own[inside], low[inside]
+        count = np.searchsorted(phrase, own, "right") - low
+        which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         yield np.repeat(row, count), item[which], np.repeat(hit, count) - at[which]
 
 
@@ -329,7 +372,7 @@ def _search(hashes: np.ndarray, bounds: np.ndarray, block: Block, table: np.ndar
     found: dict[tuple[int, int], float] = {}
     if not len(hashes):
         return found
-    numbers = _numbers(hashes, block.vocabulary)
+    numbers = _numbers(hashes, block.vocabulary, block.leading)
     places = [*_phrase_places(hashes, bounds, block), *_close_windows(hashes, bounds, block, table, numbers)]
     rows, items, begins = (np.concatenate([np.zeros(0, np.int64), *own]) for own in zip(*places)) if places else [np.zeros(0, np.int64)] * 3
     # Stretches that begin within a few words of each other are one.

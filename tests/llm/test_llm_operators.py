@@ -174,6 +174,27 @@ def test_common_words_equals_the_table():
         assert decontamination.common_words(a, b) == table[-1][-1]
 
 
+def test_shared_words_of_pairs_against_brute_force():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(rng.choice(words[: 40 + 20 * k], 12 + 5 * k)) for k in range(25)]
+    table = rng.standard_normal((decontamination.SIZE + 1, 4)).astype(np.float32)
+    block = decontamination._block(list(range(25)), texts, np.ones(decontamination.SIZE), table)
+    assert len(block.vocabulary) > decontamination.MARKS
+    known = {word: k + 1 for k, word in enumerate(block.vocabulary.tolist())}
+    hashes = np.concatenate([*block.words, np.arange(1, 50, dtype=np.uint64)])
+    numbers = decontamination._numbers(hashes, block.vocabulary, block.leading)
+    assert numbers.tolist() == [known.get(h, 0) for h in hashes.tolist()]
+    windows = np.stack([numbers[k : k + decontamination.WINDOW] for k in range(len(numbers) - decontamination.WINDOW + 1)])
+    window, chunk = (x.ravel() for x in np.indices((len(windows), len(block.chunks))))
+    got = decontamination._shared(windows, decontamination._marks(windows), block, window, chunk)
+    parts, item, at = decontamination._chunks(block.words)
+    own = [[known[h] for h in part.tolist()] for part in parts]
+    shared = [sum(n in have for n in own[c]) for have in map(set, windows.tolist()) for c in range(len(own))]
+    wanted = [k for k, n in enumerate(shared) if n >= decontamination.SHARED * len(own[chunk[k]])]
+    assert 0 < len(wanted) < len(shared) and got.tolist() == wanted
+
+
 def test_singular_directions_approach_the_exact_ones(spark):
     draw = np.random.default_rng(0)
     rows = [[int(x) for x in draw.integers(0, 40, 24)] for _ in range(200)]
