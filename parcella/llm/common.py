@@ -7,6 +7,7 @@ not depend on how many rows a batch holds.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession):
+    """Let go of what finished steps hold: Spark drops their shuffle files and broadcasts when the driver collects garbage.
+
+    Called between the jobs of an operator that has many, as the driver's heap else grows with them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(columns: list[str], wanted: str) -> str:
     """``wanted``, or with underscores in front until no column is called so."""
     taken = {c.lower() for c in columns}
@@ -223,8 +233,9 @@ class Bitmap:
         bits = rows.select(F.shiftrightunsigned(column, 64 - BITMAP_BITS).cast("int").alias("bit")).distinct()
         packed = bits.withColumn("block", F.expr("bit >> 16")).groupBy("block").applyInArrow(pack, "block int, bits binary")
         whole = np.zeros((1 << block, 1 << 13), np.uint8)
-        for r in packed.collect():
-            whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+        found = packed.toArrow()
+        for place, own in zip(found.column("block").to_pylist(), found.column("bits")):
+            whole[place] = np.frombuffer(own.as_buffer(), np.uint8)
         self.sent = rows.sparkSession.sparkContext.broadcast(whole.ravel())
 
     def maybe(self, values: np.ndarray) -> np.ndarray:
@@ -256,6 +267,7 @@ def smallest_reachable(scratch: Scratch, links: DataFrame) -> DataFrame:
         for used in (edges, low, large, least):
             scratch.drop(used)
         edges = small
+        release(scratch.spark)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import ALNUM, Scratch, _stream, arrow_map, importable, mix, row_groups, utf8
+from parcella.llm.common import ALNUM, Scratch, _stream, arrow_map, importable, mix, release, row_groups, utf8
 
 WINDOW, STRIDE = 24, 8
 SIZE = 1 << 15
@@ -142,10 +142,11 @@ def scan(texts: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[np.ndarr
     stored = scratch.write(every.mapInArrow(run, f"{schema}, words binary"), "passages")
     followers, counts = np.zeros(SIZE), np.zeros(SIZE, np.int64)
     tables = stored.where("part IS NOT NULL").select("part", "own", "times")
-    for r in tables.repartition(8, "part").mapInArrow(merge, schema).collect():
-        own = slice(r["part"] * step, (r["part"] + 1) * step)
-        followers[own] = _estimates(np.frombuffer(r["own"], np.uint8))
-        counts[own] = np.frombuffer(r["times"], np.int64)
+    found = tables.repartition(8, "part").mapInArrow(merge, schema).toArrow()
+    for part, table, times in zip(found.column("part").to_pylist(), found.column("own"), found.column("times")):
+        own = slice(part * step, (part + 1) * step)
+        followers[own] = _estimates(np.frombuffer(table.as_buffer(), np.uint8))
+        counts[own] = np.frombuffer(times.as_buffer(), np.int64)
     share = (1 + followers) / (1 + followers.sum())
     weights = np.maximum(LEAST, -np.log(-np.expm1(-WINDOW * share)))
     passages = stored.where("words IS NOT NULL").select("words")
@@ -494,12 +495,14 @@ def _products(passages: DataFrame, idf: np.ndarray, narrow: np.ndarray) -> np.nd
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [sums.tobytes()]})
 
     schema = "part int, sums binary"
-    sums = passages.mapInArrow(run, schema).repartition(8, "part").mapInArrow(add, schema).collect()
+    sums = passages.mapInArrow(run, schema).repartition(8, "part").mapInArrow(add, schema).toArrow()
     out = np.zeros((SIZE, width), np.float32)
-    for r in sums:
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["sums"], np.float32).reshape(step, width)
-    sent.unpersist()
+    for part, own in zip(sums.column("part").to_pylist(), sums.column("sums")):
+        out[part * step : (part + 1) * step] = np.frombuffer(own.as_buffer(), np.float32).reshape(step, width)
+    sent.destroy()
     out *= weights[:-1, None]
+    del sums
+    release(spark)
     return out
 
 

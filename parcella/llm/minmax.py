@@ -47,6 +47,7 @@ from parcella.llm.common import (
     importable,
     lists,
     mix,
+    release,
     row_groups,
     shingles,
     smallest_reachable,
@@ -258,6 +259,7 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     extra = first.where("node <> doc_id").select("node", "doc_id")
     nodes = usable.select("doc_id", "same", "n_shingles", "bands").join(first, ["same", "doc_id"])
     nodes = scratch.write(nodes.select("node", "n_shingles", "bands"), "nodes")
+    release(spark)
 
     band = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = band.groupBy("bucket").agg(
@@ -269,6 +271,7 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     touched = bucketed.select("node").distinct().join(first, "node")
     signatures = usable.select("doc_id", "same", "signature", "bands").join(touched, ["same", "doc_id"])
     signatures = scratch.write(signatures.select("node", "signature", "bands").dropDuplicates(["node"]), "touched")
+    release(spark)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(node, shingles) of the given nodes; a bitmap keeps most other texts from being read into sets."""
@@ -310,11 +313,13 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
     stars = bucketed.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
     links = confirmed(stars.mapInPandas(_similar, "a long, b long"))
+    release(spark)
     roots = scratch.write(smallest_reachable(scratch, links.union(member).union(extra)), "roots")
 
     # Buckets that still hold several components.
     placed = bucketed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.write(placed.select("bucket", "node", "root", "n_shingles"), "placed")
+    release(spark)
     several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     placed = placed.join(scratch.write(several.select("bucket"), "several"), "bucket")
     # Chunks of the largest component come first; they are met with those of the rest, these with all.
@@ -336,6 +341,7 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root"
     )
     placed = scratch.write(placed, "chunks")
+    release(spark)
 
     def shared_out(rows: DataFrame, n: int) -> DataFrame:
         """Groups (bucket, i, j), whole, dealt to shares of about n rows."""
@@ -344,6 +350,7 @@ def near_duplicates(documents: DataFrame, similarity_percent: int = 75) -> DataF
 
     open_ = shared_out(placed, GROUP_ROWS).join(signatures, "node").groupBy("share").applyInPandas(_open_members, PLACE)
     open_ = scratch.write(open_, "open")
+    release(spark)
     sets = sets_of(open_.select("node").distinct())
     again = shared_out(open_, GROUP_ROWS // 10).join(signatures, "node").join(sets, "node")
     links = links.union(again.groupBy("share").applyInPandas(_linking(similarity_percent), "a long, b long"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcella.llm.common import ALNUM, POWERS, Scratch, arrow_map, importable, lists, mix, row_groups, utf8
+from parcella.llm.common import ALNUM, POWERS, Scratch, arrow_map, importable, lists, mix, release, row_groups, utf8
 from parcella.llm.learn import corpus_counts, distinct_pairs, feature_rows, labelled, sigmoid
 
 SIZE = 1 << 18
@@ -131,10 +131,11 @@ def _sums(stored: DataFrame, name: str, chain: Chain, earlier: list[np.ndarray],
         yield pa.RecordBatch.from_pydict(columns)
 
     curve, slopes, rest = np.zeros((width, width)), np.zeros((models, width)), np.zeros((3, models))
-    for r in stored.select(name, "fold", "features").mapInArrow(run, "curve binary, slopes binary, rest binary").collect():
-        curve += np.frombuffer(r["curve"], np.float32).reshape(width, width)
-        slopes += np.frombuffer(r["slopes"]).reshape(models, width)
-        rest += np.frombuffer(r["rest"]).reshape(3, models)
+    found = stored.select(name, "fold", "features").mapInArrow(run, "curve binary, slopes binary, rest binary").toArrow()
+    for one, two, three in zip(*(found.column(c) for c in ("curve", "slopes", "rest"))):
+        curve += np.frombuffer(one.as_buffer(), np.float32).reshape(width, width)
+        slopes += np.frombuffer(two.as_buffer()).reshape(models, width)
+        rest += np.frombuffer(three.as_buffer()).reshape(3, models)
     return curve, slopes, rest
 
 
@@ -186,12 +187,14 @@ def fit(rows: DataFrame, categories: dict[str, list[str]]) -> Chain:
         row, bucket = features(data, offsets)
         return row[selected[bucket]], bucket[selected[bucket]]
 
+    release(rows.sparkSession)
     scratch = Scratch(rows.sparkSession, "toxicity")
     found = feature_rows(rows, names, own_features)
     stored = scratch.write(found.withColumn("fold", F.expr(f"cast(pmod(xxhash64(doc_id), {FOLDS}) AS int)")), "features")
     few = stored.coalesce(max(1, min(TASKS, math.ceil(total / TASK_ROWS))))
     earlier: list[np.ndarray] = []
     for name in names:
+        release(rows.sparkSession)
         earlier.append(_link(few, name, chain, earlier))
     chain.links = [links[-1] for links in earlier]
     scratch.drop(stored)

@@ -195,6 +195,18 @@ def test_shared_words_of_pairs_against_brute_force():
     assert 0 < len(wanted) < len(shared) and got.tolist() == wanted
 
 
+def test_operators_of_many_jobs_release_what_is_over(spark):
+    def let_go(step):
+        weak = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.util.ArrayList())
+        step()
+        return weak.get() is None
+
+    passages = spark.createDataFrame([(list(range(k, k + 24)),) for k in range(30)], "words array<int>")
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert let_go(lambda: decontamination.singular_directions(passages, np.ones(decontamination.SIZE)))
+    assert let_go(lambda: minmax.near_duplicates(rows))
+
+
 def test_singular_directions_approach_the_exact_ones(spark):
     draw = np.random.default_rng(0)
     rows = [[int(x) for x in draw.integers(0, 40, 24)] for _ in range(200)]
