@@ -74,34 +74,43 @@ def _packed(batches):
 
 
 def _scores(row) -> np.ndarray:
-    """Scores of a pair of blocks, queries by candidates; own ids get the least value."""
-    q = np.frombuffer(row.q_vectors, np.int64).reshape(len(row.q_ids) // 8, row.dim)
-    c = np.frombuffer(row.vectors, np.int64).reshape(len(row.ids) // 8, row.dim)
+    """Scores of a pair of blocks, queries by candidates; own ids get the least value.
+
+    Products are taken in the smallest type that holds every partial sum exactly.
+    """
+    q_ids, ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
+    q = np.frombuffer(row.q_vectors, np.int64).reshape(len(q_ids), row.dim)
+    c = np.frombuffer(row.vectors, np.int64).reshape(len(ids), row.dim)
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, row.dim)
-    if largest < 2**53:
-        scores = (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    else:
-        scores = q @ c.T
-    same = np.frombuffer(row.q_ids, np.int64)[:, None] == np.frombuffer(row.ids, np.int64)[None, :]
-    scores[same] = -LIMIT
+    kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
+    scores = q.astype(kind) @ c.astype(kind).T
+    for i in np.flatnonzero(np.isin(q_ids, ids)):
+        scores[i, ids == q_ids[i]] = -LIMIT
     return scores
 
 
+def _reaching(scores: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of scores from each query's bound on; never those of own ids, as bounds are above -LIMIT.
+
+    A bound that the scores' type cannot hold lies beyond all of them, and rounded it still does.
+    """
+    return np.nonzero(scores >= low.astype(scores.dtype)[:, None])
+
+
 def _counts(k: int):
     def run(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 scores, ids = _scores(row), np.frombuffer(row.q_ids, np.int64)
                 low, width = np.frombuffer(row.low, np.int64), np.frombuffer(row.width, np.int64)
-                cell = (scores - low[:, None]) // width[:, None]
-                cell[scores == -LIMIT] = -1
-                np.clip(cell, -1, CELLS, out=cell)
-                flat = cell + 1 + np.arange(len(ids))[:, None] * (CELLS + 2)
-                n = np.bincount(flat.ravel(), minlength=len(ids) * (CELLS + 2)).reshape(len(ids), CELLS + 2)[:, 1:]
-                # Cells below those with k scores of this block alone cannot hold the k-th.
-                above = n[:, ::-1].cumsum(1)[:, ::-1] - n
-                which, where = np.nonzero((n > 0) & (above < k))
-                yield pd.DataFrame({"query_id": ids[which], "cell": where.astype(np.int64), "n": n[which, where]})
+                # Scores below the k-th of this block alone cannot be the k-th of all, nor can they decide which cell holds it.
+                least, n = low.astype(scores.dtype), scores.shape[1]
+                if n > k:
+                    least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+                which, where = _reaching(scores, least)
+                cell = np.minimum((scores[which, where].astype(np.int64) - low[which]) // width[which], CELLS)
+                found, n = np.unique(which * (CELLS + 1) + cell, return_counts=True)
+                yield pd.DataFrame({"query_id": ids[found // (CELLS + 1)], "cell": found % (CELLS + 1), "n": n})
 
     return run
 
@@ -112,8 +121,8 @@ def _best(k: int):
             for row in frame.itertuples(index=False):
                 scores, ids = _scores(row), np.frombuffer(row.ids, np.int64)
                 low = np.frombuffer(row.low, np.int64)
-                which, where = np.nonzero((scores >= low[:, None]) & (scores > -LIMIT))
-                found = pd.DataFrame({"q": which, "vec_id": ids[where], "score": scores[which, where]})
+                which, where = _reaching(scores, low)
+                found = pd.DataFrame({"q": which, "vec_id": ids[where], "score": scores[which, where].astype(np.int64)})
                 found = found.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
                 found = found[found.groupby("q").cumcount() < k]
                 own = np.frombuffer(row.q_ids, np.int64)[found["q"].to_numpy()]
@@ -123,7 +132,11 @@ def _best(k: int):
 
 
 def top_k(vectors: DataFrame, query_modulus: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """The k best candidates of every row whose id is divisible by ``query_modulus``."""
+    """The k best candidates of every row whose id is divisible by ``query_modulus``.
+
+    No join is left to Spark's guess of sizes: it takes packed rows for small, and would send the copies of all
+    query blocks through the driver.
+    """
     spark = importable(vectors.sparkSession)
     scratch = Scratch(spark, "topk")
     whole = quantised(vectors, scale)
@@ -143,7 +156,7 @@ def top_k(vectors: DataFrame, query_modulus: int = 50, k: int = 5, scale: int =
     n_groups = max(1, math.ceil(queries.count() / QUERY_ROWS))
 
     def paired(state: DataFrame) -> DataFrame:
-        grouped = queries.select("query_id", "v").join(state, "query_id")
+        grouped = queries.select("query_id", "v").hint("merge").join(state, "query_id")
         grouped = grouped.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)))
         grouped = grouped.groupBy(F.size("v").alias("dim"), "part").agg(
             F.sort_array(F.collect_list(F.struct("query_id", "v", "low", "width"))).alias("rows")
@@ -166,7 +179,7 @@ def top_k(vectors: DataFrame, query_modulus: int = 50, k: int = 5, scale: int =
 
         packed = grouped.mapInArrow(pack, "dim int, q_ids binary, q_vectors binary, low binary, width binary")
         packed = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        return blocks.join(packed, ["dim", "share"])
+        return blocks.hint("merge").join(packed, ["dim", "share"])
 
     state = scratch.write(queries.select("query_id", "low", "width"), "range")
     while state.where("width > 1").limit(1).count():
@@ -177,7 +190,7 @@ def top_k(vectors: DataFrame, query_modulus: int = 50, k: int = 5, scale: int =
         kth = reached.groupBy("query_id").agg(F.max("cell").alias("cell"))
         # A query with fewer than k candidates keeps its lowest bound, so it gets all of them.
         cell = F.coalesce("cell", F.lit(0))
-        nxt = state.join(kth, "query_id", "left").select(
+        nxt = state.hint("merge").join(kth, "query_id", "left").select(
             "query_id",
             (F.col("low") + cell * F.col("width")).alias("low"),
             F.when(F.col("cell").isNull(), 1).otherwise(F.ceil(F.col("width") / CELLS)).cast("bigint").alias("width"),

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -830,6 +831,30 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_topk_sends_no_blocks_through_the_driver(spark):
+    """Packed blocks look small to Spark, however many copies of them a join makes."""
+    frame = spark.range(300).selectExpr("id AS vec_id", "array(cast(id AS float), 1F, 0F) AS embedding")
+    best = topk.top_k(frame)
+    assert len(best.collect()) == 30
+    text = best._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in text and "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_topk_scores_are_exact_in_every_type():
+    draw = np.random.default_rng(3)
+    for most, kind in ((1 << 8, np.float32), (1 << 22, np.float64), (1 << 28, np.int64)):
+        q, c = draw.integers(-most, most, (4, 48)), draw.integers(-most, most, (9, 48))
+        q[0, 0] = c[0, 0] = most
+        ids = np.arange(9)
+        row = SimpleNamespace(dim=48, q_ids=ids[:4].tobytes(), ids=ids.tobytes(), q_vectors=q.tobytes(), vectors=c.tobytes())
+        want = q @ c.T
+        want[ids[:4], ids[:4]] = -topk.LIMIT
+        got = topk._scores(row)
+        assert got.dtype == kind and (got.astype(np.int64) == want).all()
+        for low in (want[:, 5], np.full(4, -topk.LIMIT // 4), np.full(4, topk.LIMIT // 4)):
+            assert [x.tolist() for x in topk._reaching(got, low)] == [x.tolist() for x in np.nonzero(want >= low[:, None])]
+
+
 # 9: licences
 
 
