@@ -8,7 +8,6 @@ not depend on how many rows a batch holds.
 from __future__ import annotations
 
 import gc
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.session import shared_dir
+from parcella.session import importable, shared_dir
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 PIECE_BYTES = 1_000_000
 
 
@@ -28,14 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where its folder is reachable for them."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
-    return spark
-
-
 class Scratch:
     """Tables in the shared folder that cut lineage; they survive lost executors."""
 

@@ -1,9 +1,10 @@
 """Evaluating many saved dashboard searches at once.
 
-The report reads the sales twice. The first pass joins searches and sales and counts
-the matches of every search by value range, straight out of the join. The counts say in which
-range each median lies and how far in; the second pass joins on that range
-too, so only the few sales around a median meet its search.
+The report stores the sales in blocks, sorted by each value that it takes a median of. The first
+pass lets blocks and packed searches of a department meet and counts the matches of every search by block.
+The counts say in which block each median lies and how far in; the second pass joins on that block
+too, so only the few sales around a median meet its search. No join of packed rows is left to Spark's guess
+of sizes, which takes them for small and would send them through the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from parcella import schema as S
 from parcella.functions import columns as C
+from parcella.operators import search_blocks as B
+from parcella.session import importable
 from parcella.sources.tables import materialise
 
 ANY = "any"
 ALL = "all"
-#: Value ranges per factor e of magnitude, each about 0.2 % wide.
-RANGES_PER_E = 1 << 9
 OK, MALFORMED = "ok", "malformed"
 
 # Keys of a shareable address and the bounds they set.
@@ -199,28 +200,88 @@ def matching_pairs(sales: DataFrame, searches: DataFrame) -> DataFrame:
     return pairs.select("search_id", "id_mutation", "price_eur", "price_per_m2")
 
 
-def _range(value: Column) -> Column:
-    """The number of the range that holds a value; grows with the value, NULL for NULL."""
-    value = value.cast("double")
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * RANGES_PER_E)
-
-
 #: Medians of the report, and how the value behind each is computed.
 _SERIES = {"median_price": lambda: F.col("price_eur"), "median_per_m2": C.plausible_ppm2}
 
 
-def _histogram(sales: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(search_id, series, range, n): matches by range of each value; range NULL where it is missing.
+def _asked(decoded: DataFrame) -> DataFrame:
+    """(search_id, department, filters): the filters of each id that may match, as bounds of the columns of blocks.
 
-    A pair of ranges is counted first, so a match is one row on its way out of the join.
+    An id may repeat. If its rows name several departments, they all look at all sales and test the department.
     """
-    ranges = [_range(value()).alias(f"range_{name}") for name, value in _SERIES.items()]
-    pairs = _joined(_facts(sales, *ranges), wanted)
-    both = pairs.groupBy("search_id", *[f"range_{name}" for name in _SERIES]).count()
+    bounds = lambda *names: F.array(*[F.col(n).cast("double") if isinstance(n, str) else n for n in names])
+    none = F.lit(None).cast("double")
+    first, last = (F.element_at("years", i).cast("double") for i in (1, -1))
+    rows = decoded.where("years IS NOT NULL AND search_id IS NOT NULL").select(
+        "search_id",
+        F.struct(
+            "department",
+            bounds("price_min", "area_min", "land_min", first, "_needed", *[f"_needed_{n}" for n in _NUMBERS.values()]).alias("low"),
+            bounds("price_max", "area_max", "land_max", last, none, *[none for _ in _NUMBERS]).alias("high"),
+            "specs",
+        ).alias("f"),
+    )
+    each = rows.groupBy("search_id").agg(
+        F.collect_list("f").alias("filters"), F.min("f.department").alias("least"), F.max("f.department").alias("most")
+    )
+    each = each.withColumn("department", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(ALL))
+
+    def placed(f: Column) -> Column:
+        own = F.when((F.col("department") == ALL) & (f["department"] != ALL), F.xxhash64(f["department"]))
+        return F.struct(f["low"], f["high"], own.alias("own"), f["specs"])
+
+    return each.select("search_id", "department", F.transform("filters", placed).alias("filters"))
+
+
+def _blocks(sales: DataFrame) -> DataFrame:
+    """Sales in blocks of :mod:`search_blocks`, once for each median, under their department and under ``all``."""
+    numbers = [F.col(c).cast("double") for c in ("price_eur", "built_area_m2", "land_area_m2", "year")]
+    counts = [F.col(n) for n in _NUMBERS.values()]
+    numbers += [c.cast("double") for c in (sum(counts[1:], counts[0]), *counts)]
     series = F.array(
-        *[F.named_struct(F.lit("series"), F.lit(name), F.lit("range"), F.col(f"range_{name}")) for name in _SERIES]
+        *[
+            F.named_struct(F.lit("series"), F.lit(name), F.lit("value"), value().cast("double"))
+            for name, value in _SERIES.items()
+        ]
     )
-    return both.select("search_id", F.inline(series), "count").groupBy("search_id", "series", "range").agg(F.sum("count").alias("n"))
+    facts = _facts(
+        sales,
+        F.array(*numbers).alias("numbers"),
+        F.when(F.col("department_code").isNotNull(), F.xxhash64("department_code")).alias("own"),
+        F.xxhash64("id_mutation").alias("id"),
+        series.alias("measured"),
+    )
+    facts = facts.select("numbers", "own", "buildings", "id", "department", F.inline("measured")).where(
+        # The first series counts the matches, those without a value too.
+        F.col("department").isNotNull() & ((F.col("series") == next(iter(_SERIES))) | F.col("value").isNotNull())
+    )
+    # Numbers sort faster than names. The id is a range key, so that a value that very many sales share is cut too.
+    keyed = facts.withColumn("key", F.xxhash64("series", "department"))
+    ranged = keyed.repartitionByRange("key", "value", "id").sortWithinPartitions("key", "value").drop("key", "id")
+    return materialise(ranged.mapInArrow(B.pack_sales, B.SALES), "blocks")
+
+
+def _packed(searches: DataFrame, keys: list[str], *also: str) -> DataFrame:
+    """Searches that agree in ``keys``, packed by :func:`search_blocks.pack_searches`."""
+    kinds = dict(searches.dtypes)
+    lists = [f"{name}s array<{kinds[name]}>" for name in ("search_id", *also)]
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *lists, "conditions binary"])
+    return searches.sortWithinPartitions(*keys).mapInArrow(B.pack_searches(keys, list(also)), schema)
+
+
+def _histogram(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(search_id, series, range, n): matches by block of each value; range NULL where it is missing.
+
+    The searches of a department are copied for each share of its blocks, so no task has to
+    meet all blocks of a department.
+    """
+    packed = _packed(asked.repartitionByRange("department", "search_id"), ["department"])
+    shares = blocks.select("department", "share").distinct()
+    spread = packed.hint("merge").join(shares, "department")
+    kind = dict(asked.dtypes)["search_id"]
+    pairs = blocks.hint("merge").join(spread, ["department", "share"])
+    counts = pairs.mapInArrow(B.count, f"search_id {kind}, series string, range long, n long")
+    return counts.groupBy("search_id", "series", "range").agg(F.sum("n").alias("n"))
 
 
 def _targets(histogram: DataFrame) -> DataFrame:
@@ -246,23 +307,14 @@ def _targets(histogram: DataFrame) -> DataFrame:
     )
 
 
-def _medians(sales: DataFrame, wanted: DataFrame, targets: DataFrame) -> DataFrame:
-    """(search_id, series, median) from the sales in the wanted ranges only."""
-    named = F.array(
-        *[
-            F.named_struct(F.lit("series"), F.lit(name), F.lit("value"), value().cast("double"))
-            for name, value in _SERIES.items()
-        ]
-    )
-    facts = _facts(sales, named.alias("measured")).select("*", F.inline("measured"))
-    facts = facts.drop("measured").withColumn("range", _range(F.col("value")))
-    near = _joined(facts, wanted.join(targets, "search_id"), "series", "range")
-    keys = ["search_id", "series", "range"]
-    values = near.groupBy(*keys, "value", "low", "high").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("last", F.sum("n").over(upto))
-    at = lambda rank: F.max(F.when((F.col(rank) < F.col("last")) & (F.col(rank) >= F.col("last") - F.col("n")), F.col("value")))
-    found = placed.groupBy("search_id", "series").agg(at("low").alias("low"), at("high").alias("high"))
+def _medians(blocks: DataFrame, asked: DataFrame, targets: DataFrame) -> DataFrame:
+    """(search_id, series, median) from the blocks in which wanted ranks lie."""
+    keys = ["series", "department", "range"]
+    near = asked.hint("merge").join(targets, "search_id").repartition(*keys)
+    pairs = blocks.hint("merge").join(_packed(near, keys, "low", "high"), keys)
+    kind = dict(asked.dtypes)["search_id"]
+    picked = pairs.mapInArrow(B.pick, f"search_id {kind}, series string, low double, high double")
+    found = picked.groupBy("search_id", "series").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     return found.select("search_id", "series", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
@@ -270,15 +322,16 @@ def saved_search_report(sales: DataFrame, searches: DataFrame) -> DataFrame:
     """Status, number of sales and medians of every saved search.
 
     The decoded searches are stored once: decoding is a long expression, and the plan
-    would hold and compile it wherever they are read. The counts by range serve twice, for
+    would hold and compile it wherever they are read. So are the blocks. The counts by range serve twice, for
     the number of sales and for the second pass; Spark shuffles them once.
     """
+    importable(sales.sparkSession)
     decoded = materialise(_with_years(sales, searches), "searches")
-    wanted = _by_year(decoded)
-    histogram = _histogram(sales, wanted)
+    asked, blocks = _asked(decoded), _blocks(sales)
+    histogram = _histogram(blocks, asked)
     of_one = F.when(F.col("series") == next(iter(_SERIES)), F.col("n"))
     counts = histogram.groupBy("search_id").agg(F.sum(of_one).alias("n_sales"))
-    medians = _medians(sales, wanted, _targets(histogram)).groupBy("search_id").agg(
+    medians = _medians(blocks, asked, _targets(histogram)).groupBy("search_id").agg(
         *[F.round(F.max(F.when(F.col("series") == name, F.col("median")))).cast("bigint").alias(name) for name in _SERIES]
     )
     return (

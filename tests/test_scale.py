@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import collections
 import io
+import math
+import random
 import re
+import statistics
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
 from frames import house, parcel, raw, sales
 from pyspark.sql import functions as F
@@ -21,6 +26,7 @@ from parcella.operators import (
     market,
     policy,
     quality,
+    search_blocks,
     searches,
 )
 from parcella.operators import summaries as Q
@@ -242,6 +248,92 @@ def test_saved_searches_missing_values(spark):
     assert (found[2].n_sales, found[2].median_price, found[2].median_per_m2) == (0, None, None)
 
 
+def rows_out_of_joins(df) -> int:
+    """Rows that the joins of a DataFrame that has run gave out."""
+    seen = 0
+
+    def walk(node):
+        nonlocal seen
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            seen += node.metrics().apply("numOutputRows").value()
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return seen
+
+
+def test_saved_searches_do_not_join_every_match(spark):
+    """Blocks of sales meet packed searches, so what leaves the joins does not grow with the matches."""
+    df = sales(spark, *[{"price_eur": 1000.0 + 7 * i, "price_per_m2": 1000.0 + 3 * i} for i in range(400)])
+    asked = spark.createDataFrame([(i, f"ymin=1990&pmin={1000 + i}") for i in range(50)], "search_id int, query string")
+    report = searches.saved_search_report(df, asked)
+    found = {r.search_id: r for r in report.collect()}
+    assert found[0].n_sales == 400 and found[49].n_sales == 393
+    assert (found[0].median_price, found[49].median_price) == (2397, 2421)
+    assert rows_out_of_joins(report) < 2000
+    text = report._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"BroadcastHashJoin \[department", text), "packed rows are not broadcast"
+
+
+def test_saved_searches_by_brute_force(spark):
+    """Repeated and missing ids, several departments and specs, missing values, ranks at the ends of blocks."""
+    draw = random.Random(11)
+    data = []
+    for _ in range(500):
+        built = [(draw.choice([S.HOUSE, S.APARTMENT]), draw.choice([None, 40, 80, 120]), draw.choice([None, 1, 4])) for _ in range(draw.randrange(4))]
+        data.append(
+            {
+                "price_eur": draw.choice([None, *(float(draw.randrange(1000, 1040)) for _ in range(9))]),
+                "price_per_m2": draw.choice([None, 50.0, float(draw.randrange(90, 200))]),
+                "year": draw.choice([2020, 2021, 2022, 2023]),
+                "department_code": draw.choice(["01", "02", "2A", None]),
+                "built_area_m2": draw.choice([None, 50.0, 100.0]),
+                "land_area_m2": draw.choice([None, 0.0, 300.0]),
+                "buildings": built or draw.choice([None, built]),
+                "n_maisons": sum(b[0] == "Maison" for b in built),
+                "n_appartements": sum(b[0] == "Appartement" for b in built),
+            }
+        )
+    parts = ["pmin=1010", "pmax=1030", "amin=60", "amax=", "lamin=0", "lamax=299", "ymin=1990", "ymax=2022", "dept=01", "dept=2A", "bs=Maison:50:::", "bs=any::::;any::::", "bs=Appartement:::2:;Maison::::"]
+    asked = [(draw.choice([*range(25), None]), "&".join(draw.sample(parts, draw.randrange(5)))) for _ in range(40)]
+    df = sales(spark, *data)
+    got = {}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for r in searches.saved_search_report(df, spark.createDataFrame(asked, "search_id int, query string")).collect():
+            got.setdefault(r.search_id, []).append((r.n_sales, r.median_price, r.median_per_m2))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    union = collections.defaultdict(list)
+    for i, text in asked:
+        union[i] += df.where(SaleFilter.from_query(text).predicate()).select("price_eur", "price_per_m2").collect()
+
+    def middle(values):
+        return math.floor(statistics.median(values) + 0.5) if values else None
+
+    want = {}
+    for i, rows in union.items():
+        prices = [r[0] for r in rows if r[0] is not None]
+        plausible = [r[1] for r in rows if r[1] is not None and 100 <= r[1] <= 30000]
+        want[i] = (len(rows), middle(prices), middle(plausible)) if i is not None else (0, None, None)
+    assert sum(n > 20 for n, *_ in want.values()) > 5
+    assert {i: set(v) for i, v in got.items()} == {i: {v} for i, v in want.items()}
+
+
+def test_numbers_of_blocks_sort_like_values():
+    values = np.array([-math.inf, -1e300, -2.5, -1e-300, 0.0, 1e-300, 3.0, math.inf, math.nan])
+    found = search_blocks.ordered(values)
+    assert (np.diff(found) > 0).all() and found[0] > search_blocks.MISSING and found[-1] < search_blocks.OPEN
+    assert (search_blocks.ordered(np.array([-0.0, math.copysign(math.nan, -1)])) == found[[4, 8]]).all()
+
+
 def test_search_defaults_and_empty_values(spark):
     df = sales(spark, {}, {"year": 1999}, {"department_code": "75"})
     asked = spark.createDataFrame(
